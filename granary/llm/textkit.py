@@ -121,17 +121,22 @@ class Words:
             h = (total[self.end] - total[self.start]) * down[self.start]
             self.hash = mix(h + (self.end - self.start).astype(np.uint64) * _BASE)
 
-    def grams(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of every run of k words that stays in one row, and the index of its first word."""
+    def rolling(self, k: int, which: int = 0) -> np.ndarray:
+        """Hash of words i .. i+k-1 for every i, also where they span rows."""
         if self.n < k:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64)
         up, down = _WORD_POWERS[which].upto(self.n + 1)
         with np.errstate(over="ignore"):
             total = np.zeros(self.n + 1, np.uint64)
             np.cumsum(self.hash * up[: self.n], out=total[1:])
-            i = np.flatnonzero(self.row[: self.n - k + 1] == self.row[k - 1 :])
-            return mix((total[i + k] - total[i]) * down[i] + _U(k)), i
+            return mix((total[k:] - total[:-k]) * down[: self.n - k + 1] + _U(k))
 
+    def grams(self, k: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of every run of k words that stays in one row, and the index of its first word."""
+        if self.n < k:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        i = np.flatnonzero(self.row[: self.n - k + 1] == self.row[k - 1 :])
+        return self.rolling(k, which)[i], i
 
     def sequence(self, which: int = 0) -> np.ndarray:
         """Hash of all words of each row in order; 0 for a row without words."""
@@ -148,3 +153,22 @@ def words(column: pa.Array | pa.ChunkedArray, lower: bool = False, most: int = B
     data, at = buffers(column)
     for i, j in blocks(at, most):
         yield i, j, Words(data, at[i : j + 1], lower, apart)
+
+
+def kept_text(w: Words, keep: np.ndarray) -> pa.Array:
+    """Each row's words where `keep` is true, joined by one space."""
+    start, size, row = w.start[keep], (w.end - w.start)[keep], w.row[keep]
+    n = len(w.first) - 1
+    per_row = np.bincount(row, minlength=n)
+    last = np.zeros(len(start), bool)
+    last[np.cumsum(per_row)[per_row > 0] - 1] = True
+    room = size + ~last
+    at = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(room, out=at[1:])
+    out = np.full(int(at[-1]), 32, np.uint8)
+    if len(start):
+        shift = np.repeat(at[:-1] - start, size)
+        source = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+        out[source + shift] = w.data[source]
+    offsets = at[np.concatenate([[0], np.cumsum(per_row)])].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
