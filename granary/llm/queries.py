@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op10_language
 from .media import op6_media
+from .minhash import op3_minhash
 from .substring import op5_substring
 from .toxicity import op8_toxicity
 from .warc import OP4_SQL, op4_warc
@@ -15,6 +16,7 @@ from .warc import OP4_SQL, op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash": op3_minhash,
         "op4_warc": op4_warc,
         "op5_substring": op5_substring,
         "op6_media": op6_media,
