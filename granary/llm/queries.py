@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embed import op2_embedding
 from .langid import op10_language
 from .media import op6_media
 from .minhash import op3_minhash
@@ -16,6 +17,7 @@ from .warc import OP4_SQL, op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_embedding": op2_embedding,
         "op3_minhash": op3_minhash,
         "op4_warc": op4_warc,
         "op5_substring": op5_substring,
