@@ -10,6 +10,7 @@ from .embed import op2_embedding
 from .langid import op10_language
 from .media import op6_media
 from .minhash import op3_minhash
+from .pii import op1_pii
 from .substring import op5_substring
 from .toxicity import op8_toxicity
 from .warc import OP4_SQL, op4_warc
@@ -17,6 +18,7 @@ from .warc import OP4_SQL, op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_embedding": op2_embedding,
         "op3_minhash": op3_minhash,
         "op4_warc": op4_warc,
