@@ -10,6 +10,7 @@ from .embed import op2_embedding
 from .langid import op10_language
 from .media import op6_media
 from .minhash import op3_minhash
+from .packing import op7_packing
 from .pii import op1_pii
 from .substring import op5_substring
 from .toxicity import op8_toxicity
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_substring": op5_substring,
         "op6_media": op6_media,
+        "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
         "op10_language": op10_language,
     }

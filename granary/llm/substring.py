@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -204,6 +205,51 @@ def later_windows(docs: DataFrame, k: int, bits: Broadcast) -> DataFrame:
     return met.mapInArrow(settle, "doc long, start int, n int")
 
 
+def _marked(docs: DataFrame, k: int) -> DataFrame:
+    """(doc, starts, ns): the later windows of each document that has any."""
+    bits = sketch(docs.where("doc_id is not null"), k)
+    runs = later_windows(docs, k, bits).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return runs.select("doc", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
+
+
+def _covered(b: pa.RecordBatch, text: int, runs: int, k: int) -> Iterator[tuple[int, int, Words, np.ndarray]]:
+    """(first row, end row, Words, which words later windows cover) for a batch with columns starts, ns from `runs` on."""
+    starts, ns = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in (runs, runs + 1))
+    sizes = np.array([x or 0 for x in b.column(runs).value_lengths().to_pylist()], np.int64)
+    edge = np.concatenate([[0], np.cumsum(sizes)])
+    for i, j, w in words(b.column(text)):
+        own = slice(edge[i], edge[j])
+        first = np.repeat(w.first[:-1], sizes[i:j]) + starts[own]
+        over = np.repeat(w.first[1:], sizes[i:j])
+        ok = first < over  # rows of one doc_id may differ in length
+        cover = np.zeros(w.n + 1, np.int64)
+        np.add.at(cover, first[ok], 1)
+        np.add.at(cover, np.minimum(first + ns[own] + (k - 1), over)[ok], -1)
+        yield i, j, w, np.cumsum(cover)[:-1] > 0
+
+
+def drop_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
+    """docs with the words that remove_repeats finds gone from `text`, and `n_chars`, where there is one, counted anew.
+
+    The other columns are as they were. A text from which nothing goes, null too, is unchanged.
+    """
+    names = docs.columns
+    marks = _marked(docs, k).toDF("_doc", "_starts", "_ns")
+    both = docs.join(marks, F.col("doc_id") == F.col("_doc"), "left").select(*(F.col(c) for c in names), "_starts", "_ns")
+    at, runs = names.index("text"), len(names)
+
+    def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, w, gone in _covered(b, at, runs, k):
+                part, old = b.slice(i, j - i), b.column(at).slice(i, j - i)
+                changed = np.bincount(w.row[gone], minlength=j - i) > 0
+                new = pc.if_else(pa.array(changed), kept_text(w, ~gone).cast(old.type), old) if changed.any() else old
+                yield pa.RecordBatch.from_arrays([new if c == at else part.column(c) for c in range(runs)], names)
+
+    out = both.mapInArrow(cover, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in names else out
+
+
 def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the words left, joined by one space.
 
@@ -211,25 +257,11 @@ def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     is kept whole and removes nothing. Rows of one doc_id count as one document: equal windows at the same start
     don't remove each other, and a removal in one applies to all.
     """
-    bits = sketch(docs.where("doc_id is not null"), k)
-    marks = later_windows(docs, k, bits).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    both = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
+    both = docs.select("doc_id", "text").join(_marked(docs, k), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts", "ns")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = [b.column(c).combine_chunks() if isinstance(b.column(c), pa.ChunkedArray) else b.column(c) for c in (2, 3)]
-            starts, ns = (x.flatten().to_numpy(zero_copy_only=False) for x in at)
-            sizes = np.array([x or 0 for x in at[0].value_lengths().to_pylist()], np.int64)
-            edge = np.concatenate([[0], np.cumsum(sizes)])
-            for i, j, w in words(b.column(1)):
-                own = slice(edge[i], edge[j])
-                first = np.repeat(w.first[:-1], sizes[i:j]) + starts[own]
-                over = np.repeat(w.first[1:], sizes[i:j])
-                ok = first < over  # rows of one doc_id may differ in length
-                cover = np.zeros(w.n + 1, np.int64)
-                np.add.at(cover, first[ok], 1)
-                np.add.at(cover, np.minimum(first + ns[own] + (k - 1), over)[ok], -1)
-                gone = np.cumsum(cover)[:-1] > 0
+            for i, j, w, gone in _covered(b, 1, 2, k):
                 num = np.diff(w.first)
                 lost = np.bincount(w.row[gone], minlength=j - i)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(num, pa.int64()), pa.array(lost, pa.int64()), kept_text(w, ~gone).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
