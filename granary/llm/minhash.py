@@ -6,9 +6,12 @@ threshold shares none of 32 bands with probability (1 - 0.8**4)**32 < 1e-7.
 
 Documents with equal shingle sets are one class from the start. Among classes no bucket is expanded into its pairs:
 
-1. Every class of a bucket is compared with the bucket's smallest and largest id, on full shingle sets.
-2. What these links leave in different components within one bucket is compared pair by pair, if 128-bit sketches of the
-   signatures (one bit a value) don't rule the pair out. Members of one component need no further link.
+1. Every class of a bucket is compared with the bucket's smallest and largest id, on full shingle sets. Members of one
+   component of these links need no further link.
+2. Where a bucket still holds several components, its classes outside the one with most members there are compared with
+   all of that component, block by block against an index of the block's sets; only one link for each comes out.
+3. Classes outside of it are compared among themselves, pair by pair, if steps 1 and 2 left them in different components
+   and 128-bit sketches of the signatures (one bit a value) don't rule the pair out.
 
 Components of all confirmed links, with equal sets joined, are the result: a link that was not looked at lies within a
 component already.
@@ -27,10 +30,10 @@ from .common import components, cut, ship, table, tasks
 from .textkit import Words, mix, words
 
 PERMUTATIONS, BANDS = 64, 32
-#: Signature bits that may differ in step 2. At similarity 0.8 they are 12.8 +- 3.4 of 128, so 33 is six deviations away.
+#: Signature bits that may differ in step 3. At similarity 0.8 they are 12.8 +- 3.4 of 128, so 33 is six deviations away.
 MOST_BITS = 33
-#: Members that meet a hub's set in one task.
-MEMBERS = 512
+#: Members that meet a hub's set in one task; members of a component in a block.
+MEMBERS, BLOCK = 512, 1024
 
 _RNG = np.random.default_rng(71)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -127,6 +130,55 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return met.select("b", "a", "text").mapInArrow(run, "a long, b long").distinct()
 
 
+def confirm_blocks(docs: DataFrame, queries: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): for each query (id, c) and each block of component c's members, one member b that a = id is linked with.
+
+    found: (id, c) of all members. Members are dealt into blocks by hash; each query goes to every block of its component.
+    """
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    target = queries.select("c").distinct()
+    size = found.join(target, "c").groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = found.join(size, "c").select("c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id")
+    asked = queries.join(size, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id")
+    rows = members.unionByName(asked).join(texts, "id").select("c", "block", "role", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sets, ids, index = None, [], [], None
+        for batch in batches:
+            c, block, role, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            out_a, out_b = [], []
+            for i, j, w in words(batch.column(4), lower=True):
+                h, row = shingles(w, k)
+                edge = np.searchsorted(row, np.arange(j - i + 1))
+                for r in range(i, j):
+                    s = h[edge[r - i] : edge[r - i + 1]]
+                    if now != (c[r], block[r]):
+                        now, sets, ids, index = (c[r], block[r]), [], [], None
+                    if role[r] == 0:
+                        sets.append(s)
+                        ids.append(own[r])
+                        index = None
+                    elif sets and len(s):
+                        if index is None:
+                            sizes = np.array(list(map(len, sets)))
+                            flat = np.concatenate(sets)
+                            o = np.argsort(flat)
+                            index = flat[o], np.repeat(np.arange(len(sets)), sizes)[o], sizes
+                        keys, owner, sizes = index
+                        low, high = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
+                        num = high - low
+                        at = np.repeat(low - np.cumsum(num) + num, num) + np.arange(int(num.sum()))
+                        both = np.bincount(owner[at], minlength=len(sets))
+                        hit = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+                        if len(hit):
+                            out_a.append(own[r])
+                            out_b.append(ids[hit[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    met = rows.repartition(tasks(docs.sparkSession), "c", "block").sortWithinPartitions("c", "block", "role", "id")
+    return met.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
@@ -143,18 +195,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tried = placed.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     tried = cut(tried.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b")).where("a <> b").distinct())
     links = cut(confirm(docs, tried, k, percent))
-    found = cut(components(links))
-    # buckets in which more than one component is left
-    mixed = placed.select("id", "band").join(found, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
-    split = mixed.groupBy("band").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low < c_high").select("band")
-    left = cut(mixed.join(split, "band").join(classes.select("id", "bits_a", "bits_b"), "id"))
+    first = cut(components(links)).withColumnRenamed("component", "c")
+    # buckets in which more than one component is left, and the component with most members there
+    mixed = placed.select("id", "band").join(first, "id", "left").select("id", "band", F.coalesce("c", "id").alias("c"))
+    split = mixed.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    outside = cut(mixed.join(split, "band").where("c <> most").select("id", "band", "c", "most"))
+    asked = cut(outside.select("id", F.col("most").alias("c")).distinct())
+    alone = asked.select("c").distinct().join(first.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("id"), "c")
+    joined = links.unionByName(confirm_blocks(docs, asked, first.select("id", "c").unionByName(alone), k, percent))
+    second = cut(components(cut(joined)))
+    # classes outside of it among themselves
+    left = outside.select("id", "band").join(second, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
+    left = cut(left.join(classes.select("id", "bits_a", "bits_b"), "id"))
     x, y = left.alias("x"), left.alias("y")
     near = F.bit_count(F.expr("x.bits_a ^ y.bits_a")) + F.bit_count(F.expr("x.bits_b ^ y.bits_b")) <= MOST_BITS
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & near)
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = confirm(docs, cut(rest), k, percent)
-    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more)
-    final = components(joined)
+    final = components(second.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more))
     member = sets.select("doc_id", "set_a", "set_b").join(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("of")), ["set_a", "set_b"]).select("doc_id", "of")
     named = member.join(final, F.col("of") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "of")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
