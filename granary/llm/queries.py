@@ -11,6 +11,7 @@ from .langid import op10_language
 from .media import op6_media
 from .minhash import op3_minhash
 from .packing import op7_packing
+from .pieces import op9_sentencepiece
 from .pii import op1_pii
 from .substring import op5_substring
 from .toxicity import op8_toxicity
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_media": op6_media,
         "op7_packing": op7_packing,
         "op8_toxicity": op8_toxicity,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_language": op10_language,
     }
 

@@ -46,7 +46,7 @@ def powers(base: int | np.uint64, n: int) -> np.ndarray:
     return out
 
 
-class _Powers:
+class Powers:
     """Powers of a base and of its inverse, extended as longer blocks come."""
 
     def __init__(self, base: int) -> None:
@@ -59,8 +59,8 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTE_POWERS = _Powers(0x9E3779B97F4A7C15)
-_WORD_POWERS = (_Powers(0xD6E8FEB86659FD93), _Powers(0xA0761D6478BD642F))
+_BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
+_WORD_POWERS = (Powers(0xD6E8FEB86659FD93), Powers(0xA0761D6478BD642F))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
