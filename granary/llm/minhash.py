@@ -10,8 +10,8 @@ Documents with equal shingle sets are one class from the start. Among classes no
    component of these links need no further link.
 2. Where a bucket still holds several components, its classes outside the one with most members there are compared with
    all of that component, block by block against an index of the block's sets; only one link for each comes out.
-3. Classes outside of it are compared among themselves, pair by pair, if steps 1 and 2 left them in different components
-   and 128-bit sketches of the signatures (one bit a value) don't rule the pair out.
+3. Classes outside of it are compared with those that share a bucket, again by blocks, where steps 1 and 2 left them in
+   different components. A task gives out links that join components it has not joined yet, so never all pairs.
 
 Components of all confirmed links, with equal sets joined, are the result: a link that was not looked at lies within a
 component already.
@@ -30,8 +30,6 @@ from .common import components, cut, ship, table, tasks
 from .textkit import Words, mix, words
 
 PERMUTATIONS, BANDS = 64, 32
-#: Signature bits that may differ in step 3. At similarity 0.8 they are 12.8 +- 3.4 of 128, so 33 is six deviations away.
-MOST_BITS = 33
 #: Members that meet a hub's set in one task; members of a component in a block.
 MEMBERS, BLOCK = 512, 1024
 
@@ -57,7 +55,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bits_a, bits_b, bands): one row per row of docs; no bands without shingles."""
+    """(doc_id, n_shingles, set_a, set_b, bands): one row per row of docs; no bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,13 +82,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                         key = mix(key + np.arange(BANDS, dtype=np.uint64))
                 else:
                     key = np.zeros((0, BANDS), np.uint64)
-                bits = np.zeros((n, 2), np.int64)
-                bits[some] = np.packbits((sig & np.uint64(1)).astype(bool), axis=1).view(np.int64) if len(some) else bits[some]
                 offsets = np.zeros(n + 1, np.int32)
                 offsets[1:] = np.cumsum((size > 0) * BANDS)
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(size.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), pa.array(bits[:, 0]), pa.array(bits[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel().view(np.int64)))], ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(size.astype(np.int64)), pa.array(sets[0].view(np.int64)), pa.array(sets[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key.ravel().view(np.int64)))], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -130,52 +126,65 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return met.select("b", "a", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm_blocks(docs: DataFrame, queries: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): for each query (id, c) and each block of component c's members, one member b that a = id is linked with.
+def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links of queries (g, id, c) with members (g, id, c) of the same group g and another component c.
 
-    found: (id, c) of all members. Members are dealt into blocks by hash; each query goes to every block of its component.
+    Members are dealt into blocks by hash and each query goes to every block of its group. A task joins the components of
+    the links it finds and keeps silent about further links inside them.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    target = queries.select("c").distinct()
-    size = found.join(target, "c").groupBy("c").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = found.join(size, "c").select("c", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id")
-    asked = queries.join(size, "c").select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id")
-    rows = members.unionByName(asked).join(texts, "id").select("c", "block", "role", "id", "text")
+    size = members.join(queries.select("g").distinct(), "g").groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(size, "g").select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "c")
+    asked = queries.join(size, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "c")
+    rows = dealt.unionByName(asked).join(texts, "id").select("g", "block", "role", "id", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sets, ids, index = None, [], [], None
+        now, sets, ids, index, own = None, [], [], None, []
+        merged: dict[int, int] = {}
+
+        def label(c: int) -> int:
+            while c in merged:
+                c = merged[c]
+            return c
+
         for batch in batches:
-            c, block, role, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            g, block, role, id, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             out_a, out_b = [], []
-            for i, j, w in words(batch.column(4), lower=True):
+            for i, j, w in words(batch.column(5), lower=True):
                 h, row = shingles(w, k)
                 edge = np.searchsorted(row, np.arange(j - i + 1))
                 for r in range(i, j):
                     s = h[edge[r - i] : edge[r - i + 1]]
-                    if now != (c[r], block[r]):
-                        now, sets, ids, index = (c[r], block[r]), [], [], None
+                    if now != (g[r], block[r]):
+                        now, sets, ids, index, own, merged = (g[r], block[r]), [], [], None, [], {}
                     if role[r] == 0:
                         sets.append(s)
-                        ids.append(own[r])
-                        index = None
-                    elif sets and len(s):
-                        if index is None:
-                            sizes = np.array(list(map(len, sets)))
-                            flat = np.concatenate(sets)
-                            o = np.argsort(flat)
-                            index = flat[o], np.repeat(np.arange(len(sets)), sizes)[o], sizes
-                        keys, owner, sizes = index
-                        low, high = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
-                        num = high - low
-                        at = np.repeat(low - np.cumsum(num) + num, num) + np.arange(int(num.sum()))
-                        both = np.bincount(owner[at], minlength=len(sets))
-                        hit = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
-                        if len(hit):
-                            out_a.append(own[r])
-                            out_b.append(ids[hit[0]])
+                        ids.append(id[r])
+                        own.append(c[r])
+                        continue
+                    if not sets or not len(s):
+                        continue
+                    if index is None:
+                        sizes, flat = np.array(list(map(len, sets))), np.concatenate(sets)
+                        o = np.argsort(flat)
+                        index = flat[o], np.repeat(np.arange(len(sets)), sizes)[o], sizes
+                        own = np.array(own)
+                    keys, owner, sizes = index
+                    low, high = np.searchsorted(keys, s), np.searchsorted(keys, s, "right")
+                    num = high - low
+                    at = np.repeat(low - np.cumsum(num) + num, num) + np.arange(int(num.sum()))
+                    both = np.bincount(owner[at], minlength=len(sets))
+                    hit = np.flatnonzero(100 * both >= percent * (len(s) + sizes - both))
+                    mine = label(int(c[r]))
+                    while len(hit := hit[own[hit] != mine]):
+                        out_a.append(id[r])
+                        out_b.append(ids[hit[0]])
+                        other = int(own[hit[0]])
+                        own[own == other] = mine
+                        merged[other] = mine
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
-    met = rows.repartition(tasks(docs.sparkSession), "c", "block").sortWithinPartitions("c", "block", "role", "id")
+    met = rows.repartition(tasks(docs.sparkSession), "g", "block").sortWithinPartitions("g", "block", "role", "id")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -188,7 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = cut(signatures(docs, k))
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one class; its smallest id stands for it
-    classes = cut(sets.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bits_a", "bits_b", "bands")).alias("x")).select(F.col("x.doc_id").alias("id"), "x.bits_a", "x.bits_b", F.col("x.bands").alias("bands")))
+    classes = cut(sets.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")))
     rows = classes.select("id", F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     placed = cut(rows.join(hubs, "band"))
@@ -200,18 +209,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     mixed = placed.select("id", "band").join(first, "id", "left").select("id", "band", F.coalesce("c", "id").alias("c"))
     split = mixed.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
     outside = cut(mixed.join(split, "band").where("c <> most").select("id", "band", "c", "most"))
-    asked = cut(outside.select("id", F.col("most").alias("c")).distinct())
-    alone = asked.select("c").distinct().join(first.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("id"), "c")
-    joined = links.unionByName(confirm_blocks(docs, asked, first.select("id", "c").unionByName(alone), k, percent))
+    asked = cut(outside.select(F.col("most").alias("g"), "id", "c").distinct())
+    alone = asked.select(F.col("g").alias("c")).distinct().join(first.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), F.col("c").alias("id"), "c")
+    joined = links.unionByName(confirm_blocks(docs, asked, first.select(F.col("c").alias("g"), "id", "c").unionByName(alone), k, percent))
     second = cut(components(cut(joined)))
     # classes outside of it among themselves
-    left = outside.select("id", "band").join(second, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
-    left = cut(left.join(classes.select("id", "bits_a", "bits_b"), "id"))
-    x, y = left.alias("x"), left.alias("y")
-    near = F.bit_count(F.expr("x.bits_a ^ y.bits_a")) + F.bit_count(F.expr("x.bits_b ^ y.bits_b")) <= MOST_BITS
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & near)
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = confirm(docs, cut(rest), k, percent)
+    left = outside.select("id", "band").join(second, "id", "left").select(F.col("band").alias("g"), "id", F.coalesce("component", "id").alias("c"))
+    several = left.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g")
+    left = cut(left.join(several, "g"))
+    more = confirm_blocks(docs, left, left, k, percent)
     final = components(second.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more))
     member = sets.select("doc_id", "set_a", "set_b").join(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("of")), ["set_a", "set_b"]).select("doc_id", "of")
     named = member.join(final, F.col("of") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "of")).alias("component"))
