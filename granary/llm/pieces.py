@@ -32,7 +32,9 @@ from .textkit import Powers, mix
 #: The sign that stands for a blank in pieces.
 BLANK = "▁"
 #: Results for each text, weight of log probabilities (below 1: more varied), units kept between batches.
-K, TEMPER, KEPT = 2, 1.0, 300_000
+K, TEMPER, KEPT = 2, 1.0, 600_000
+#: log2 of the slots of the piece table.
+SLOTS = 20
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 _UNITS = regex.compile(rf"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
@@ -55,18 +57,47 @@ class Vocabulary:
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:5], 16)
                 self.byte[b], self.piece[i] = i, bytes([b])
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        #: hash of each piece, and of each beginning of one, to its id; beginnings that are no pieces have ids from n on
+        ids: dict[int, int] = {}
         for i in usual:
             p = sp.id_to_piece(i)
             self.piece[i] = p.encode()
-            by_length.setdefault(len(p), []).append((int(_prefix(_points(p))[-1]), i))
-        self.lengths = {k: tuple(np.array(sorted(v), np.uint64).T) for k, v in sorted(by_length.items())}
-        self.maybe = np.zeros(1 << 20, bool)
-        for h, _ in self.lengths.values():
-            self.maybe[_slot(h)] = True
+            ids[int(_prefix(_points(p))[-1])] = i
+        longer = set()
+        for i in usual:
+            h = _prefix(_points(sp.id_to_piece(i))).tolist()
+            longer.update(ids.setdefault(x, n + len(ids)) for x in h[1:-1])
+        #: id of each slot (-1: none), hashes by id, whether a longer piece goes on; ids whose slot another one has, by hash
+        self.n, most = n, max(ids.values(), default=0) + 1
+        self.slot, self.hash, self.more, self.crowded = np.full(1 << SLOTS, -1, np.int32), np.zeros(most, np.uint64), np.zeros(most, bool), {}
+        self.more[list(longer)] = True
+        for h, i in ids.items():
+            self.hash[i] = h
+            at = int(_slot(np.array([h], np.uint64))[0])
+            if self.slot[at] < 0:
+                self.slot[at] = i
+            else:
+                self.crowded[h] = i
+        self.crowded_slots = np.zeros(1 << SLOTS, bool)
+        self.crowded_slots[_slot(np.array(list(self.crowded), np.uint64))] = True
+        #: pieces as text; those that are parts of a character only
+        self.text = [p.decode("utf-8", "replace").replace(BLANK, " ") for p in self.piece]
+        self.wide = {i for b, i in self.byte.items() if b > 127}
         self.weight = temper * np.where(score <= 0, -np.log(2 - score) if ranks else score, 0.0)
         self.rare = float(self.weight[usual].min()) - 1 if usual else -1.0
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of hashed stretches, -1 where they are no piece."""
+        at = _slot(h)
+        i = self.slot[at]
+        wrong = self.hash[i] != h
+        if self.crowded:
+            odd = np.flatnonzero(wrong & self.crowded_slots[at])
+            i[odd] = [self.crowded.get(x, -1) for x in h[odd].tolist()]
+            wrong[odd] = False
+        i[wrong] = -1
+        return i
+
     def spell(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "replace")]
 
@@ -89,7 +120,7 @@ def _prefix(points: np.ndarray) -> np.ndarray:
 
 def _slot(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (h * _STEP[0]) >> np.uint64(44)
+        return (h * _STEP[0]) >> np.uint64(64 - SLOTS)
 
 
 def normalise(text: str) -> str:
@@ -97,6 +128,17 @@ def normalise(text: str) -> str:
     return BLANK + text.replace(" ", BLANK) if text else ""
 
 
+def units_of(text: str) -> list[str]:
+    """The units of a text; together they are its normalised form."""
+    if not text:
+        return []
+    if "  " in text or "\0" in text or BLANK in text:
+        return _UNITS.findall(normalise(text))
+    # single blanks: cutting the string is faster than matching
+    units = (BLANK + text.replace(" ", "\0" + BLANK).replace("\n", "\0\n\0")).split("\0")
+    return list(filter(None, units)) if "\n" in text else units
+
+
 def _uniform(seed: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from 64-bit seeds: the same for a seed in any process and any order."""
     return (mix(seed) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
@@ -115,19 +157,20 @@ class Seed:
 
 
 class Lattices:
-    """Lattices of distinct units as one automaton: state s has the edges edge[s] .. edge[s+1] - 1, likeliest first."""
+    """Lattices of distinct units as one automaton: state s has the edges edge[s] .. edge[s+1] - 1."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.clear()
+        self.edge = np.zeros(1, np.int64)  # of states, first edges; one more at the end
+        self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # state after (-1: unit ends); id or -1 - spelled
+        self.cum, self.logp, self.left = np.zeros(0, np.float32), np.zeros(0), np.zeros(0)
 
     def clear(self) -> None:
+        """Forgets the units; the arrays stay for the next ones."""
         self.known: dict[str, int] = {}
         self.spelled: list[list[int]] = []
         self.n_states = self.n_edges = 0
-        self.edge = np.zeros(1, np.int64)  # of states, first edges; one more at the end
-        self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # state after (-1: unit ends); id or -1 - spelled
-        self.cum, self.logp = np.zeros(0, np.float32), np.zeros(0)
 
     def _room(self, states: int, edges: int) -> None:
         def grow(a: np.ndarray, n: int) -> np.ndarray:
@@ -138,7 +181,7 @@ class Lattices:
             return out
 
         self.edge = grow(self.edge, self.n_states + states + 1)
-        self.target, self.piece, self.cum, self.logp = (grow(a, self.n_edges + edges) for a in (self.target, self.piece, self.cum, self.logp))
+        self.target, self.piece, self.cum, self.logp, self.left = (grow(a, self.n_edges + edges) for a in (self.target, self.piece, self.cum, self.logp, self.left))
 
     def build(self, units: list[str]) -> None:
         """Adds the lattices of new units, all at once."""
@@ -149,51 +192,54 @@ class Lattices:
         total, down = _prefix(points), _POINT_POWERS.upto(n + 1)[1]
         at = np.arange(n)
         src, size, ids, single = [], [], [], np.zeros(n, bool)
-        for length, (hashes, pieces) in v.lengths.items():
-            if length > sizes.max():
-                break
-            i = at[: n - length + 1]
-            i = i[i + length <= stop[: len(i)]]
+        i, length = at, 0
+        while len(i):
+            length += 1
             with np.errstate(over="ignore"):
-                h = (total[i + length] - total[i]) * down[i]
-            some = v.maybe[_slot(h)]
-            i, h = i[some], h[some]
-            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            hit = hashes[k] == h
-            i = i[hit]
-            src.append(i)
-            size.append(np.full(len(i), length))
-            ids.append(pieces[k[hit]].astype(np.int64))
+                found = v.find((total[i + length] - total[i]) * down[i])
+            hit = (found >= 0) & (found < v.n)
+            src.append(i[hit])
+            size.append(np.full(len(src[-1]), length))
+            ids.append(found[hit].astype(np.int64))
             if length == 1:
-                single[i] = True
+                single[src[-1]] = True
+            on = (found >= 0) & v.more[found]
+            i = i[on]
+            i = i[i + length < stop[i]]
         bare = np.flatnonzero(~single)
         chars, of = np.unique(points[bare], return_inverse=True)
         first = len(self.spelled)
         self.spelled += [v.spell(chr(c)) for c in chars.tolist()]
         spelled_weight = v.rare * np.array([len(x) for x in self.spelled[first:]], float)
-        i, size = np.concatenate([*src, bare]), np.concatenate([*size, np.ones(len(bare), np.int64)])
-        w = np.concatenate([*(v.weight[x] for x in ids), spelled_weight[of] if len(bare) else np.zeros(0)])
-        piece = np.concatenate([*ids, -1 - first - of])
+        # edges by position, the longest first: it is the likeliest one mostly
+        i, size = np.concatenate([bare, *src[::-1]]), np.concatenate([np.ones(len(bare), np.int64), *size[::-1]])
+        w = np.concatenate([spelled_weight[of] if len(bare) else np.zeros(0), *(v.weight[x] for x in ids[::-1])])
+        piece = np.concatenate([-1 - first - of, *ids[::-1]])
+        o = np.argsort(i, kind="stable")
+        i, size, w, piece = i[o], size[o], w[o], piece[o]
         # backward sums, from the units' ends
-        left = stop[i] - i
-        o = np.argsort(left * n + i)
-        i, size, w, piece, left = i[o], size[o], w[o], piece[o], left[o]
-        back, ends = np.zeros(n + 1), i + size == stop[i]
-        levels = np.flatnonzero(np.diff(left, prepend=0))
+        left, ends, to = stop[i] - i, i + size == stop[i], i + size
+        o = np.argsort(left.astype(np.uint16) if sizes.max() < 1 << 16 else left, kind="stable")
+        back, level = np.zeros(n + 1), left[o]
+        levels = np.flatnonzero(np.diff(level, prepend=0))
         for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(i)]):
-            x = w[a:b] + np.where(ends[a:b], 0.0, back[i[a:b] + size[a:b]])
-            heads = np.flatnonzero(np.diff(i[a:b], prepend=-1))
-            back[i[a:b][heads]] = np.logaddexp.reduceat(x, heads)
-        logp = w + np.where(ends, 0.0, back[i + size]) - back[i]
-        o = np.argsort(i - 0.999 * np.exp(logp))
-        i, size, piece, logp, ends = i[o], size[o], piece[o], logp[o], ends[o]
+            e = o[a:b]
+            x = w[e] + np.where(ends[e], 0.0, back[to[e]])
+            heads = np.flatnonzero(np.diff(i[e], prepend=-1))
+            back[i[e[heads]]] = np.logaddexp.reduceat(x, heads)
+        logp = w + np.where(ends, 0.0, back[to]) - back[i]
         num = np.bincount(i, minlength=n)
         self._room(n, len(i))
         s, e = self.n_states, self.n_edges
         self.edge[s + 1 : s + n + 1] = e + np.cumsum(num)
-        self.target[e : e + len(i)] = np.where(ends, -1, s + i + size)
+        self.target[e : e + len(i)] = np.where(ends, -1, s + to)
         self.piece[e : e + len(i)], self.logp[e : e + len(i)] = piece, logp
-        p = np.cumsum(np.exp(logp))
+        p = np.exp(logp)
+        #: share of a state's other edges, inverted: what makes their group's bound
+        alone = np.repeat(num, num) < 2
+        with np.errstate(divide="ignore"):
+            self.left[e : e + len(i)] = np.where(alone, np.inf, 1 / np.maximum(-np.expm1(logp), 1e-300))
+        p = np.cumsum(p)
         own = p - np.repeat(np.concatenate([[0.0], p])[np.cumsum(num) - num], num)
         own[np.cumsum(num) - 1] = 1.0
         self.cum[e : e + len(i)] = own
@@ -204,9 +250,12 @@ class Lattices:
         """First states of units, built where new. Forgets all first when KEPT units are held; earlier states are void then."""
         if len(self.known) > KEPT:
             self.clear()
-        if new := list(dict.fromkeys(u for u in units if u not in self.known)):
-            self.build(new)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        got = list(map(self.known.get, units))
+        if missing := [k for k, x in enumerate(got) if x is None]:
+            self.build(list(dict.fromkeys(map(units.__getitem__, missing))))
+            for k in missing:
+                got[k] = self.known[units[k]]
+        return np.array(got, np.int64)
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each state by its probability."""
@@ -268,17 +317,22 @@ class Walks:
         queue: list[tuple] = []
 
         def siblings(e: np.ndarray, log: np.ndarray, unit: np.ndarray, first: int, mass: float, most: float, salt: int) -> float:
-            """Queues the groups left behind by path e from step `first` on, whose prefix has log mass `mass`; returns log p."""
+            """Queues the groups left behind by path e from step `first` on, whose prefix has log mass `mass`; returns log p.
+
+            A group of mass m has the bound -log(exp(-most) + E / m) with E exponential, a Gumbel variable truncated at
+            `most`: the least E / m are the greatest bounds.
+            """
             log = log[first:]
             total = np.cumsum(log)
-            prefix = mass + total - log
-            with np.errstate(over="ignore", divide="ignore"):
+            with np.errstate(over="ignore"):
                 u = _uniform(own + (np.arange(len(log)) + (salt << 40)).astype(np.uint64) * _STEP[0])
-                bound = _truncated(prefix + np.log(-np.expm1(log)), u, most)
+                cost = -np.log(u) * np.exp(log - total) * lat.left[e[first:]]
             # k + 1 results at most are wanted: lesser groups of one path can never be reached
-            for s in np.argpartition(-bound, k)[: k + 1].tolist() if len(bound) > k + 1 else range(len(bound)):
-                if bound[s] > -np.inf:
-                    heapq.heappush(queue, (-float(bound[s]), len(queue) + salt * 1000, first + s, e, log, unit, float(prefix[s]), (int(e[first + s]),), first))
+            near = np.argpartition(cost, k)[: k + 1].tolist() if len(cost) > k + 1 else range(len(cost))
+            for s in near:
+                if cost[s] < np.inf:
+                    bound = -np.logaddexp(-most, np.log(cost[s]) - mass)
+                    heapq.heappush(queue, (-float(bound), len(queue) + salt * 1000, first + s, e, unit, float(mass + total[s] - log[s]), (int(e[first + s]),)))
             return float(mass + (total[-1] if len(total) else 0.0))
 
         top = -np.log(-np.log(one.next()))
@@ -286,7 +340,7 @@ class Walks:
         e, unit = self.edges[0][i:j], self.units[0][i:j]
         found = [(e, siblings(e, self.log[0][i:j], unit, 0, 0.0, top, 1))]
         while len(found) < k and queue:
-            bound, tick, s, e, log, unit, mass, barred, from_step = heapq.heappop(queue)
+            bound, tick, s, e, unit, mass, barred = heapq.heappop(queue)
             bound, q = -bound, len(found)
             state = int(np.searchsorted(lat.edge[: lat.n_states + 1], e[s], "right")) - 1
             free = np.array([x for x in range(int(lat.edge[state]), int(lat.edge[state + 1])) if x not in barred])
@@ -298,7 +352,7 @@ class Walks:
             chosen = int(free[pick])
             if len(free) > 1:  # the group goes back without the chosen edge
                 left = mass + float(np.logaddexp.reduce(np.delete(logs, pick)))
-                heapq.heappush(queue, (-float(_truncated(left, one.next(), bound)), tick, s, e, log, unit, mass, (*barred, chosen), from_step))
+                heapq.heappush(queue, (-float(_truncated(left, one.next(), bound)), tick, s, e, unit, mass, (*barred, chosen)))
             # the rest of this unit by single draws, then what walk q has for all units after it
             here = [chosen]
             while (after := int(lat.target[here[-1]])) >= 0:
@@ -336,8 +390,11 @@ def path_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int] | np.ndarray) -> str:
     """The text of piece ids: the exact inverse of any segmentation of a text without BLANK signs."""
-    raw = b"".join(map(vocabulary.piece.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
-    text = raw.decode("utf-8", "replace").replace(BLANK, " ")
+    ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
+    if vocabulary.wide.isdisjoint(ids):
+        text = "".join(map(vocabulary.text.__getitem__, ids))
+    else:
+        text = b"".join(map(vocabulary.piece.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
     return text[1:] if text[:1] == " " else text
 
 
@@ -361,7 +418,7 @@ def segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text", k: i
                 while end < len(texts) and (end == at or size < 1 << 20):
                     size += len(texts[end] or "")
                     end += 1
-                units = [_UNITS.findall(normalise(x)) if x else [] for x in texts[at:end]]
+                units = [units_of(x) if x else [] for x in texts[at:end]]
                 starts = lat.states(list(chain.from_iterable(units)))
                 of = np.repeat(np.arange(end - at), list(map(len, units)))
                 walks = Walks(lat, starts, of, mix(np.array(hashes[at:end], np.int64).view(np.uint64) ^ mix(np.array([seed], np.uint64))), k)
