@@ -131,7 +131,7 @@ def clean_markdown(text: Column | str) -> Column:
 
 
 def split_tags(tags: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(tags), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(_c(tags), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def preview(text: Column | str, n: int = 200) -> Column:

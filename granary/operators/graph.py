@@ -48,8 +48,8 @@ def trails(edges: DataFrame, start: DataFrame, depth: int) -> list[DataFrame]:
     both, out = _both_ways(edges), []
     now = start.select("seed", F.col("seed").alias("v"), F.array().cast("array<bigint>").alias("path"))
     for _ in range(depth):
-        step = now.join(both, now["v"] == both["u"]).where(~F.array_contains("path", F.col("e")))
-        now = step.select("seed", both["v"].alias("v"), F.array_append("path", F.col("e")).alias("path"), "relation")
+        step = now.withColumnRenamed("v", "at").join(both, F.col("at") == F.col("u")).where(~F.array_contains("path", F.col("e")))
+        now = step.select("seed", "v", F.array_append("path", F.col("e")).alias("path"), "relation")
         out.append(now)
         now = now.drop("relation")
     return out
@@ -75,7 +75,7 @@ def proximity(edges: DataFrame, seeds: list[str], limit: int = 20, depth: int =
     kind = edges.schema["src"].dataType.simpleString()
     start = edges.sparkSession.createDataFrame([(s,) for s in seeds], f"seed {kind}").distinct()
     both = _both_ways(edges)
-    first = start.join(both, start["seed"] == both["u"]).select("seed", "v", "e")
+    first = start.join(both, F.col("seed") == F.col("u")).select("seed", "v", "e")
     loops = first.where("v = seed").select("seed", "v", F.lit(1).alias("d"))
     level = first.where("v <> seed").select("seed", "v", "e").distinct()
     reached = level.select("seed", "v", F.lit(1).alias("d")).distinct()
@@ -88,7 +88,7 @@ def proximity(edges: DataFrame, seeds: list[str], limit: int = 20, depth: int =
     seen, front, found = start.select("seed", F.col("seed").alias("v")), reached.select("seed", "v"), [reached]
     for d in range(2, depth + 1):
         seen = seen.unionByName(front)
-        front = front.join(both, front["v"] == both["u"]).select("seed", both["v"].alias("v")).distinct().join(seen, ["seed", "v"], "left_anti")
+        front = front.withColumnRenamed("v", "at").join(both, F.col("at") == F.col("u")).select("seed", "v").distinct().join(seen, ["seed", "v"], "left_anti")
         found.append(front.select("seed", "v", F.lit(d).alias("d")))
     rows = found[0]
     for x in [*found[1:], *closed]:
@@ -111,8 +111,8 @@ def personalised_pagerank(edges: DataFrame, seeds: list[str], damping: float = 0
     p = spark.createDataFrame([(s, 1.0 / len(seeds)) for s in seeds], f"id {kind}, p double")
     rank = p.select("id", F.col("p").alias("r"))
     for i in range(iterations):
-        sent = share.join(rank, share["src"] == rank["id"]).groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("s"))
-        rank = sent.join(p, sent["dst"] == p["id"], "full").select(F.coalesce("dst", "id").alias("id"), ((1 - damping) * F.coalesce("p", F.lit(0.0)) + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
+        sent = share.join(rank, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("r") * F.col("share")).alias("s"))
+        rank = sent.join(p, F.col("dst") == F.col("id"), "full").select(F.coalesce("dst", "id").alias("id"), ((1 - damping) * F.coalesce("p", F.lit(0.0)) + damping * F.coalesce("s", F.lit(0.0))).alias("r"))
         if i % 4 == 3:
             rank = cut(rank)
     out = rank.select("id", F.col("r").alias("score")).orderBy(F.desc("score"), "id")

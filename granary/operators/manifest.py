@@ -11,7 +11,7 @@ from ..schemas import INGESTION_STATUS, conform, latest, parse_member
 def upsert_manifest(existing: DataFrame, new: DataFrame, now: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """By source_file. All columns are overwritten, nulls too, but for created_at, and ingested_at unless completed."""
     now = now if now is not None else F.current_timestamp()
-    new = conform(latest(new, ("source_file",), order or [F.xxhash64(*new.columns).desc()]), "ingestion_manifest")
+    new = conform(latest(new, ("source_file",), order or [F.xxhash64(F.to_json(F.struct(*new.columns))).desc()]), "ingestion_manifest")
     old = existing.select("source_file", F.col("created_at").alias("_created"), F.col("ingested_at").alias("_ingested"), F.lit(True).alias("_old"))
     rows = new.join(old, "source_file", "left").withColumns(
         {"created_at": F.coalesce("_created", now), "updated_at": now, "ingested_at": F.when(F.col("status") == "completed", now).otherwise(F.col("_ingested"))}

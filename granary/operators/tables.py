@@ -21,7 +21,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...], keep: tup
     Where new holds a key more than once, the first by `order` (greatest hash without one) wins. Columns are matched by
     name. One shuffle of either side by the keys; the same key has one row after it.
     """
-    order = order if order is not None else F.xxhash64(*new.columns).desc()
+    order = order if order is not None else F.xxhash64(F.to_json(F.struct(*new.columns))).desc()
     new = latest(new, keys, [order])
     if keep:
         old = existing.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep))
