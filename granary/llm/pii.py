@@ -173,11 +173,13 @@ def redact(docs: DataFrame) -> DataFrame:
     s = s.withColumn("new", F.when(F.coalesce(reach <= F.col("start"), F.lit(True)), 1).otherwise(0)).withColumn("g", F.sum("new").over(w))
     s = s.groupBy("doc_id", "th", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
     per = s.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.upper("kind").alias("kind")))).alias("cuts"))
-    d, p = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).alias("d"), per.alias("p")
-    both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d._th") == F.col("p.th")), "left")
+    d, p = docs.alias("d"), per.alias("p")
+    both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("p.th")), "left")
     # the last span first, so that earlier positions stay right
-    text = F.expr("aggregate(reverse(cuts), text, (t, c) -> concat(left(t, c.start), '[', c.kind, ']', substr(t, c.end + 1)))")
-    return both.select(*(F.when(F.col("cuts").isNotNull() & F.col("text").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"d.{c}") for c in docs.columns))
+    text = F.expr("aggregate(reverse(p.cuts), d.text, (t, c) -> concat(left(t, c.start), '[', c.kind, ']', substr(t, c.end + 1)))")
+    own = {c: F.col(f"d.`{c}`") for c in docs.columns}
+    own["text"] = F.when(F.col("p.cuts").isNotNull() & F.col("d.text").isNotNull(), text).otherwise(F.col("d.text"))
+    return both.select(*(x.alias(c) for c, x in own.items()))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,8 +58,8 @@ def _minimisers(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return i, np.cumsum(new) - 1, h[at[new]]
 
 
-def _cells(h: np.ndarray, row: int) -> np.ndarray:
-    return (mix(h ^ _SEEDS[row]) >> np.uint64(64 - CELLS)).astype(np.uint32)
+def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    return (mix(h ^ _SEEDS[row]) >> np.uint64(64 - bits)).astype(np.uint32)
 
 
 def _pack(cells: np.ndarray) -> bytes:
@@ -73,9 +73,9 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def sketch(docs: DataFrame, k: int) -> Broadcast:
+def sketch(docs: DataFrame, k: int, cells_log: int = CELLS, shard_log: int = SHARD) -> Broadcast:
     """The merged sketch as bits (row, byte): set where a cell was counted twice or more."""
-    per_row = 1 << (CELLS - SHARD)
+    per_row = 1 << (cells_log - shard_log)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
@@ -85,9 +85,9 @@ def sketch(docs: DataFrame, k: int) -> Broadcast:
             shards, once, more = [], [], []
             for r in range(DEPTH):
                 u, n = np.unique(np.concatenate(held[r]), return_counts=True)
-                edge = np.searchsorted(u, np.arange(per_row + 1, dtype=np.uint64) << np.uint64(SHARD))
+                edge = np.searchsorted(u, np.arange(per_row + 1, dtype=np.uint64) << np.uint64(shard_log))
                 for s in np.flatnonzero(np.diff(edge)):
-                    part, c = u[edge[s] : edge[s + 1]] & np.uint32((1 << SHARD) - 1), n[edge[s] : edge[s + 1]]
+                    part, c = u[edge[s] : edge[s + 1]] & np.uint32((1 << shard_log) - 1), n[edge[s] : edge[s + 1]]
                     shards.append(r * per_row + s)
                     once.append(_pack(part[c == 1]))
                     more.append(_pack(part[c > 1]))
@@ -98,7 +98,7 @@ def sketch(docs: DataFrame, k: int) -> Broadcast:
             for _, _, w in words(b.column(0)):
                 h = _minimisers(w, k)[2]
                 for r in range(DEPTH):
-                    held[r].append(_cells(h, r))
+                    held[r].append(_cells(h, r, cells_log))
                 size += len(h)
                 if size >= HELD:
                     yield send()
@@ -110,7 +110,7 @@ def sketch(docs: DataFrame, k: int) -> Broadcast:
         cells: dict[int, np.ndarray] = {}
         for b in batches:
             for s, once, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                c = cells.setdefault(s, np.zeros(1 << SHARD, np.uint8))
+                c = cells.setdefault(s, np.zeros(1 << shard_log, np.uint8))
                 i = _unpack(once)
                 c[i] = np.minimum(c[i] + 1, 2)
                 c[_unpack(more)] = 2
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, k: int) -> Broadcast:
     spark = docs.sparkSession
     parts = docs.select("text").mapInArrow(count, "shard int, once binary, more binary")
     merged = parts.repartition(min(DEPTH * per_row, tasks(spark)), "shard").mapInArrow(merge, "shard int, bits binary")
-    bits = np.zeros((DEPTH * per_row, (1 << SHARD) // 8), np.uint8)
+    bits = np.zeros((DEPTH * per_row, (1 << shard_log) // 8), np.uint8)
     for r in merged.toLocalIterator():  # DEPTH x per_row shards at most, whatever the input
         bits[r["shard"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return spark.sparkContext.broadcast(bits.reshape(DEPTH, -1))
@@ -131,7 +131,7 @@ def _repeated(w: Words, k: int, bits: np.ndarray) -> np.ndarray:
     i, which, h = _minimisers(w, k)
     hot = np.ones(len(h), bool)
     for r in range(DEPTH):
-        c = _cells(h, r)
+        c = _cells(h, r, bits.shape[1].bit_length() + 2)
         hot &= (bits[r][c >> np.uint32(3)] >> (7 - (c & np.uint32(7))).astype(np.uint8)) & 1 > 0
     return i[hot[which]]
 
@@ -205,9 +205,9 @@ def later_windows(docs: DataFrame, k: int, bits: Broadcast) -> DataFrame:
     return met.mapInArrow(settle, "doc long, start int, n int")
 
 
-def _marked(docs: DataFrame, k: int) -> DataFrame:
+def _marked(docs: DataFrame, k: int, **sizes: int) -> DataFrame:
     """(doc, starts, ns): the later windows of each document that has any."""
-    bits = sketch(docs.where("doc_id is not null"), k)
+    bits = sketch(docs.where("doc_id is not null"), k, **sizes)
     runs = later_windows(docs, k, bits).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     return runs.select("doc", F.col("runs.start").alias("starts"), F.col("runs.n").alias("ns"))
 
@@ -235,7 +235,7 @@ def drop_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     """
     names = docs.columns
     marks = _marked(docs, k).toDF("_doc", "_starts", "_ns")
-    both = docs.join(marks, F.col("doc_id") == F.col("_doc"), "left").select(*(F.col(c) for c in names), "_starts", "_ns")
+    both = docs.alias("d").join(marks.alias("m"), F.col("d.doc_id") == F.col("m._doc"), "left").select(*(F.col(f"d.`{c}`") for c in names), F.col("m._starts"), F.col("m._ns"))
     at, runs = names.index("text"), len(names)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,14 +250,14 @@ def drop_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in names else out
 
 
-def remove_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 20, **sizes: int) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept is the words left, joined by one space.
 
     Windows are judged on the input. Null and empty texts have no words. A row without doc_id has no place in the order: it
     is kept whole and removes nothing. Rows of one doc_id count as one document: equal windows at the same start
-    don't remove each other, and a removal in one applies to all.
+    don't remove each other, and a removal in one applies to all. sizes: cells_log, shard_log of the sketch.
     """
-    both = docs.select("doc_id", "text").join(_marked(docs, k), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts", "ns")
+    both = docs.select("doc_id", "text").join(_marked(docs, k, **sizes), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts", "ns")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -241,7 +241,7 @@ def export(bundles: DataFrame, uri: str) -> DataFrame:
         for b in batches:
             files, sizes = [], []
             for name, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                with where.open_output_stream(f"{top}/{name}.warc.zst") as f:  # named by content: a retry writes the same
+                with where.open_output_stream(f"{top}/{name}.warc.zst", compression=None) as f:  # named by content: a retry writes the same
                     f.write(blob.as_buffer())
                 files.append(f"{name}.warc.zst")
                 sizes.append(blob.as_buffer().size)
