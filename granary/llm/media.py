@@ -140,6 +140,20 @@ def decode(b: bytes) -> np.ndarray:
 # --- pixels ---------------------------------------------------------------------------------------------------------
 
 
+def integral_rows(a: np.ndarray, rows: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """Rows of the integral image of (h, w, planes) samples, with a zero column in front: sums over all samples above each of
+    `rows` (ascending, 0 to h). Runs down the image in bands of about `most` samples, so a tall image needs no more memory."""
+    out = np.zeros((len(rows), a.shape[1] + 1, a.shape[2]))
+    band, so_far = max(1, most // max(1, a.shape[1] * a.shape[2])), np.zeros(a.shape[1:])
+    for top in range(0, a.shape[0], band):
+        part = a[top : top + band]
+        own = np.flatnonzero((rows > top) & (rows <= top + len(part)))
+        total = np.cumsum(part, 0, dtype=np.float64)
+        out[own, 1:] = so_far + total[rows[own] - top - 1]
+        so_far = so_far + total[-1]
+    return np.cumsum(out, 1)
+
+
 def resize_area(a: np.ndarray, h: int, w: int) -> np.ndarray:
     """Mean over the area that each target pixel covers, from an integral image with linear interpolation at edges.
 
@@ -147,16 +161,18 @@ def resize_area(a: np.ndarray, h: int, w: int) -> np.ndarray:
     """
     a = a[:, :, None] if a.ndim == 2 else a
     rows, cols = a.shape[:2]
-    total = np.zeros((rows + 1, cols + 1, a.shape[2]))
-    np.cumsum(np.cumsum(a, 0, dtype=np.float64), 1, out=total[1:, 1:])
 
-    def at(x: np.ndarray, n: int, t: np.ndarray, axis: int) -> np.ndarray:
+    def at(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         i = np.minimum(x.astype(np.int64), n - 1)
-        f = (x - i).reshape([-1 if k == axis else 1 for k in range(3)])
-        return np.take(t, i, axis) * (1 - f) + np.take(t, i + 1, axis) * f
-
-    y, x = np.linspace(0, rows, h + 1), np.linspace(0, cols, w + 1)
-    t = at(x, cols, at(y, rows, total, 0), 1)
+        return i, i + 1, x - i
+
+    i, j, f = at(np.linspace(0, rows, h + 1), rows)
+    need = np.unique(np.concatenate([i, j]))
+    total, f = integral_rows(a, need), f[:, None, None]
+    total = total[np.searchsorted(need, i)] * (1 - f) + total[np.searchsorted(need, j)] * f
+    i, j, f = at(np.linspace(0, cols, w + 1), cols)
+    f = f[None, :, None]
+    t = total[:, i] * (1 - f) + total[:, j] * f
     out = (t[1:, 1:] - t[:-1, 1:] - t[1:, :-1] + t[:-1, :-1]) / (rows / h * cols / w)
     return out[:, :, 0] if out.shape[2] == 1 else out
 
