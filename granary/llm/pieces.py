@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,8 @@ class Vocabulary:
         self.crowded_slots[_slot(np.array(list(self.crowded), np.uint64))] = True
         #: pieces as text; those that are parts of a character only
         self.text = [p.decode("utf-8", "replace").replace(BLANK, " ") for p in self.piece]
-        self.wide = {i for b, i in self.byte.items() if b > 127}
+        self.wide = np.zeros(n, bool)
+        self.wide[[i for b, i in self.byte.items() if b > 127]] = True
         self.weight = temper * np.where(score <= 0, -np.log(2 - score) if ranks else score, 0.0)
         self.rare = float(self.weight[usual].min()) - 1 if usual else -1.0
 
@@ -164,7 +165,7 @@ class Lattices:
         self.clear()
         self.edge = np.zeros(1, np.int64)  # of states, first edges; one more at the end
         self.target, self.piece = np.zeros(0, np.int32), np.zeros(0, np.int32)  # state after (-1: unit ends); id or -1 - spelled
-        self.cum, self.logp, self.left = np.zeros(0, np.float32), np.zeros(0), np.zeros(0)
+        self.cum, self.logp, self.left = np.zeros(0, np.float32), np.zeros(0), np.zeros(0, np.float32)
 
     def clear(self) -> None:
         """Forgets the units; the arrays stay for the next ones."""
@@ -176,7 +177,7 @@ class Lattices:
         def grow(a: np.ndarray, n: int) -> np.ndarray:
             if len(a) >= n:
                 return a
-            out = np.zeros(max(n, 2 * len(a)), a.dtype)
+            out = np.zeros(max(n, 3 * len(a) // 2), a.dtype)
             out[: len(a)] = a
             return out
 
@@ -211,10 +212,12 @@ class Lattices:
         first = len(self.spelled)
         self.spelled += [v.spell(chr(c)) for c in chars.tolist()]
         spelled_weight = v.rare * np.array([len(x) for x in self.spelled[first:]], float)
+        # one byte is a piece like any other
+        spelled_id = np.array([x[0] if len(x) == 1 else -1 - first - k for k, x in enumerate(self.spelled[first:])], np.int64)
         # edges by position, the longest first: it is the likeliest one mostly
         i, size = np.concatenate([bare, *src[::-1]]), np.concatenate([np.ones(len(bare), np.int64), *size[::-1]])
         w = np.concatenate([spelled_weight[of] if len(bare) else np.zeros(0), *(v.weight[x] for x in ids[::-1])])
-        piece = np.concatenate([-1 - first - of, *ids[::-1]])
+        piece = np.concatenate([spelled_id[of] if len(bare) else of, *ids[::-1]])
         o = np.argsort(i, kind="stable")
         i, size, w, piece = i[o], size[o], w[o], piece[o]
         # backward sums, from the units' ends
@@ -250,12 +253,14 @@ class Lattices:
         """First states of units, built where new. Forgets all first when KEPT units are held; earlier states are void then."""
         if len(self.known) > KEPT:
             self.clear()
-        got = list(map(self.known.get, units))
-        if missing := [k for k, x in enumerate(got) if x is None]:
-            self.build(list(dict.fromkeys(map(units.__getitem__, missing))))
-            for k in missing:
-                got[k] = self.known[units[k]]
-        return np.array(got, np.int64)
+        known = self.known
+        got = np.fromiter(map(known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(got < 0)
+        if len(missing):
+            names = [units[k] for k in missing.tolist()]
+            self.build(list(dict.fromkeys(names)))
+            got[missing] = list(map(known.__getitem__, names))
+        return got
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each state by its probability."""
@@ -390,8 +395,9 @@ def path_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
 
 def decode_ids(vocabulary: Vocabulary, ids: list[int] | np.ndarray) -> str:
     """The text of piece ids: the exact inverse of any segmentation of a text without BLANK signs."""
+    wide = vocabulary.wide[ids].any() if len(ids) else False
     ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
-    if vocabulary.wide.isdisjoint(ids):
+    if not wide:
         text = "".join(map(vocabulary.text.__getitem__, ids))
     else:
         text = b"".join(map(vocabulary.piece.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
