@@ -182,5 +182,5 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.filter(F.split(F.lower(_c(text)), "[^a-z0-9]+"), lambda w: w != "")
+    """Lower-cased runs of ASCII letters and digits. Array functions stay in generated code, lambdas are interpreted."""
+    return F.array_remove(F.split(F.lower(_c(text)), "[^a-z0-9]+"), "")

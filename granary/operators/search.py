@@ -90,7 +90,7 @@ def corpus_stats(docs: DataFrame, text: str = "content") -> DataFrame:
 
 
 def _count(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda x: x == term)).cast("double")
+    return (F.size(tokens) - F.size(F.array_remove(tokens, term))).cast("double")
 
 
 def bm25(docs: DataFrame, query: str, id: str = "id", text: str = "content", k1: float = K1, b: float = B) -> DataFrame:
