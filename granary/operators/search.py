@@ -114,6 +114,35 @@ def bm25(docs: DataFrame, query: str, id: str = "id", text: str = "content", k1:
     return both.select("id", score.alias("score"))
 
 
+def bm25_postings(index: DataFrame, stats: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25 over written postings and statistics: reads the query's tokens only, where bm25 scans all texts.
+
+    With the postings bucketed or sorted by token the filter prunes files. Which terms a document has is a bit mask, from
+    which the query's alternatives and exclusions follow. Phrases need positions, which postings don't have: ValueError.
+    """
+    q = parse_query(query)
+    if any(len(p) > 1 for must, never in q.any_of for p in [*must, *never]):
+        raise ValueError("phrases need the texts: use bm25")
+    terms = q.terms
+    every = sorted({p[0] for must, never in q.any_of for p in [*must, *never]})
+    if not every:
+        return index.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    place = {t: i for i, t in enumerate(every)}
+    own = index.where(F.col("token").isin(every))
+    df = own.groupBy("token").agg(F.count("*").cast("double").alias("df"))  # a row for each term of the query
+    rows = own.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))
+    n, d, tf = F.col("n"), F.col("df"), F.col("tf")
+    part = F.log(1 + (n - d + 0.5) / (d + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    bit = F.element_at(F.create_map(*(F.lit(x) for t, i in place.items() for x in (t, 1 << i))), F.col("token"))
+    per = rows.groupBy("id").agg(F.sum(F.when(F.col("token").isin(terms), part).otherwise(0.0)).alias("score"), F.bit_or(bit).alias("mask"))
+    hit = F.lit(False)
+    for must, never in q.any_of:
+        need, bad = sum({1 << place[p[0]] for p in must}), sum({1 << place[p[0]] for p in never})
+        if need:  # a query of exclusions alone would need the documents that have no posting
+            hit = hit | ((F.col("mask").bitwiseAND(need) == need) & (F.col("mask").bitwiseAND(bad) == 0))
+    return per.where(hit).select("id", "score")
+
+
 def lexical_topk(docs: DataFrame, query: str, limit: int = 20, id: str = "id", text: str = "content") -> DataFrame:
     """(id, score), greatest first, ties by id."""
     return bm25(docs, query, id, text).orderBy(F.desc("score"), "id").limit(limit)

@@ -133,6 +133,14 @@ def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.lexical_topk(_corpus(spark, d), "license work").select("id", F.round("score", 6).alias("score"))
 
 
+@query("lexical_postings_topk", f"SELECT id, round(score, 6) AS score FROM ({_LICENSE}) ORDER BY score DESC, id LIMIT 20")
+def lexical_postings_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The same list from an inverted index."""
+    c = _corpus(spark, d)
+    hits = search.bm25_postings(search.postings(c), search.corpus_stats(c), "license work")
+    return hits.orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
 _THE = _bm25_sql(["the", "and"], "tf0 > 0 AND tf1 > 0")
 _DENSE = f"SELECT vec_id AS id, sim AS score FROM ({_SIM0}) WHERE sim >= 0.0"
 

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.operators import graph, manifest, memory, tables
-from granary.operators.search import parse_query, reciprocal_rank_fusion, search
+from granary.operators.search import bm25, bm25_postings, corpus_stats, parse_query, postings, reciprocal_rank_fusion, search
 from granary.plans import ingest, retrieval
 from granary.plans.tools import MemoryTools, SearchTools
 from granary.schemas import checked, conform, delete_parents, empty, parse_member
@@ -126,6 +126,16 @@ def test_search(spark):
     assert ids(fused) == ["2", "1"]
 
 
+def test_postings_agree_with_texts(spark):
+    corpus = rows(spark, [(1, "a b c"), (2, "a a d"), (3, "c d"), (4, ""), (5, "b")], "id long, content string")
+    index, stats = postings(corpus).cache(), corpus_stats(corpus)
+    for q in ("a", "a c", "a or d", "d -a", "b -c or d", "zz", "a zz", ""):
+        want, got = ({r["id"]: round(r["score"], 9) for r in x.collect()} for x in (bm25(corpus, q), bm25_postings(index, stats, q)))
+        assert got == want, q
+    with pytest.raises(ValueError):
+        bm25_postings(index, stats, '"a b"')
+
+
 def test_plan():
     p = retrieval.plan("how does load_graph work and what does HybridSearcher return?")
     assert p.complexity == "complex" and len(p.sub_questions) == 2 and {"load_graph", "HybridSearcher"} <= set(p.anchors)
