@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -28,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='granary-')}"
+        own = tempfile.mkdtemp(prefix="granary-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
         sc.setCheckpointDir(named)
     return named
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table that was written in the shared folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: it survives lost executors and ends the lineage."""
     shared_dir(df.sparkSession)
