@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import minhash, packing, pii, substring, toxicity
-from granary.llm.common import crc_mod, shared_dir, ship, table
+from granary.llm.common import crc_mod, drop, shared_dir, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each result is written to the shared folder and read again, then its input goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
+        if before:
+            drop(spark, f"{top}/{before}")
+        before = name
     return docs
