@@ -109,9 +109,12 @@ class Catalog:
             out.write(bytearray(v.encode()))
         finally:
             out.close()
-        if self._fs.exists(now):
-            self._fs.delete(now, False)
-        self._fs.rename(new, now)
+        # one atomic step: a reader sees the old pointer or the new one
+        gateway, fs = self.spark.sparkContext._gateway, self._jvm.org.apache.hadoop.fs
+        kind = getattr(fs, "Options$Rename")
+        over = gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        fs.FileContext.getFileContext(self._path().toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, now, over)
         return v
 
     def vacuum(self, table: str) -> int:

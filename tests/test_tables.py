@@ -187,3 +187,23 @@ def test_code_index_into_catalog(spark, catalog, tmp_path):
     n, e = catalog.read("graph_nodes"), catalog.read("graph_edges")
     assert [r["id"] for r in graph.callers(n, e, "a.py:g").collect()] == ["a.py:f"] and n.first()["label"] == "Function"
     assert ingest.index_code(catalog, str(src), "p")["entities"] == 2 and catalog.read("graph_nodes").count() == 2
+
+
+def test_command_line_and_graph_files(spark, tmp_path):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# A\n\n" + "Some words of a guide. " * 30)
+    (docs / "b.md").write_text("# B\n\n" + "Other words of a guide. " * 30)
+    (docs / "m.py").write_text("def f():\n    return g()\n\ndef g():\n    return 1\n")
+    at = ["--catalog", f"file://{tmp_path}/cat"]
+    assert ingest.main([*at, "--files", str(docs / "a.md"), str(docs / "b.md"), "--type", "guidance", "--skip-embedding"], spark)["successful"] == 2
+    c = tables.Catalog(spark, f"file://{tmp_path}/cat")
+    assert c.read("semantic_chunks").where("embedding is null").count() == 2
+    assert ingest.main([*at, "--directory", str(docs), "--pattern", "*.md", "--type", "guidance"], spark)["total"] == 0
+    assert ingest.main([*at, "--code", str(docs), "--output", f"file://{tmp_path}/g"], spark)["entities"] == 2
+    from granary.sources.files import read_graph_json
+
+    nodes, links = read_graph_json(spark, f"file://{tmp_path}/g")
+    assert sorted(r["id"] for r in nodes.collect()) == ["m.py:f", "m.py:g"] and [(r["src"], r["dst"]) for r in links.collect()] == [("m.py:f", "m.py:g")]
+    with pytest.raises(SystemExit):
+        ingest.main([*at], spark)
