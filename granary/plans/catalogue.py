@@ -360,7 +360,7 @@ def graph_stats_edges(spark: SparkSession, d: str) -> DataFrame:
 
 # --- manifest and chunks --------------------------------------------------------------------------------------------
 
-_STATUS = {"view": "pending", "signup": "in_progress", "click": "completed", "purchase": "completed", "error": "failed"}
+_STATUS = {"view": "pending", "signup": "processing", "click": "completed", "purchase": "completed", "error": "failed"}
 _STATUS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items()) + " END"
 
 

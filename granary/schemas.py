@@ -10,29 +10,33 @@ from pyspark.sql.types import StructType
 
 # The members of each enumeration.
 MEMORY_TYPES = ("episodic", "semantic", "procedural")
-KNOWLEDGE_TYPES = ("guidance", "library_docs", "error_fixes", "snippets")
-ENTITY_TYPES = ("module", "class", "function", "method", "library", "api_element", "error_message")
-INGESTION_STATUS = ("pending", "in_progress", "completed", "failed")
-ENRICHMENT_STATUS = ("pending", "in_progress", "completed", "failed", "skipped")
+KNOWLEDGE_TYPES = ("snippets", "library_docs", "guidance", "error_fixes", "memories")
+ENTITY_TYPES = ("module", "class", "function", "method")
+INGESTION_STATUS = ("pending", "processing", "completed", "failed")
+ENRICHMENT_STATUS = ("pending", "processing", "completed", "failed", "skipped")
 LANGUAGES = ("python", "javascript", "typescript", "go", "rust", "csharp", "java")
-ECOSYSTEMS = ("pypi", "npm", "cargo", "go", "nuget", "maven")
-ELEMENT_TYPES = ("function", "class", "method", "property", "constant", "module", "exception")
+ECOSYSTEMS = ("pypi", "npm", "crates", "go-modules", "nuget", "maven")
+ELEMENT_TYPES = ("class", "function", "method", "interface", "struct", "enum", "constant", "type_alias", "trait", "impl")
 
 _VECTOR = "array<double>"
 _PARAMETER = "struct<name:string,type:string,default:string,description:string,required:boolean,is_variadic:boolean,is_keyword:boolean>"
-_LLM = "llm_summary string, llm_quality double, llm_concepts array<string>, llm_enriched_at timestamp"
+_RETURNS = "struct<type:string,description:string>"
+_EXAMPLE = "struct<code:string,description:string,language:string>"
+_TIMES = "created_at timestamp, updated_at timestamp"
+_LLM_CHUNK = "llm_summary string, llm_questions array<string>, llm_keywords array<string>, llm_domain_tags array<string>, llm_use_case_tags array<string>, llm_quality_score double, llm_enriched_at timestamp, llm_enrichment_model string, llm_enrichment_version int"
+_LLM_CODE = "llm_summary string, llm_keywords array<string>, llm_quality_score double, llm_enriched_at timestamp, llm_enrichment_model string"
 
 #: Table -> DDL of its columns.
 TABLES = {
-    "semantic_chunks": f"id string, source_file string, chunk_index int, header_path string, content string, embedding {_VECTOR}, metadata map<string,string>, content_hash string, start_line int, end_line int, token_count int, created_at timestamp, updated_at timestamp, {_LLM}",
-    "code_entities": f"id string, entity_type string, name string, file_path string, start_line int, end_line int, language string, signature string, docstring string, parent_class string, modifiers array<string>, docstring_embedding {_VECTOR}, metadata map<string,string>, content_hash string, created_at timestamp, updated_at timestamp, {_LLM}",
-    "memory_notes": f"id string, agent_id string, memory_type string, content string, context string, keywords array<string>, source_ref string, embedding {_VECTOR}, usage_count int, last_accessed timestamp, created_at timestamp, updated_at timestamp, is_active boolean, deleted_reason string, restored_from string",
+    "semantic_chunks": f"id string, source_file string, chunk_index int, header_path string, content string, embedding {_VECTOR}, metadata map<string,string>, content_hash string, start_line int, end_line int, token_count int, {_TIMES}, {_LLM_CHUNK}",
+    "code_entities": f"id string, entity_type string, name string, file_path string, start_line int, end_line int, language string, signature string, docstring string, parent_class string, modifiers array<string>, docstring_embedding {_VECTOR}, metadata map<string,string>, content_hash string, {_TIMES}, {_LLM_CODE}",
+    "memory_notes": f"id string, agent_id string, memory_type string, content string, context string, keywords array<string>, source_ref string, embedding {_VECTOR}, usage_count int, last_accessed timestamp, {_TIMES}, is_active boolean, deleted_reason string, restored_from string",
     "memory_checkpoints": "id string, checkpoint_name string, created_at timestamp, created_by string, reason string, memory_snapshot string, is_current boolean",
-    "ingestion_manifest": "source_file string, output_file string, file_type string, knowledge_type string, chunk_count int, status string, error_message string, content_hash string, llm_enrichment_status string, ingested_at timestamp, created_at timestamp, updated_at timestamp",
-    "libraries": "id string, name string, version string, language string, ecosystem string, description string, homepage string, documentation_url string, repository_url string, license string, metadata map<string,string>",
-    "api_elements": f"id string, library_id string, name string, element_type string, module string, signature string, docstring string, parameters array<{_PARAMETER}>, returns struct<type:string,description:string>, examples array<struct<code:string,description:string>>, deprecated boolean",
-    "error_patterns": "id string, library_id string, api_element_id string, exception_type string, message_pattern string, message_regex string, condition string, language string, times_encountered int",
-    "error_fixes": "id string, error_pattern_id string, title string, fix string, votes int, verified boolean",
+    "ingestion_manifest": f"source_file string, output_file string, file_type string, knowledge_type string, chunk_count int, status string, error_message string, content_hash string, ingested_at timestamp, {_TIMES}, llm_enrichment_status string, llm_enriched_at timestamp, llm_enrichment_error string",
+    "libraries": f"id string, name string, version string, language string, ecosystem string, repository_url string, license string, homepage_url string, documentation_url string, metadata map<string,string>, documented_at timestamp, {_TIMES}",
+    "api_elements": f"id string, library_id string, name string, element_type string, module string, parent string, visibility string, signature string, docstring string, docstring_embedding {_VECTOR}, parameters array<{_PARAMETER}>, returns {_RETURNS}, type_parameters array<string>, examples array<{_EXAMPLE}>, see_also array<string>, deprecated boolean, deprecation_message string, since_version string, source_file string, start_line int, end_line int, source_hash string, metadata map<string,string>, {_TIMES}, llm_usage_tips string, llm_common_patterns array<string>, llm_enriched_at timestamp, llm_enrichment_model string",
+    "error_patterns": f"id string, library_id string, api_element_id string, exception_type string, message_pattern string, message_regex string, message_embedding {_VECTOR}, condition string, source_line int, language string, metadata map<string,string>, times_encountered int, last_seen timestamp, {_TIMES}, llm_explanation string, llm_fix_suggestions array<string>, llm_enriched_at timestamp",
+    "error_fixes": f"id string, error_pattern_id string, fix_description string, fix_code string, source string, upvotes int, downvotes int, verified boolean, {_TIMES}",
     "graph_nodes": "project_id string, id string, label string, name string, parent_class string, file_path string, start_line int, end_line int, language string, content_hash string, docstring_summary string, signature string, modifiers array<string>",
     "graph_edges": "project_id string, src string, dst string, relation string, weight double, metadata map<string,string>",
 }
@@ -56,7 +60,9 @@ KEYS = {
 CHECKS = {
     "memory_notes": {"memory_type": MEMORY_TYPES},
     "ingestion_manifest": {"status": INGESTION_STATUS, "llm_enrichment_status": ENRICHMENT_STATUS, "knowledge_type": KNOWLEDGE_TYPES},
-    "libraries": {"ecosystem": ECOSYSTEMS},
+    "libraries": {"ecosystem": ECOSYSTEMS, "language": LANGUAGES},
+    "api_elements": {"element_type": ELEMENT_TYPES},
+    "code_entities": {"entity_type": ENTITY_TYPES},
 }
 
 #: Child table -> (column, parent table, what becomes of the child when its parent goes).
