@@ -11,17 +11,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, ship, table
+from .common import crc_mod, ship, table
 from .textkit import PLAIN, Words, words
 
 #: Words in a run whose mean is compared; the discount.
 WINDOW, DISCOUNT = 2, 0.75
-#: Bound of the labelled sample in expectation, for each class. Whole texts of those rows are used.
+#: Bound in expectation, for each class, of the labelled sample that a quarter of is kept for the curve. Whole texts are used.
 SAMPLE = 4000
+#: Bytes of text for each shard of the counts, and counted at once.
+SHARD, COUNTED = 32 << 20, 12 << 20
+#: Labels that are joined by broadcast; more are joined by shuffle.
+MOST_LABELS = 1_000_000
 
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -34,9 +40,14 @@ def _bigrams(w: Words) -> np.ndarray:
     return before
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): labels 0 and 1, one row for each document (1 if any says so)."""
+    return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample_labels(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """(doc_id, toxic): labels 0 and 1, one row for each document (1 if any says so), thinned by hash to `bound` a class."""
-    one = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    """one_label(labels), thinned by hash to `bound` a class."""
+    one = one_label(labels)
     n = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     scale = 1 << 20
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
@@ -68,21 +79,108 @@ def rare(texts: float) -> int:
     return max(4, round(0.17 * texts**0.5))
 
 
-def gather(t: DataFrame, least: int) -> tuple:
-    """What the models need of the counts t: (totals, words, contexts, pairs), frequent n-grams only, as pandas frames.
+def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their rows of values."""
+    u, at = np.unique(keys, return_inverse=True)
+    return u, np.column_stack([np.bincount(at, values[:, j], len(u)) for j in range(values.shape[1])]) if len(u) else np.zeros((0, values.shape[1]))
+
+
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by shard, then key, and the place where each shard starts in it (shards + 1)."""
+    s = keys % np.uint64(shards)
+    o = np.lexsort((keys, s))
+    return o, np.searchsorted(s[o], np.arange(shards + 1, dtype=np.uint64))
+
+
+def _read(b, kind, width: int = 0) -> np.ndarray:
+    out = np.frombuffer(b.as_py(), kind)
+    return out.reshape(-1, width) if width else out
+
+
+#: A shard's n-grams, packed. Kind 0: words and their values; 1: pairs (previous word, word) and the
+#: different words before them in each class.
+_PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("k", pa.binary()), ("v", pa.binary())])
+_DDL = "kind int, shard int, k binary, v binary"
+#: Values of a word: different predecessors in each class; its sum over pairs that it begins, and different followers in each class.
+_WORD = 6
+
+
+def count(rows: DataFrame, least: int, shards: int) -> DataFrame:
+    """Packed counts of rows (text, toxic), as ngram_counts: parts of the sums over all pairs by word, and the pairs of `least`.
+
+    Made distinct in each batch first, then by shard of the pair's hash. What a shard's pairs say about their words goes to
+    the words' own shards, so a frequent word is a sum of one part a shard.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for i, _, x in words(b.column(0), lower=True, most=COUNTED, apart=PLAIN):
+                h, g = _bigrams(x), np.zeros(x.n, np.uint64)
+                g[1:] = np.where(x.row[1:] == x.row[:-1], h[:-1], np.uint64(0))
+                c = toxic[i + x.row]
+                key = _key(h, x.hash)
+                _, first = np.unique(_key(key, g + c), return_index=True)
+                first = first[np.lexsort((key[first], key[first] % np.uint64(shards)))]
+                start = np.searchsorted(key[first] % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
+                some = [(j, first[start[j] : start[j + 1]]) for j in range(shards) if start[j + 1] > start[j]]
+                if some:
+                    columns = (h, x.hash, (g >> np.uint64(32)).astype(np.uint32), c)
+                    yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in some], pa.int32()), *(pa.array([v[o].tobytes() for _, o in some], pa.binary()) for v in columns)], ["shard", "h", "w", "g", "c"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        h, w, g, c = (np.concatenate([_read(x, kind) for x in t[name]]) for name, kind in (("h", np.uint64), ("w", np.uint64), ("g", np.uint32), ("c", np.uint8)))
+        key = _key(h, w)
+        _, first = np.unique(_key(key, (g.astype(np.uint64) << np.uint64(1)) + c), return_index=True)
+        h, w, c = h[first], w[first], c[first]
+        key, first, at = np.unique(key[first], return_index=True, return_inverse=True)
+        n = np.column_stack([np.bincount(at[c == j], minlength=len(key)) for j in (0, 1)]).astype(np.int32)
+        h, w = h[first], w[first]
+        kinds, none = (n > 0).astype(float), np.zeros((len(h), 2))
+        x, v = _sums(np.concatenate([w, h]), np.concatenate([np.column_stack([kinds, none, none]), np.column_stack([none, n, kinds])]))
+        o, start = _dealt(x, shards)
+        x, v = x[o], v[o]
+        parts = [(0, j, x[a:z].tobytes(), v[a:z].astype(np.int32).tobytes()) for j, (a, z) in enumerate(zip(start, start[1:])) if z > a]
+        often = n.sum(1) >= least
+        rows = [(1, t["shard"][0].as_py(), np.column_stack([h, w])[often].tobytes(), n[often].tobytes()), *parts]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
+
+    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "shard int, h binary, w binary, g binary, c binary")
+    return counted.groupBy("shard").applyInArrow(merge, _DDL)
+
+
+def total(counted: DataFrame, least: int) -> DataFrame:
+    """Words that follow `least` different words, their parts in `counted` added up; each shard's sums over all words; the pairs."""
+    schema = pa.schema([*_PACKED, *((c, pa.float64()) for c in ("size", "k0", "k1", "d0", "d1"))])
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = [(1, s.as_py(), k.as_py(), v.as_py(), *[0.0] * 5) for kind, s, k, v in zip(*t.select(_PACKED.names)) if kind.as_py() == 1]
+        own = t.filter(pa.compute.equal(t["kind"], 0))
+        if len(own):
+            x, v = _sums(np.concatenate([_read(k, np.uint64) for k in own["k"]]), np.concatenate([_read(b, np.int32, _WORD) for b in own["v"]]))
+            k = v[:, :2]
+            sums = [float((k.sum(1) > 0).sum()), *k.sum(0).tolist(), *np.minimum(k, DISCOUNT).sum(0).tolist()]
+            often = (k.sum(1) >= least) | (x == 0)
+            rows.append((0, own["shard"][0].as_py(), x[often].tobytes(), v[often].tobytes(), *sums))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return counted.groupBy("shard").applyInArrow(run, f"{_DDL}, size double, k0 double, k1 double, d0 double, d1 double")
+
+
+def gather(rows: DataFrame, least: int, shards: int) -> tuple:
+    """What the models need of rows (text, toxic): (totals, words, contexts, pairs), frequent n-grams only, as pandas frames.
 
     Sums over all n-grams, rare ones too, are made in Spark; the driver gets n-grams that `least` different words precede.
     """
-    by = lambda c, x: F.sum(F.when(F.col("toxic") == c, x).otherwise(0)).cast("double")
-    cut_of = lambda x: F.least(x, F.lit(DISCOUNT))
-    kinds = t.groupBy("w").agg(by(0, F.lit(1)).alias("k0"), by(1, F.lit(1)).alias("k1"))
-    totals = kinds.agg(F.count("*").alias("size"), *(F.coalesce(F.sum(x), F.lit(0.0)).alias(n) for n, x in (("k0", F.col("k0")), ("k1", F.col("k1")), ("d0", cut_of("k0")), ("d1", cut_of("k1")))))
-    often = kinds.where(F.col("k0") + F.col("k1") >= least)
-    n, d = F.col("n"), cut_of(F.col("n"))
-    contexts = t.groupBy("h").agg(by(0, n).alias("s0"), by(1, n).alias("s1"), by(0, d).alias("c0"), by(1, d).alias("c1"))
-    contexts = contexts.join(often.select(F.col("w").alias("h")), "h", "left_semi").unionByName(contexts.where("h = 0"))
-    pairs = t.groupBy("h", "w").agg(by(0, n).alias("n0"), by(1, n).alias("n1")).where(F.col("n0") + F.col("n1") >= least)
-    return totals.first(), often.toPandas(), contexts.toPandas(), pairs.toPandas()
+    packed = total(count(rows, least, shards), least).toPandas()
+    words_of, pairs_of = packed[packed["kind"] == 0], packed[packed["kind"] == 1]
+    join = lambda c, kind, width: np.concatenate([np.zeros((0, width), kind), *(np.frombuffer(b, kind).reshape(-1, width) for b in c)])
+    x, v = join(words_of["k"], np.int64, 1)[:, 0], join(words_of["v"], float, _WORD)
+    hw, n = join(pairs_of["k"], np.int64, 2), join(pairs_of["v"], np.int32, 2).astype(float)
+    often = pd.DataFrame({"w": x, "k0": v[:, 0], "k1": v[:, 1]})
+    contexts = pd.DataFrame({"h": x, "s0": v[:, 2], "s1": v[:, 3], "c0": DISCOUNT * v[:, 4], "c1": DISCOUNT * v[:, 5]})
+    pairs = pd.DataFrame({"h": hw[:, 0], "w": hw[:, 1], "n0": n[:, 0], "n1": n[:, 1]})
+    return words_of[["size", "k0", "k1", "d0", "d1"]].sum(), often, contexts, pairs
 
 
 class Model:
@@ -170,16 +268,20 @@ def _find(keys: np.ndarray, x: np.ndarray, values: np.ndarray, default: np.ndarr
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
-    """Models from about `bound` labelled texts of each class, the curve from the quarter of them that the models skip.
+    """Models from all labelled texts but a quarter of about `bound` texts of each class, from which the curve is.
 
-    docs may hold texts that must not be learned from only if labels doesn't name them. The sample of ids is joined by
-    broadcast: its size is bounded by `bound`, whatever the input.
+    docs may hold texts that must not be learned from only if labels doesn't name them. The ids of the quarter are joined
+    by broadcast: their number is bounded by `bound`, whatever the input.
     """
     sample, n = sample_labels(labels, bound)
-    rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    aside = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(4)) == 0
-    model = Model(*gather(cut(ngram_counts(rows.where(~aside))), rare(0.75 * sum(min(bound, x) for x in n.values()))))
-    held = describe(rows.where(aside).select("text", "toxic"), model, "toxic").toPandas()
+    aside = sample.where(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(4)) == 0)
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    own = one_label(labels).join(F.broadcast(aside), "doc_id", "left_anti")
+    learned = texts.join(F.broadcast(own) if sum(n.values()) <= MOST_LABELS else own, "doc_id")
+    shards = 1 + int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD)
+    model = Model(*gather(learned, rare(sum(n.values()) - 0.25 * sum(min(bound, x) for x in n.values())), shards))
+    rows = texts.join(F.broadcast(aside), "doc_id")
+    held = describe(rows.select("text", "toxic"), model, "toxic").toPandas()
     y = held["key"].to_numpy(float)
     have = np.array([(y == k).sum() for k in (0, 1)])
     # as in all labelled rows, where classes need not be as even as in the sample
@@ -191,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
 
 def describe(docs: DataFrame, model: Model, key: str) -> DataFrame:
     """(key, mean, peak, size, score) of whole texts, row by row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams seen twice in a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams that rare() lets speak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

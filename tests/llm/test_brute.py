@@ -360,6 +360,29 @@ def test_ngram_counts_are_contexts(spark):
     assert n[1, hashes["b"], hashes["c"]] == 2 and n[0, hashes["b"], hashes["c"]] == 1 and n[1, 0, hashes["x"]] == 1
 
 
+def test_toxicity_counts_all_labelled_rows(spark):
+    """Also beyond the sample for the curve: an expression of a tenth of the toxic texts speaks, and sums are those of all n-grams."""
+    rows = [(i, f"w{i % 97} v{i % 89} " + (f"u{i % 83} zounds x{i % 7}" if i % 20 == 1 else f"u{i % 83} x{i % 7}"), i % 2) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"), bound=40)
+    zounds = next(tk.words(pa.array(["zounds"]), lower=True, apart=tk.PLAIN))[2].hash[0]
+    assert zounds in model.word
+    t = toxicity.ngram_counts(docs).toPandas()
+    for shards, least in ((1, 1), (5, 4)):
+        totals, often, contexts, pairs = toxicity.gather(docs, least, shards)
+        kinds = {c: t[t["toxic"] == c].groupby("w").size() for c in (0, 1)}
+        assert totals["size"] == t["w"].nunique() and all(totals[f"k{c}"] == kinds[c].sum() and totals[f"d{c}"] == kinds[c].clip(upper=toxicity.DISCOUNT).sum() for c in (0, 1))
+        both = t.groupby("w").size()
+        assert set(often["w"]) - {0} == set(both[both >= least].index)
+        n = t.groupby(["h", "w"])["n"].sum()
+        assert {(r.h, r.w): r.n0 + r.n1 for r in pairs.itertuples()} == n[n >= least].to_dict()
+        own = contexts.set_index("h")
+        for c in (0, 1):
+            s = t[t["toxic"] == c].groupby("h")["n"].sum()
+            assert (own[f"s{c}"] == s.reindex(own.index).fillna(0)).all()
+            assert (own[f"c{c}"] == toxicity.DISCOUNT * t[t["toxic"] == c].groupby("h").size().reindex(own.index).fillna(0)).all()
+
+
 def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     out = queries.queries()["op10_language"](spark, sf).toPandas().merge(table(sf, "documents")[["doc_id", "lang"]], on="doc_id")
