@@ -163,15 +163,27 @@ def vector_topk(corpus: DataFrame, query: list[float], limit: int = 20, min_simi
 
 
 def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, id: str = "id", embedding: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(qid, id, score, rank) of every query (qid, vector): the queries go to each task as one matrix.
+    """(qid, id, score, rank) of every query (qid, vector), however many: blocks of them go to each task as one matrix.
 
-    Each task multiplies its batches with the matrix and keeps k for each query, so what is shuffled is tasks x queries x k
-    rows. More than `most_queries` queries are refused: they belong in several calls.
+    Queries are dealt to blocks of about `most_queries` in expectation by hash, and a block meets every part of the corpus
+    once. Each multiplies its batches with the block and keeps k for each query, so what is shuffled is parts x queries x k rows.
     """
-    rows = queries.select("qid", as_double("vector").alias("vector")).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries in one call")
+    asked = queries.select("qid", as_double("vector").alias("vector"))
+    n = asked.count()
     kind_q, kind_i = queries.schema["qid"].dataType.simpleString(), corpus.schema[id].dataType.simpleString()
+    rows = corpus.select(F.col(id).alias("id"), as_double(embedding).alias("v"))
+    schema = f"qid {kind_q}, id {kind_i}, score double"
+    blocks = max(1, -(-n // most_queries))
+    near = None
+    for i in range(blocks):
+        one = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid", "vector"), F.lit(blocks)) == i)
+        part = rows.mapInPandas(_nearest(one.collect(), k), schema)
+        near = part if near is None else near.unionByName(part)
+    return ranked(near, k)
+
+
+def _nearest(rows: list, k: int):
+    """For batches (id, v): the k nearest of each query in rows."""
     matrix = np.array([r["vector"] for r in rows], float)
     if len(rows):
         with np.errstate(invalid="ignore", divide="ignore"):
@@ -192,8 +204,7 @@ def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, id: str = "id", em
                 o = o[np.isfinite(s[o, q])]
                 yield pd.DataFrame({"qid": [name] * len(o), "id": ids[o], "score": s[o, q]})
 
-    near = corpus.select(F.col(id).alias("id"), as_double(embedding).alias("v")).mapInPandas(run, f"qid {kind_q}, id {kind_i}, score double")
-    return ranked(near, k)
+    return run
 
 
 def ranked(scored: DataFrame, k: int | None = None, by: str = "qid") -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.operators import graph, manifest, memory, tables
-from granary.operators.search import bm25, bm25_postings, corpus_stats, parse_query, postings, reciprocal_rank_fusion, search
+from granary.operators.search import batch_topk, bm25, bm25_postings, corpus_stats, parse_query, postings, reciprocal_rank_fusion, search
 from granary.plans import ingest, retrieval
 from granary.plans.tools import MemoryTools, SearchTools
 from granary.schemas import checked, conform, delete_parents, empty, parse_member
@@ -207,3 +207,10 @@ def test_command_line_and_graph_files(spark, tmp_path):
     assert sorted(r["id"] for r in nodes.collect()) == ["m.py:f", "m.py:g"] and [(r["src"], r["dst"]) for r in links.collect()] == [("m.py:f", "m.py:g")]
     with pytest.raises(SystemExit):
         ingest.main([*at], spark)
+
+
+def test_queries_in_blocks(spark):
+    v = rows(spark, [(i, [float(i % 7), float(i % 5 + 1)]) for i in range(40)], "id long, embedding array<double>")
+    q = v.selectExpr("id as qid", "embedding as vector")
+    one, many = batch_topk(v, q, 3), batch_topk(v, q, 3, most_queries=7)
+    assert many.count() == 120 and sorted(one.select("qid", "id", "rank").collect()) == sorted(many.select("qid", "id", "rank").collect())
