@@ -214,6 +214,23 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "qid") -> DataFram
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def ranked_whole(scored: DataFrame) -> DataFrame:
+    """(id, rank) of a whole list (id, score), greatest first, ties by id: sorted by ranges, each of which starts where the last ended.
+
+    The sorted list is checkpointed (cached in a session without a folder for it), since the ranges' bounds are sampled. Only the ranges' sizes come to the driver.
+    """
+    place = F.monotonically_increasing_id()  # the partition above bit 33, the row in it below
+    rows = scored.select("id", "score").orderBy(F.desc("score"), "id").select("id", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND((1 << 33) - 1).alias("at"))
+    rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.cache()
+    sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
+    starts, done = [], 0
+    for part, n in sizes:
+        starts.append((part, done))
+        done += n
+    first = rows.sparkSession.createDataFrame(starts, "part int, done long")
+    return rows.join(F.broadcast(first), "part").select("id", (F.col("done") + F.col("at") + 1).alias("rank"))
+
+
 # --- fusion ---------------------------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from granary.operators import graph, manifest, memory, tables
-from granary.operators.search import batch_topk, bm25, bm25_postings, corpus_stats, parse_query, postings, reciprocal_rank_fusion, search
+from granary.operators.search import batch_topk, bm25, bm25_postings, corpus_stats, parse_query, postings, ranked_whole, reciprocal_rank_fusion, search
 from granary.plans import ingest, retrieval
 from granary.plans.tools import MemoryTools, SearchTools
 from granary.schemas import checked, conform, delete_parents, empty, parse_member
@@ -214,3 +214,12 @@ def test_queries_in_blocks(spark):
     q = v.selectExpr("id as qid", "embedding as vector")
     one, many = batch_topk(v, q, 3), batch_topk(v, q, 3, most_queries=7)
     assert many.count() == 120 and sorted(one.select("qid", "id", "rank").collect()) == sorted(many.select("qid", "id", "rank").collect())
+
+
+def test_whole_lists_are_ranked(spark):
+    """An id at rank 55 of both lists is before one that is first in one only."""
+    a = rows(spark, [(i, float(-i)) for i in range(1, 200)], "id long, score double")
+    b = rows(spark, [(i if i == 55 else i + 1000, float(-i)) for i in range(1, 200)], "id long, score double")
+    ranks = ranked_whole(a.repartition(5))
+    assert all(r["id"] == r["rank"] for r in ranks.collect()) and ranks.count() == 199
+    assert reciprocal_rank_fusion([ranks, ranked_whole(b)], 1).first()["id"] == 55
