@@ -77,14 +77,15 @@ def pack(docs: DataFrame, key: str = "doc_id", tokens=None, buckets: int = BUCKE
     """
     rows = docs.select(docs[key].alias("key"), (word_count() if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"))
     rows = rows.withColumn("grid", on_grid(F.col("n_tokens")))
-    hist = rows.groupBy("grid").agg(F.count("*").alias("n")).toPandas().sort_values("grid")  # bounded by the grid
-    lengths, counts = hist["grid"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    hist = rows.groupBy("grid").agg(F.count("*").alias("n"), F.max("n_tokens").alias("top")).toPandas().sort_values("grid")  # bounded by the grid
+    # a cell's greatest length bounds it; the sum of lengths is the same for all bounds
+    lengths, counts = hist["top"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
     bounds = optimal_bounds(lengths, counts, buckets)
     place = np.searchsorted(np.array(bounds, np.int64), lengths) if len(bounds) else np.zeros(0, int)
     size = np.bincount(place, counts, minlength=max(len(bounds), 1)).astype(int)
     bucket = F.lit(0)
     for i in range(len(bounds) - 1, -1, -1):
-        bucket = F.when(F.col("grid") <= bounds[i], F.lit(i)).otherwise(bucket)
+        bucket = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(bucket)
     of = lambda xs: F.element_at(F.array(*(F.lit(int(x)) for x in xs)), F.col("bucket") + 1)
     bounds = bounds or [0]
     fit = [max(1, budget // max(1, b)) for b in bounds]

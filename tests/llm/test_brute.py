@@ -343,6 +343,12 @@ def test_packing(spark, sf):
 # --- 8, 10 ----------------------------------------------------------------------------------------------------------
 
 
+def test_bounds_are_lengths_of_rows(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([3, 700, 1001, 1001, 5003, 5003])], "doc_id long, n long")
+    out = packing.pack(df, tokens=df["n"]).collect()
+    assert all(r["bucket_len"] == r["n_tokens"] for r in out)
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.queries()["op8_toxicity"](spark, sf).toPandas().merge(table(sf, "labels"), on="doc_id")
