@@ -25,7 +25,7 @@ WINDOW, DISCOUNT = 2, 0.75
 #: Bound in expectation, for each class, of the labelled sample that a quarter of is kept for the curve. Whole texts are used.
 SAMPLE = 4000
 #: Bytes of text for each shard of the counts, and counted at once.
-SHARD, COUNTED = 32 << 20, 12 << 20
+SHARD, COUNTED = 16 << 20, 3 << 20
 #: Labels that are joined by broadcast; more are joined by shuffle.
 MOST_LABELS = 1_000_000
 
