@@ -1,9 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-One bigram model for toxic and one for ordinary text, interpolated down to shared backoff counts (continuation counts of
-both classes together), so that an expression too rare to tell gets the same mass from both. A text's evidence is the
-log-likelihood ratio per word: of the whole text and of its most telling run of `WINDOW` words, so that a long text
-doesn't dilute a toxic line. A logistic curve fitted on labelled rows that the models have not seen makes it a score.
+One bigram model for toxic and one for ordinary text, interpolated down to shared backoff counts. Counts are types at either
+order: a pair counts the different words before it, a word the different words before it, texts that hold it at most. A line
+repeated in one text, or a passage copied through many, is one witness. Occurrences at the upper order, as is usual, learn the
+copies of a text by heart instead (figures in the README).
+
+What an n-gram's count in a class has above its discount is that class's own; the discount, DISCOUNT counts of the smaller
+class and EXCESS times what the other class's rate would give, goes to the order below, and at the lowest to the shared
+counts. So an expression that is rare, or alike in both classes, has the same probability in both up to a constant, every
+count is in the sums, and the probabilities after any context sum to one.
+
+A text's evidence is the difference of its length-normalised log-likelihoods: the mean log ratio over all of its words. A
+monotone curve fitted on labelled rows that the models have not seen makes it a score.
 """
 
 from __future__ import annotations
@@ -20,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, ship, table
 from .textkit import PLAIN, Words, words
 
-#: Words in a run whose mean is compared; the discount.
-WINDOW, DISCOUNT = 2, 0.75
+#: The discount of an n-gram: counts of the smaller class, and times the other class's rate; that of the shared counts.
+DISCOUNT, EXCESS, SHARED = 4.0, 4.0, 0.75
 #: Bound in expectation, for each class, of the labelled sample that a quarter of is kept for the curve. Whole texts are used.
 SAMPLE = 4000
 #: Bytes of text for each shard of the counts, and counted at once.
@@ -45,8 +53,8 @@ def one_label(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def sample_labels(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """one_label(labels), thinned by hash to `bound` a class."""
+def sample_labels(labels: DataFrame, bound: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """one_label(labels), thinned by hash to `bound` a class; rows of each class."""
     one = one_label(labels)
     n = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     scale = 1 << 20
@@ -55,28 +63,20 @@ def sample_labels(labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     return one.where(keep < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])), n
 
 
-def ngram_counts(rows: DataFrame) -> DataFrame:
-    """(toxic, h, w, n): how many different words precede the words of hashes h, w in texts of a class. rows: (text, toxic)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            toxic = b.column(1).to_numpy(zero_copy_only=False)
-            for i, _, w in words(b.column(0), lower=True, apart=PLAIN):
-                h = _bigrams(w)
-                g = np.zeros_like(h)
-                g[1:] = np.where(w.row[1:] == w.row[:-1], h[:-1], np.uint64(0))
-                yield pa.RecordBatch.from_arrays([pa.array(toxic[i + w.row].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (g, h, w.hash))], ["toxic", "g", "h", "w"])
-
-    return rows.select("text", "toxic").mapInArrow(run, "toxic int, g long, h long, w long").distinct().groupBy("toxic", "h", "w").agg(F.count("*").alias("n"))
+def ratios(size: dict[int, float]) -> np.ndarray:
+    """Of each class's size to the other's; without text in one of them nothing can be told apart: infinite."""
+    a, b = (float(size.get(c, 0) or 0) for c in (0, 1))
+    return np.array([a / b, b / a]) if a and b else np.full(2, np.inf)
 
 
-def rare(texts: float) -> int:
-    """Different words that must precede an n-gram before a class may speak about it; fewer leave it to the shared counts.
+def excess(n: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """What counts (n-grams, 2) have above their discounts. It depends on the n-gram's own two counts alone.
 
-    What is frequent only inside copied passages has one predecessor, as is Kneser-Ney's way. Among words that are in the
-    texts by chance, the greatest one-sided count grows about with the root of their number; so does this bound.
+    Types grow about with the root of the text that they are in, so the other class's count is scaled by the root of `ratio`.
     """
-    return max(4, round(0.17 * texts**0.5))
+    if not np.isfinite(ratio).all():
+        return np.zeros(n.shape)
+    return np.maximum(n - (DISCOUNT * np.maximum(ratio, 1) + EXCESS * n[:, ::-1] * np.sqrt(ratio)), 0)
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,25 +97,39 @@ def _read(b, kind, width: int = 0) -> np.ndarray:
     return out.reshape(-1, width) if width else out
 
 
-#: A shard's n-grams, packed. Kind 0: words and their values; 1: pairs (previous word, word) and the
-#: different words before them in each class.
+#: Packed n-grams of a shard. Kind 0: words and their values; 1: pairs (previous word, word) that have an excess, and their
+#: counts in each class; 2: words and the texts that hold them in each class.
 _PACKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("k", pa.binary()), ("v", pa.binary())])
 _DDL = "kind int, shard int, k binary, v binary"
-#: Values of a word: different predecessors in each class; its sum over pairs that it begins, and different followers in each class.
-_WORD = 6
+#: Values of a word: different predecessors in each class; counts of the pairs that it begins, in each class; whether such a
+#: pair, or one that it ends, has an excess.
+_WORD = 5
+
+
+def _pack(kind: int, keys: np.ndarray, values: np.ndarray, shards: int) -> list[tuple]:
+    """Rows of _PACKED: keys with their values by the keys' shards."""
+    o, start = _dealt(keys, shards)
+    keys, values = keys[o], values[o]
+    return [(kind, j, keys[a:z].tobytes(), values[a:z].astype(np.int32).tobytes()) for j, (a, z) in enumerate(zip(start, start[1:])) if z > a]
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def count(rows: DataFrame, least: int, shards: int) -> DataFrame:
-    """Packed counts of rows (text, toxic), as ngram_counts: parts of the sums over all pairs by word, and the pairs of `least`.
+def count(rows: DataFrame, ratio: np.ndarray, shards: int) -> DataFrame:
+    """Packed counts of rows (text, toxic): parts of the sums over all pairs by word, the pairs that have an excess, texts by word.
 
-    Made distinct in each batch first, then by shard of the pair's hash. What a shard's pairs say about their words goes to
-    the words' own shards, so a frequent word is a sum of one part a shard.
+    Triples (word before, previous word, word) are made distinct in each batch first, then by shard of the pair's hash. What a
+    shard's pairs say about their words goes to the words' own shards, so a frequent word is a sum of one part a shard.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for i, _, x in words(b.column(0), lower=True, most=COUNTED, apart=PLAIN):
+                if not x.n:
+                    continue
                 h, g = _bigrams(x), np.zeros(x.n, np.uint64)
                 g[1:] = np.where(x.row[1:] == x.row[:-1], h[:-1], np.uint64(0))
                 c = toxic[i + x.row]
@@ -124,135 +138,147 @@ def count(rows: DataFrame, least: int, shards: int) -> DataFrame:
                 first = first[np.lexsort((key[first], key[first] % np.uint64(shards)))]
                 start = np.searchsorted(key[first] % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
                 some = [(j, first[start[j] : start[j + 1]]) for j in range(shards) if start[j + 1] > start[j]]
-                if some:
-                    columns = (h, x.hash, (g >> np.uint64(32)).astype(np.uint32), c)
-                    yield pa.RecordBatch.from_arrays([pa.array([j for j, _ in some], pa.int32()), *(pa.array([v[o].tobytes() for _, o in some], pa.binary()) for v in columns)], ["shard", "h", "w", "g", "c"])
+                columns = (h, x.hash, (g >> np.uint64(32)).astype(np.uint32), c)
+                _, one = np.unique(_key(x.row.astype(np.uint64), x.hash), return_index=True)  # a word once a text
+                w, n = _sums(x.hash[one], np.column_stack([c[one] == k for k in (0, 1)]))
+                texts = _pack(2, w, n, shards)
+                none, no = [b""] * len(texts), [b""] * len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([j for j, _ in some] + [r[1] for r in texts], pa.int32()), *(pa.array([v[o].tobytes() for _, o in some] + none, pa.binary()) for v in columns), *(pa.array(no + [r[f] for r in texts], pa.binary()) for f in (2, 3))], ["shard", "h", "w", "g", "c", "k", "v"],
+                )
 
     def merge(t: pa.Table) -> pa.Table:
-        h, w, g, c = (np.concatenate([_read(x, kind) for x in t[name]]) for name, kind in (("h", np.uint64), ("w", np.uint64), ("g", np.uint32), ("c", np.uint8)))
-        key = _key(h, w)
-        _, first = np.unique(_key(key, (g.astype(np.uint64) << np.uint64(1)) + c), return_index=True)
-        h, w, c = h[first], w[first], c[first]
-        key, first, at = np.unique(key[first], return_index=True, return_inverse=True)
-        n = np.column_stack([np.bincount(at[c == j], minlength=len(key)) for j in (0, 1)]).astype(np.int32)
-        h, w = h[first], w[first]
-        kinds, none = (n > 0).astype(float), np.zeros((len(h), 2))
-        x, v = _sums(np.concatenate([w, h]), np.concatenate([np.column_stack([kinds, none, none]), np.column_stack([none, n, kinds])]))
-        o, start = _dealt(x, shards)
-        x, v = x[o], v[o]
-        parts = [(0, j, x[a:z].tobytes(), v[a:z].astype(np.int32).tobytes()) for j, (a, z) in enumerate(zip(start, start[1:])) if z > a]
-        often = n.sum(1) >= least
-        rows = [(1, t["shard"][0].as_py(), np.column_stack([h, w])[often].tobytes(), n[often].tobytes()), *parts]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)], schema=_PACKED)
-
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "shard int, h binary, w binary, g binary, c binary")
+        h, w, g, c, k, v = (np.concatenate([_read(x, kind) for x in t[name]]) for name, kind in (("h", np.uint64), ("w", np.uint64), ("g", np.uint32), ("c", np.uint8), ("k", np.uint64), ("v", np.int32)))
+        shard, rows = t["shard"][0].as_py(), []
+        if len(k):
+            k, v = _sums(k, v.reshape(-1, 2))
+            rows.append((2, shard, k.tobytes(), v.astype(np.int32).tobytes()))
+        if len(h):
+            key = _key(h, w)
+            _, first = np.unique(_key(key, (g.astype(np.uint64) << np.uint64(1)) + c), return_index=True)
+            h, w, c = h[first], w[first], c[first]
+            key, first, at = np.unique(key[first], return_index=True, return_inverse=True)
+            n = np.column_stack([np.bincount(at[c == j], minlength=len(key)) for j in (0, 1)]).astype(np.int32)
+            h, w = h[first], w[first]
+            own = (excess(n, ratio) > 0).any(1)
+            kinds, none, needed = (n > 0).astype(float), np.zeros((len(h), 2)), own[:, None].astype(float)
+            rows.append((1, shard, np.column_stack([h, w])[own].tobytes(), n[own].tobytes()))
+            rows += _pack(0, *_sums(np.concatenate([w, h]), np.concatenate([np.column_stack([kinds, none, needed]), np.column_stack([none, n, needed])])), shards)
+        return _table(rows, _PACKED)
+
+    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "shard int, h binary, w binary, g binary, c binary, k binary, v binary")
     return counted.groupBy("shard").applyInArrow(merge, _DDL)
 
 
-def total(counted: DataFrame, least: int) -> DataFrame:
-    """Words that follow `least` different words, their parts in `counted` added up; each shard's sums over all words; the pairs."""
-    schema = pa.schema([*_PACKED, *((c, pa.float64()) for c in ("size", "k0", "k1", "d0", "d1"))])
+def total(counted: DataFrame, ratio: np.ndarray) -> DataFrame:
+    """Words that have an excess or are in a pair that has one, their parts added up; each shard's sums over all words; the pairs."""
+    schema = pa.schema([*_PACKED, *((c, pa.float64()) for c in ("size", "k0", "k1", "e0", "e1"))])
 
     def run(t: pa.Table) -> pa.Table:
         rows = [(1, s.as_py(), k.as_py(), v.as_py(), *[0.0] * 5) for kind, s, k, v in zip(*t.select(_PACKED.names)) if kind.as_py() == 1]
-        own = t.filter(pa.compute.equal(t["kind"], 0))
+        own, held = (t.filter(pa.compute.equal(t["kind"], i)) for i in (0, 2))
         if len(own):
             x, v = _sums(np.concatenate([_read(k, np.uint64) for k in own["k"]]), np.concatenate([_read(b, np.int32, _WORD) for b in own["v"]]))
+            of, texts = _sums(np.concatenate([_read(k, np.uint64) for k in held["k"]]), np.concatenate([_read(b, np.int32, 2) for b in held["v"]]))
+            v[:, :2] = np.minimum(v[:, :2], _find(of, x, texts, np.zeros(2)))
             k = v[:, :2]
-            sums = [float((k.sum(1) > 0).sum()), *k.sum(0).tolist(), *np.minimum(k, DISCOUNT).sum(0).tolist()]
-            often = (k.sum(1) >= least) | (x == 0)
-            rows.append((0, own["shard"][0].as_py(), x[often].tobytes(), v[often].tobytes(), *sums))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            e = excess(k, ratio)
+            sums = [float((k.sum(1) > 0).sum()), *k.sum(0).tolist(), *e.sum(0).tolist()]
+            some = (e > 0).any(1) | (v[:, 4] > 0)
+            rows.append((0, own["shard"][0].as_py(), x[some].tobytes(), v[some].tobytes(), *sums))
+        return _table(rows, schema)
 
-    return counted.groupBy("shard").applyInArrow(run, f"{_DDL}, size double, k0 double, k1 double, d0 double, d1 double")
+    return counted.groupBy("shard").applyInArrow(run, f"{_DDL}, size double, k0 double, k1 double, e0 double, e1 double")
 
 
-def gather(rows: DataFrame, least: int, shards: int) -> tuple:
-    """What the models need of rows (text, toxic): (totals, words, contexts, pairs), frequent n-grams only, as pandas frames.
+def gather(rows: DataFrame, ratio: np.ndarray, shards: int) -> tuple:
+    """What the models need of rows (text, toxic): (totals, words, pairs) as pandas frames.
 
-    Sums over all n-grams, rare ones too, are made in Spark; the driver gets n-grams that `least` different words precede.
+    Sums over all n-grams are made in Spark. The driver gets those that speak for a class, and the words in such pairs; all
+    others have the shared probability times a constant, which the sums give.
     """
-    packed = total(count(rows, least, shards), least).toPandas()
+    packed = total(count(rows, ratio, shards), ratio).toPandas()
     words_of, pairs_of = packed[packed["kind"] == 0], packed[packed["kind"] == 1]
     join = lambda c, kind, width: np.concatenate([np.zeros((0, width), kind), *(np.frombuffer(b, kind).reshape(-1, width) for b in c)])
     x, v = join(words_of["k"], np.int64, 1)[:, 0], join(words_of["v"], float, _WORD)
     hw, n = join(pairs_of["k"], np.int64, 2), join(pairs_of["v"], np.int32, 2).astype(float)
-    often = pd.DataFrame({"w": x, "k0": v[:, 0], "k1": v[:, 1]})
-    contexts = pd.DataFrame({"h": x, "s0": v[:, 2], "s1": v[:, 3], "c0": DISCOUNT * v[:, 4], "c1": DISCOUNT * v[:, 5]})
-    pairs = pd.DataFrame({"h": hw[:, 0], "w": hw[:, 1], "n0": n[:, 0], "n1": n[:, 1]})
-    return words_of[["size", "k0", "k1", "d0", "d1"]].sum(), often, contexts, pairs
+    own = pd.DataFrame({"w": x, "k0": v[:, 0], "k1": v[:, 1], "s0": v[:, 2], "s1": v[:, 3]})
+    return words_of[["size", "k0", "k1", "e0", "e1"]].sum(), own, pd.DataFrame({"h": hw[:, 0], "w": hw[:, 1], "n0": n[:, 0], "n1": n[:, 1]})
 
 
 class Model:
-    """Sorted hashes with probabilities: p (words, 2), carry (words as context, 2), add (bigrams, 2); then the curve."""
+    """Sorted hashes with probabilities of both classes: p (words, 2), carry (contexts, 2), add (pairs, 2); then the curve.
 
-    def __init__(self, totals, often, contexts, pairs) -> None:
+    p is relative to the shared probability of the word where the word is not in the table: the ratio of the classes is what
+    counts, and there it is that of `spare`, the mass that each class leaves to the shared counts.
+    """
+
+    def __init__(self, totals, own, pairs, ratio: np.ndarray) -> None:
         two = lambda f, x: f[[x + "0", x + "1"]].to_numpy(float)
         key = lambda f, c: f[c].to_numpy(np.int64).view(np.uint64)
-        size, kinds = float(totals["size"]), np.array([totals["k0"], totals["k1"]])
-        total, of = max(kinds.sum(), 1.0), np.maximum(kinds, 1.0)
-        self.unknown = DISCOUNT * size / total / (size + 1) if size else 1.0
-        spare = np.where(kinds > 0, np.array([totals["d0"], totals["d1"]]) / of, 1.0)
-        self.p_unknown = spare * self.unknown
-        k = two(often, "k")
-        shared = np.maximum(k.sum(1) - DISCOUNT, 0) / total + self.unknown
-        p = np.maximum(k - DISCOUNT, 0) / of + spare * shared[:, None]
-        o = np.argsort(key(often, "w"))
-        self.word, self.p = key(often, "w")[o], p[o]
-        seen = two(contexts, "s")
-        carry = np.where(seen > 0, two(contexts, "c") / np.maximum(seen, 1), 1.0)
-        o = np.argsort(key(contexts, "h"))
-        self.context, self.carry, seen = key(contexts, "h")[o], carry[o], seen[o]
-        add = np.maximum(two(pairs, "n") - DISCOUNT, 0) / np.maximum(_find(self.context, key(pairs, "h"), seen, np.ones(2)), 1)
+        size, kinds = float(totals["size"]), np.array([totals["k0"], totals["k1"]], float)
+        both, of = max(kinds.sum(), 1.0), np.maximum(kinds, 1.0)
+        self.unknown = SHARED * size / both / (size + 1) if size else 1.0
+        self.spare = 1 - np.array([totals["e0"], totals["e1"]], float) / of
+        k = two(own, "k")
+        self.shared = np.maximum(k.sum(1) - SHARED, 0) / both + self.unknown
+        p = excess(k, ratio) / of + self.spare * self.shared[:, None]
+        o = np.argsort(key(own, "w"))
+        self.word, self.p, self.shared, begun = key(own, "w")[o], p[o], self.shared[o], two(own, "s")[o]
+        e = excess(two(pairs, "n"), ratio)
+        h, lost = _sums(key(pairs, "h"), e)
+        total = np.maximum(_find(self.word, h, begun, np.ones(2)), 1)
+        self.context, self.carry = h, 1 - lost / total
+        add = e / np.maximum(_find(self.word, key(pairs, "h"), begun, np.ones(2)), 1)
         pair = _key(key(pairs, "h"), key(pairs, "w"))
         o = np.argsort(pair)
         self.pair, self.add = pair[o], add[o]
-        self.curve = np.zeros(4)
+        self.x, self.y = np.zeros(1), np.zeros(1)
 
-    def ratio(self, w: Words) -> np.ndarray:
-        """Log-likelihood ratio, toxic to ordinary, of each word."""
-        before = _bigrams(w)
-        p = _find(self.word, w.hash, self.p, self.p_unknown)
-        p = p * _find(self.context, before, self.carry, np.ones(2)) + _find(self.pair, _key(before, w.hash), self.add, np.zeros(2))
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+    @property
+    def base(self) -> float:
+        """The log ratio of a word that speaks for no class, and of a text without words."""
+        return float(np.log(self.spare[1]) - np.log(self.spare[0]))
+
+    def probabilities(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """(words, 2), after the words `before`; of words outside of the table relative to their shared probability."""
+        p = _find(self.word, word, self.p, self.spare)
+        return p * _find(self.context, before, self.carry, np.ones(2)) + _find(self.pair, _key(before, word), self.add, np.zeros(2))
 
     def features(self, w: Words, n: int) -> np.ndarray:
-        """(texts, 3): mean ratio, greatest mean of a run of words, and log length; zeros for texts without words."""
-        out = np.zeros((n, 3))
-        if not w.n:
-            return out
-        r = self.ratio(w)
-        num = np.diff(w.first)
-        some = np.flatnonzero(num)
-        total = np.concatenate([[0.0], np.cumsum(r)])
-        out[some, 0] = (total[w.first[some + 1]] - total[w.first[some]]) / num[some]
-        i = np.arange(w.n)
-        stop = np.minimum(i + WINDOW, w.first[w.row + 1])
-        run = (total[stop] - total[i]) / WINDOW
-        out[some, 1] = np.maximum.reduceat(run, w.first[some])
-        out[some, 2] = np.log1p(num[some])
+        """(texts,): the difference of the length-normalised log-likelihoods, toxic less ordinary, of whole texts."""
+        out = np.full(n, self.base)
+        if w.n:
+            p = np.log(self.probabilities(_bigrams(w), w.hash))
+            total = np.concatenate([[0.0], np.cumsum(p[:, 1] - p[:, 0])])
+            num = np.diff(w.first)
+            some = np.flatnonzero(num)
+            out[some] = (total[w.first[some + 1]] - total[w.first[some]]) / num[some]
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        z = self.curve[0] + x @ self.curve[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> None:
-        """Weighted logistic regression by Newton steps; without both classes the score is the base rate."""
-        a = np.column_stack([np.ones(len(x)), x])
-        b = np.zeros(4)
-        if len(set(y.tolist())) == 2:
-            for _ in range(40):
-                p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-                g = a.T @ (weight * (y - p)) - ridge * np.r_[0, b[1:]]
-                hess = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.diag([1e-6, 1, 1, 1]) + 1e-9 * np.eye(4)
-                step = np.linalg.solve(hess, g)
-                b += np.clip(step, -5, 5)
-                if np.abs(step).max() < 1e-8:
-                    break
-        else:
-            b[0] = 6.0 if len(y) and y[0] == 1 else -6.0
-        self.curve = b
+        return np.interp(x, self.x, self.y)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """The monotone curve of least squares (pool adjacent violators), straight between its steps.
+
+        Without both classes it is flat: 1 for toxic texts alone, else 0.
+        """
+        if len(set(y.tolist())) < 2:
+            self.x, self.y = np.zeros(1), np.full(1, float(len(y) > 0 and y[0] == 1))
+            return
+        x = np.round(x, 12)  # sums in another order are equal evidence
+        at, of = np.unique(x, return_inverse=True)
+        mass = np.bincount(of, weight)
+        steps: list[list[float]] = []  # from, to, mean, mass
+        for a, p, m in zip(at.tolist(), (np.bincount(of, weight * y) / mass).tolist(), mass.tolist()):
+            steps.append([a, a, p, m])
+            while len(steps) > 1 and steps[-2][2] >= steps[-1][2]:
+                _, to, p, m = steps.pop()
+                last = steps[-1]
+                last[1:] = [to, (last[2] * last[3] + p * m) / (last[3] + m), last[3] + m]
+        self.x = np.array([v for s in steps for v in s[:2]])
+        self.y = np.array([s[2] for s in steps for _ in range(2)])
 
 
 def _key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -270,7 +296,7 @@ def _find(keys: np.ndarray, x: np.ndarray, values: np.ndarray, default: np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     """Models from all labelled texts but a quarter of about `bound` texts of each class, from which the curve is.
 
-    docs may hold texts that must not be learned from only if labels doesn't name them. The ids of the quarter are joined
+    Null and empty texts have no n-grams; a doc_id that is labelled both ways is toxic. docs may hold texts that must not be learned from only if labels doesn't name them. The ids of the quarter are joined
     by broadcast: their number is bounded by `bound`, whatever the input.
     """
     sample, n = sample_labels(labels, bound)
@@ -278,56 +304,59 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Model:
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     own = one_label(labels).join(F.broadcast(aside), "doc_id", "left_anti")
     learned = texts.join(F.broadcast(own) if sum(n.values()) <= MOST_LABELS else own, "doc_id")
-    shards = 1 + int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD)
-    model = Model(*gather(learned, rare(sum(n.values()) - 0.25 * sum(min(bound, x) for x in n.values())), shards))
-    rows = texts.join(F.broadcast(aside), "doc_id")
-    held = describe(rows.select("text", "toxic"), model, "toxic").toPandas()
+    size = {r["toxic"]: r["n"] for r in learned.groupBy("toxic").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    ratio, shards = ratios(size), 1 + int(sum(x or 0 for x in size.values()) // SHARD)
+    model = Model(*gather(learned, ratio, shards), ratio)
+    held = describe(texts.join(F.broadcast(aside), "doc_id").select("text", "toxic"), model, "toxic").toPandas()  # bounded by `bound`
     y = held["key"].to_numpy(float)
     have = np.array([(y == k).sum() for k in (0, 1)])
     # as in all labelled rows, where classes need not be as even as in the sample
     weight = np.array([n.get(k, 0) / max(1, have[k]) for k in (0, 1)])
     weight = weight / max(weight.sum(), 1e-9)
-    model.calibrate(held[["mean", "peak", "size"]].to_numpy(), y, weight[y.astype(int)])
+    model.calibrate(held["evidence"].to_numpy(), y, weight[y.astype(int)])
     return model
 
 
+def _evidence(model: Model, texts: pa.Array) -> np.ndarray:
+    x = [model.features(w, j - i) for i, j, w in words(texts, lower=True, apart=PLAIN)]
+    return np.round(np.concatenate(x), 12) if x else np.zeros(0)
+
+
 def describe(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    """(key, mean, peak, size, score) of whole texts, row by row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams that rare() lets speak
+    """(key, evidence, score) of whole texts, row by row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams that speak for a class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            x = [m.features(w, j - i) for i, j, w in words(b.column(1), lower=True, apart=PLAIN)]
-            x = np.concatenate(x) if x else np.zeros((0, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, k]) for k in range(3)), pa.array(m.score(x))], ["key", "mean", "peak", "size", "score"])
+            x = _evidence(shared.value, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x), pa.array(shared.value.score(x))], ["key", "evidence", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(docs[key].alias("key"), docs["text"]).mapInArrow(run, f"key {kind}, mean double, peak double, size double, score double")
+    return docs.select(docs[key].alias("key"), docs["text"]).mapInArrow(run, f"key {kind}, evidence double, score double")
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, score, predicted): null and empty texts are scored as having no evidence; repeated rows stay repeated."""
+    """(key, score, predicted): null and empty texts have no evidence; repeated rows stay repeated; a score of 0.5 is predicted 1."""
     return describe(docs, model, key).select(F.col("key").alias(key), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that score 0.5 or more, all columns as they were. Rows are judged where they are read: no shuffle."""
+    """docs without the rows that score 0.5 or more, all columns as they were. Rows are judged where they are read: no shuffle.
+
+    Rows with null or empty texts and without doc_id are judged like any others; repeated rows go or stay together.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for b in batches:
-            x = [m.features(w, j - i) for i, j, w in words(b.column(at), lower=True, apart=PLAIN)]
-            if x:
-                yield b.filter(pa.array(m.score(np.concatenate(x)) < 0.5))
+            yield b.filter(pa.array(shared.value.score(_evidence(shared.value, b.column(at))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Learns labels where crc32(doc_id) mod 5 is not 0 and scores every document."""
+    """Learns labels where crc32(doc_id) mod 5 is not 0 and scores every document; a row without doc_id is not held out."""
     ship(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(crc_mod("doc_id", 5) != 0))

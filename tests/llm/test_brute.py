@@ -139,6 +139,30 @@ def test_blocks_of_a_hot_bucket(spark, monkeypatch):
     assert got == near_by_hand(list(range(60)), v, [1] * 60)
 
 
+def test_keys_of_a_large_table(spark, monkeypatch):
+    """Longer keys, and more of them, as a label of a billion vectors has: no pair is lost that short ones find."""
+    assert embed.key_sizes(500)[1] == 16 and embed.key_sizes(0)[1] == 16
+    keys, bits = embed.key_sizes(10**9)
+    assert bits == 25 and (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** keys < embed.MISS * 1.01
+    rng = np.random.default_rng(11)
+    v = np.repeat(rng.normal(size=(40, 64)), 5, axis=0)
+    v += rng.normal(size=v.shape) * 0.09
+    df = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    want = near_by_hand(list(range(200)), v, [1] * 200)
+    monkeypatch.setattr(embed, "key_sizes", lambda largest, least: (keys, bits))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed.near_vectors(df).collect()}
+    n = sum(x for x, _ in want.values())
+    assert n > 300 and sum(x for x, _ in got.values()) >= 0.99 * n and all(got[i][0] <= want[i][0] for i in got)
+
+
+def test_one_id_with_two_vectors(spark):
+    """Rows link, not ids: each vector of a repeated id has its own links and component."""
+    a, b = np.eye(64)[0], np.eye(64)[1]
+    rows = [(1, a.tolist(), 0), (1, b.tolist(), 0), (2, (a + 0.05 * b).tolist(), 0), (3, (b + 0.05 * a).tolist(), 0)]
+    out = embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in out) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     x, y = rng.normal(size=(2, 3000, 64))
@@ -355,38 +379,95 @@ def test_toxicity_on_held_out_rows(spark):
     assert (out["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out["doc_id"]]).all()
     h = out[out["held_out"]]
     caught, clean = h[h["toxic"] == 1]["predicted"].mean(), h[h["toxic"] == 0]["predicted"].mean()
-    assert caught > 0.85 and clean < 0.01, (caught, clean)
-
-
-def test_ngram_counts_are_contexts(spark):
-    df = spark.createDataFrame([("a b c", 1), ("x b c", 1), ("x b c", 1), ("b c", 0)], "text string, toxic int")
-    rows = toxicity.ngram_counts(df).collect()
-    hashes = {w: int(next(tk.words(pa.array([w]), lower=True, apart=tk.PLAIN))[2].hash.view(np.int64)[0]) for w in "abcx"}
-    n = {(r["toxic"], r["h"], r["w"]): r["n"] for r in rows}
-    assert n[1, hashes["b"], hashes["c"]] == 2 and n[0, hashes["b"], hashes["c"]] == 1 and n[1, 0, hashes["x"]] == 1
-
-
-def test_toxicity_counts_all_labelled_rows(spark):
-    """Also beyond the sample for the curve: an expression of a tenth of the toxic texts speaks, and sums are those of all n-grams."""
-    rows = [(i, f"w{i % 97} v{i % 89} " + (f"u{i % 83} zounds x{i % 7}" if i % 20 == 1 else f"u{i % 83} x{i % 7}"), i % 2) for i in range(1600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(docs.drop("toxic"), docs.drop("text"), bound=40)
-    zounds = next(tk.words(pa.array(["zounds"]), lower=True, apart=tk.PLAIN))[2].hash[0]
-    assert zounds in model.word
-    t = toxicity.ngram_counts(docs).toPandas()
-    for shards, least in ((1, 1), (5, 4)):
-        totals, often, contexts, pairs = toxicity.gather(docs, least, shards)
-        kinds = {c: t[t["toxic"] == c].groupby("w").size() for c in (0, 1)}
-        assert totals["size"] == t["w"].nunique() and all(totals[f"k{c}"] == kinds[c].sum() and totals[f"d{c}"] == kinds[c].clip(upper=toxicity.DISCOUNT).sum() for c in (0, 1))
-        both = t.groupby("w").size()
-        assert set(often["w"]) - {0} == set(both[both >= least].index)
-        n = t.groupby(["h", "w"])["n"].sum()
-        assert {(r.h, r.w): r.n0 + r.n1 for r in pairs.itertuples()} == n[n >= least].to_dict()
-        own = contexts.set_index("h")
+    assert caught > 0.85 and clean < 0.005, (caught, clean)
+
+
+def plain_models(texts, r):
+    """Kneser-Ney by dictionaries from (text, toxic) and the ratios of sizes: the words, and p(class, before, word) for any words."""
+    seqs = [([w for w in re.split(r"[^a-z0-9']+", t.lower()) if w], c) for t, c in texts]
+    triples, holds = set(), Counter()
+    for s, c in seqs:
+        for g, h, w in zip([None, None, *s], [None, *s], s):
+            triples.add((c, g, h, w))
+        holds.update((c, w) for w in set(s))
+    pairs = Counter((c, h, w) for c, g, h, w in triples)
+    followed = Counter((c, w) for c, h, w in pairs)
+    uni = {k: min(n, holds[k]) for k, n in followed.items()}
+    words = {w for _, w in uni}
+
+    def excess(n, other, c):
+        return max(n - (toxicity.DISCOUNT * max(r[c], 1) + toxicity.EXCESS * other * math.sqrt(r[c])), 0)
+
+    both = {w: uni.get((0, w), 0) + uni.get((1, w), 0) for w in words}
+    n = sum(both.values())
+    shared = lambda w: max(both.get(w, 0) - toxicity.SHARED, 0) / n + toxicity.SHARED * len(words) / n / (len(words) + 1)
+    tops = [{w: excess(uni.get((c, w), 0), uni.get((1 - c, w), 0), c) / sum(v for (k, _), v in uni.items() if k == c) for w in words} for c in (0, 1)]
+    one = lambda c, w: tops[c].get(w, 0) + (1 - sum(tops[c].values())) * shared(w)
+    total = Counter()
+    for (c, h, w), k in pairs.items():
+        total[c, h] += k
+    own = {k: excess(v, pairs.get((1 - k[0], *k[1:]), 0), k[0]) / total[k[0], k[1]] for k, v in pairs.items()}
+    lost = Counter()
+    for (c, h, w), x in own.items():
+        lost[c, h] += x
+    return words, lambda c, h, w: own.get((c, h, w), 0) + (1 - lost[c, h]) * one(c, w)
+
+
+def toxic_corpus():
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        w = [f"w{rng.integers(40)}" for _ in range(rng.integers(0, 30))]
+        if i % 3 == 0:
+            w = [x for y in w for x in ([y, "you", "clown"] if rng.random() < 0.2 else [y, "scum"] if rng.random() < 0.1 else [y])]
+        rows.append((i, " ".join(w) + (". Kind words" if i % 3 and rng.random() < 0.6 else ""), int(i % 3 == 0)))
+    return rows
+
+
+def hashed(word):
+    return np.uint64(0) if word is None else next(tk.words(pa.array([word]), lower=True, apart=tk.PLAIN))[2].hash[0]
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_toxicity_models_against_plain_ones(spark, shards):
+    """Every conditional probability, whose sum over all words and one unknown is 1; and texts' mean log ratios."""
+    rows = toxic_corpus()
+    df = spark.createDataFrame(rows, "id long, text string, toxic int").repartition(3)
+    size = [sum(len(t) for _, t, c in rows if c == k) for k in (0, 1)]
+    ratio = toxicity.ratios(dict(enumerate(size)))
+    words, p = plain_models([(t, c) for _, t, c in rows], ratio)
+    m = toxicity.Model(*toxicity.gather(df, ratio, shards), ratio)
+    assert len(m.word) > 3 and len(m.pair) >= 1 and {hashed("clown"), hashed("scum"), hashed("kind")} <= set(m.word)
+    for h in [None, "you", "clown", "w3", "never seen"]:
         for c in (0, 1):
-            s = t[t["toxic"] == c].groupby("h")["n"].sum()
-            assert (own[f"s{c}"] == s.reindex(own.index).fillna(0)).all()
-            assert (own[f"c{c}"] == toxicity.DISCOUNT * t[t["toxic"] == c].groupby("h").size().reindex(own.index).fillna(0)).all()
+            assert math.isclose(sum(p(c, h, w) for w in words) + p(c, h, "unseen"), 1, abs_tol=1e-9)
+        for w in [*sorted(words), "unseen"]:
+            got = m.probabilities(np.array([hashed(h)]), np.array([hashed(w)]))[0]
+            assert math.isclose(got[1] / got[0], p(1, h, w) / p(0, h, w), rel_tol=1e-9), (h, w)
+            if hashed(w) in m.word:
+                assert np.allclose(got, [p(0, h, w), p(1, h, w)])
+    texts = ["you clown of w3 w9", "w1 w2, w3", "", None, "kind WORDS scum", "?"]
+    got = np.concatenate([m.features(w, j - i) for i, j, w in tk.words(pa.array(texts), lower=True, apart=tk.PLAIN)])
+    for t, x in zip(texts, got):
+        s = [w for w in re.split(r"[^a-z0-9']+", (t or "").lower()) if w]
+        want = [math.log(p(1, h, w) / p(0, h, w)) for h, w in zip([None, *s], s)]
+        assert math.isclose(x, sum(want) / len(want) if want else m.base, abs_tol=1e-9)
+
+
+def test_toxicity_curve():
+    m = toxicity.Model.__new__(toxicity.Model)
+    m.calibrate(np.array([0.0, 0, 1, 2, 3, 4]), np.array([0.0, 0, 1, 0, 1, 1]), np.ones(6))
+    assert m.score(np.array([-9.0, 0, 1, 1.5, 2, 3, 9])).tolist() == [0, 0, 0.5, 0.5, 0.5, 1, 1]
+    m.calibrate(np.zeros(3), np.ones(3), np.ones(3))
+    assert m.score(np.array([0.0, 5])).tolist() == [1, 1]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Also beyond the sample for the curve; a passage copied through one class is one witness."""
+    rows = [(i, f"w{i % 97} v{i % 89} " + (f"u{i % 83} zounds x{i % 7}" if i % 20 == 1 else f"u{i % 83} x{i % 7}") + (" once upon a hill" if i % 4 == 1 else ""), i % 2) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    m = toxicity.fit(docs.drop("toxic"), docs.drop("text"), bound=40)
+    assert hashed("zounds") in m.word and hashed("hill") not in m.word
 
 
 def test_language_on_held_out_rows(spark):
