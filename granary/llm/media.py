@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -80,11 +81,17 @@ def decode_netpbm(b: bytes) -> np.ndarray:
             raise MediaError("too few samples")
         a = np.frombuffer(b, ">u2" if wide else np.uint8, n, at)
     else:
-        body = b[at - 1 :]
-        a = np.array(list(body.translate(None, b" \t\r\n\v\f")) if bitmap else body.split(), dtype=np.int64)[: w * h * planes]
-        a = a - 48 if bitmap else a
-        if len(a) < w * h * planes:
+        body = re.sub(rb"#[^\r\n]*", b"", b[at - 1 :])
+        found = list(body.translate(None, b" \t\r\n\v\f")) if bitmap else body.split()
+        if len(found) < w * h * planes:
             raise MediaError("too few samples")
+        found = found[: w * h * planes]
+        if not bitmap and not all(x.isdigit() and len(x) < 10 for x in found):
+            raise MediaError("a sample is no number")
+        a = np.array(found, dtype=np.int64)
+        a = a - 48 if bitmap else a
+    if len(a) and not 0 <= int(a.min()) <= int(a.max()) <= top:
+        raise MediaError("a sample is above the maximum")
     if bitmap:
         a = (1 - a) * 255
     elif top != 255:
@@ -190,7 +197,8 @@ def dhash(a: np.ndarray) -> str:
 def tile(a: np.ndarray, side: int = 16) -> bytes:
     """Area-resized to side x side, rounded to 8 bits, as an NPY file (version 1.0)."""
     out = io.BytesIO()
-    np.lib.format.write_array(out, np.clip(np.rint(resize_area(a, side, side)), 0, 255).astype(np.uint8), version=(1, 0), allow_pickle=False)
+    small = np.clip(np.rint(resize_area(a, side, side)), 0, 255).astype(np.uint8)
+    np.lib.format.write_array(out, np.ascontiguousarray(small), version=(1, 0), allow_pickle=False)
     return out.getvalue()
 
 
@@ -233,7 +241,7 @@ def features(media: DataFrame, key: str = "doc_id", column: str = "media", side:
                         raise MediaError("null")
                     a = decode(x.as_py())
                     rows.append((a.shape[1], a.shape[0], a.tobytes(), tile(a, side), dhash(a), None))
-                except (MediaError, ValueError, struct.error) as e:
+                except (MediaError, ArithmeticError, LookupError, MemoryError, ValueError, struct.error) as e:
                     rows.append((None, None, None, None, None, str(e)))
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["key", "width", "height", "payload", "tile", "dhash", "error"])
@@ -265,5 +273,6 @@ def media_digest(docs: DataFrame, kind: str = "pgm") -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents stored as an image and read back, as media_digest; feature: difference hash and tile digest."""
     ship(spark)
     return media_digest(table(spark, sf_dir, "documents"))
