@@ -28,6 +28,8 @@ from .common import shared_dir, ship, table
 FRAME, BUNDLE = 1 << 18, 1 << 24
 #: Payloads of fewer bytes are never revisits.
 LEAST_PAYLOAD = 1000
+#: When records are said to have been made, unless a date is given: the same input makes the same bytes.
+DATE = "1970-01-01T00:00:00Z"
 
 # Fixed values of the public formats.
 _SKIPPABLE_INDEX, _SKIPPABLE_SEEK, _SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -36,9 +38,9 @@ _SKIPPABLE_INDEX, _SKIPPABLE_SEEK, _SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8
 # --- records --------------------------------------------------------------------------------------------------------
 
 
-def record(record_id: str, kind: str, uri: str | None, payload: bytes, digest: str, size: int, refers_to: str | None = None) -> bytes:
+def record(record_id: str, kind: str, uri: str | None, payload: bytes, digest: str, size: int, refers_to: str | None = None, date: str = DATE) -> bytes:
     """One WARC/1.1 record. digest: lower-case hex SHA-1 of the full payload, of `size` bytes, even for a revisit."""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: text/html; charset=utf-8", f"X-Payload-Length: {size}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}", "Content-Type: text/html; charset=utf-8", f"X-Payload-Length: {size}"]
     if uri is not None:
         head.append("WARC-Target-URI: " + "".join(c for c in uri if c >= " "))
     if kind == "revisit":
@@ -47,6 +49,13 @@ def record(record_id: str, kind: str, uri: str | None, payload: bytes, digest: s
     return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
+def info(record_id: str, date: str = DATE) -> bytes:
+    """The warcinfo record that opens a bundle."""
+    fields = b"software: granary\r\nformat: WARC file version 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(fields)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + fields + b"\r\n\r\n"
+
+
 @dataclass
 class Record:
     headers: dict[str, str]
@@ -166,30 +175,38 @@ def plan_records(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     return out.select("page_id", "url", "payload", "digest", F.when(late, F.col("of")).alias("refers_to"))
 
 
-def bundle(records: DataFrame) -> DataFrame:
-    """(bundle_id, records, bundle): tasks write bundles of about BUNDLE bytes of content as they read."""
+def bundle(records: DataFrame, date: str = DATE) -> DataFrame:
+    """(bundle_id, records, bundle): tasks write bundles of about BUNDLE bytes of content as they read; a warcinfo record is first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = BundleWriter()
+        def new() -> BundleWriter:
+            w = BundleWriter()
+            w.add(_INFO, info(_INFO, date))
+            return w
+
+        w = new()
 
         def done() -> pa.RecordBatch:
             blob = w.finish()
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(blob).hexdigest()[:32]]), pa.array([len(w.index)], pa.int64()), pa.array([blob], pa.binary())], ["bundle_id", "records", "bundle"])
+            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(blob).hexdigest()[:32]]), pa.array([len(w.index) - 1], pa.int64()), pa.array([blob], pa.binary())], ["bundle_id", "records", "bundle"])
 
         for b in batches:
             for page, url, payload, digest, to in zip(*(c.to_pylist() if k != 2 else c for k, c in enumerate(b.columns))):
                 raw = payload.as_buffer().to_pybytes()
                 kind = "response" if to is None else "revisit"
-                w.add(_urn(page), record(_urn(page), kind, url, raw if to is None else b"", digest, len(raw), None if to is None else _urn(to)))
+                w.add(_urn(page), record(_urn(page), kind, url, raw if to is None else b"", digest, len(raw), None if to is None else _urn(to), date))
                 if w.total + w.filled >= BUNDLE:
                     yield done()
-                    w = BundleWriter()
-        if w.index:
+                    w = new()
+        if len(w.index) > 1:
             yield done()
 
     return records.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "bundle_id string, records long, bundle binary")
 
 
+_INFO = "urn:page-bundle:info"
+
+
 def _urn(page: int | None) -> str:
     return f"urn:page:{'' if page is None else page}"
 
@@ -198,9 +215,9 @@ def _page(urn: str) -> int | None:
     return int(x) if (x := urn.strip("<>").removeprefix("urn:page:")) else None
 
 
-def write_archive(pages: DataFrame, path: str) -> None:
+def write_archive(pages: DataFrame, path: str, date: str = DATE) -> None:
     """Writes the bundles of pages (page_id, url, html) as a table at path; they are compressed already."""
-    bundle(plan_records(pages)).write.option("compression", "none").parquet(path)
+    bundle(plan_records(pages), date).write.option("compression", "none").parquet(path)
 
 
 def read_archive(bundles: DataFrame) -> DataFrame:
@@ -217,6 +234,8 @@ def read_archive(bundles: DataFrame) -> DataFrame:
             for blob in b.column(0):
                 rows, size = [], 0
                 for rid, r in BundleReader(blob.as_buffer()):
+                    if r.headers["warc-type"] == "warcinfo":
+                        continue
                     h, same = r.headers, r.headers["warc-type"] == "revisit"
                     digest = r.digest if same else hashlib.sha1(r.payload).hexdigest()
                     if digest != r.digest:
