@@ -9,8 +9,12 @@
    document. The rest meet by hash, and all but the earliest are marked.
 3. Marks go to their documents, whose words they cover.
 
-The sketch has a fixed size (2 x 2**26 cells, 16 MB as bits). On inputs that overfill it more windows go to the exact
-pass; none is lost.
+The sketch has about four cells a minimiser of the input, by its bytes, so about one window in twenty goes on by chance. Its
+bits go to every task; past 2 x 2**29 cells (128 MB as bits) it grows no more, and on larger inputs more windows go to the exact
+pass: it takes longer, in proportion to the input, and none is lost.
+
+Windows are equal if 95 bits of hashes of their words agree, itself made of 64-bit hashes of words: of n distinct windows, two
+are taken for equal with a probability of about n * n / 2**96.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from .common import ship, table, tasks
 from .textkit import Words, kept_text, mix, words
 
-#: log2 of the cells of a sketch row and of a shard; rows; cells that a task holds before it sends them.
-CELLS, SHARD, DEPTH, HELD = 26, 18, 2, 1 << 22
+#: log2 of the fewest and most cells of a sketch row, and of the cells of a shard; rows; cells that a task holds before it sends them.
+CELLS, MOST_CELLS, SHARD, DEPTH, HELD = 20, 29, 18, 2, 1 << 22
+#: Bytes of text for each minimiser, about: six words of six bytes.
+SPREAD = 36
 
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
@@ -73,8 +79,15 @@ def _unpack(b: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-def sketch(docs: DataFrame, k: int, cells_log: int = CELLS, shard_log: int = SHARD) -> Broadcast:
+def cells_for(size: int) -> int:
+    """log2 of the cells of a sketch row for so many bytes of text."""
+    return min(MOST_CELLS, max(CELLS, (4 * size // SPREAD).bit_length()))
+
+
+def sketch(docs: DataFrame, k: int, cells_log: int | None = None, shard_log: int = SHARD) -> Broadcast:
     """The merged sketch as bits (row, byte): set where a cell was counted twice or more."""
+    if cells_log is None:
+        cells_log = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     per_row = 1 << (cells_log - shard_log)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +283,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, **sizes: int) -> DataFrame:
 
 
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text of documents that stay and go, as remove_repeats with windows of 20; the kept ones as a digest."""
     ship(spark)
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
