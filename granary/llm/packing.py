@@ -1,10 +1,9 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths goes to the driver on a fixed grid: exact up to GRID tokens, above that with GRID / 2 steps for each
-doubling, so it has a few thousand entries whatever the input. Dynamic programming over it chooses the bucket bounds that
-pad least. Batches are then formed inside each bucket under a budget of padded tokens. A bucket is dealt into shards by hash,
-of about SHARD rows each, which number their rows by themselves; so no bucket meets in one task, at the price of one batch a
-shard that may not be full.
+The global histogram of lengths goes to the driver whole: d distinct lengths need d * d / 2 tokens, so a corpus of 10**13 has
+some millions at most. Dynamic programming over it chooses the bucket bounds that pad least. Batches are then formed inside
+each bucket under a budget of padded tokens. A bucket is dealt into shards by hash, of about SHARD rows each, which number
+their rows by themselves; so no bucket meets in one task, at the price of one batch a shard that may not be full.
 """
 
 from __future__ import annotations
@@ -13,10 +12,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import cut, ship, table
 
-#: Buckets; padded tokens in a batch; exact lengths of the grid; rows of a shard.
-BUCKETS, BUDGET, GRID, SHARD = 16, 32768, 512, 20_000
+#: Buckets; padded tokens in a batch; rows of a shard.
+BUCKETS, BUDGET, SHARD = 16, 32768, 20_000
 
 
 def word_count(text: str = "text"):
@@ -24,41 +23,43 @@ def word_count(text: str = "text"):
     return F.coalesce(F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "w")) - F.when(F.regexp_like(text, F.lit(r"\A[\x20\x09-\x0D]")), F.length(F.regexp_extract(text, r"\A[\x20\x09-\x0D]*+", 0))).otherwise(0), F.lit(0))
 
 
-def on_grid(n):
-    """The least grid point that is not below n: n itself up to GRID, then multiples of a power of two."""
-    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)) / F.lit(GRID))) + 1, F.lit(0)))
-    return F.when(n <= GRID, n).otherwise((F.ceil(n / step) * step).cast("long")).cast("long")
-
-
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
-    """Upper bounds of at most `buckets` buckets over ascending lengths with the least total padding.
+    """Upper bounds of at most `buckets` buckets over ascending distinct lengths with the least total padding.
 
     cost(i, j) = lengths[j-1] * sum(counts[i:j]) - sum(lengths * counts)[i:j] meets the quadrangle inequality, so the best
-    split moves monotonically and each layer is solved by divide and conquer, O(buckets * n * log n).
+    split moves monotonically with j. Each layer is solved by divide and conquer, all halves of a level at once, in
+    O(buckets * n * log n) steps and O(buckets * log n) numpy calls.
     """
     n = len(lengths)
     if not n:
         return []
     k = min(buckets, n)
-    num = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
-    mass = np.concatenate([[0], np.cumsum(lengths * counts, dtype=np.float64)])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0.0
-    choice = np.zeros((k + 1, n + 1), np.int64)
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    num = np.concatenate([[0], np.cumsum(counts)])
+    mass = np.concatenate([[0], np.cumsum(lengths * counts)])
+    never = np.iinfo(np.int64).max // 4
+    best = np.full(n + 1, never)
+    best[0] = 0
+    choice = np.zeros((k + 1, n + 1), np.int32)
     for layer in range(1, k + 1):
-        now = np.full(n + 1, np.inf)
-        work = [(1, n, 0, n - 1)]
-        while work:
-            lo, hi, a, b = work.pop()
-            if lo > hi:
-                continue
+        now, own = np.full(n + 1, never), choice[layer]
+        lo, hi, a, b = (np.array([x]) for x in (1, n, 0, n - 1))
+        while len(lo):
             mid = (lo + hi) // 2
-            i = np.arange(a, min(mid - 1, b) + 1)
-            cost = best[i] + lengths[mid - 1] * (num[mid] - num[i]) - (mass[mid] - mass[i])
-            at = int(np.argmin(cost))
-            now[mid], choice[layer, mid] = cost[at], i[at]
-            work += [(lo, mid - 1, a, int(i[at])), (mid + 1, hi, int(i[at]), b)]
-        best = now
+            size = np.minimum(mid - 1, b) - a + 1
+            first = np.cumsum(size) - size
+            of = np.repeat(np.arange(len(mid)), size)
+            i = np.arange(int(size.sum())) - first[of] + a[of]
+            m = mid[of]
+            cost = best[i] + lengths[m - 1] * (num[m] - num[i]) - (mass[m] - mass[i])
+            low = np.minimum.reduceat(cost, first)
+            hit = np.flatnonzero(cost == low[of])
+            at = i[hit[np.searchsorted(hit, first)]]  # the first of the least
+            now[mid], own[mid] = low, at
+            lo, hi, a, b = np.concatenate([lo, mid + 1]), np.concatenate([mid - 1, hi]), np.concatenate([a, at]), np.concatenate([at, b])
+            on = lo <= hi
+            lo, hi, a, b = lo[on], hi[on], a[on], b[on]
+        best = np.minimum(now, never)
     bounds, j = [], n
     for layer in range(k, 0, -1):
         bounds.append(int(lengths[j - 1]))
@@ -73,13 +74,12 @@ def pack(docs: DataFrame, key: str = "doc_id", tokens=None, buckets: int = BUCKE
 
     A batch holds rows of one bucket, floor(budget / bucket_len) at most; a row longer than the budget is a batch of its own.
     Null and empty texts have length 0 and go to the first bucket. Repeated rows and rows without key each have
-    their own slot. The order inside a shard is by hash of the key, which also shuffles the batches' content.
+    their own slot. The order inside a shard is by hash of the key, which also shuffles the batches' content; rows of one key
+    and length that would fill a shard, as many without key may, are dealt out by their place in the table instead.
     """
-    rows = docs.select(docs[key].alias("key"), (word_count() if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"))
-    rows = rows.withColumn("grid", on_grid(F.col("n_tokens")))
-    hist = rows.groupBy("grid").agg(F.count("*").alias("n"), F.max("n_tokens").alias("top")).toPandas().sort_values("grid")  # bounded by the grid
-    # a cell's greatest length bounds it; the sum of lengths is the same for all bounds
-    lengths, counts = hist["top"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    rows = cut(docs.select(docs[key].alias("key"), (word_count() if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens")))
+    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toPandas().sort_values("n_tokens")  # distinct lengths
+    lengths, counts = hist["n_tokens"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
     bounds = optimal_bounds(lengths, counts, buckets)
     place = np.searchsorted(np.array(bounds, np.int64), lengths) if len(bounds) else np.zeros(0, int)
     size = np.bincount(place, counts, minlength=max(len(bounds), 1)).astype(int)
@@ -90,7 +90,9 @@ def pack(docs: DataFrame, key: str = "doc_id", tokens=None, buckets: int = BUCKE
     bounds = bounds or [0]
     fit = [max(1, budget // max(1, b)) for b in bounds]
     shards = [max(1, round(s / SHARD)) for s in size]
-    dealt = rows.withColumn("bucket", bucket).withColumn("h", F.xxhash64("key", "n_tokens")).withColumn("shard", F.pmod("h", of(shards)))
+    alike = rows.groupBy("key", "n_tokens").agg(F.count("*").alias("n")).where(F.col("n") > SHARD // 4).select(F.col("key").alias("_k"), F.col("n_tokens").alias("_t"))
+    spread = rows.withColumn("at", F.monotonically_increasing_id()).join(alike, F.col("key").eqNullSafe(F.col("_k")) & (F.col("n_tokens") == F.col("_t")), "left")
+    dealt = spread.withColumn("bucket", bucket).withColumn("h", F.when(F.col("_t").isNull(), F.xxhash64("key", "n_tokens")).otherwise(F.xxhash64("at"))).withColumn("shard", F.pmod("h", of(shards))).drop("at")
     w = Window.partitionBy("bucket", "shard").orderBy("h", "key")
     at = (F.row_number().over(w) - 1).cast("long")
     out = dealt.withColumn("at", at).withColumn("per", of(fit))
@@ -98,5 +100,6 @@ def pack(docs: DataFrame, key: str = "doc_id", tokens=None, buckets: int = BUCKE
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch and slot of every document by its words, as pack with the default buckets and budget."""
     ship(spark)
     return pack(table(spark, sf_dir, "documents"))
