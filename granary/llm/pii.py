@@ -32,7 +32,7 @@ KINDS = {
 TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 #: Rounds; distinct seeds behind a pattern; a pattern's and an instance's least score; what one pattern alone can give.
 ROUNDS, SUPPORT, SURE_PATTERN, SURE_INSTANCE, TRUST = 3, 3, 0.8, 0.75, 0.95
-#: Characters of context kept on either side, fewest characters of a candidate.
+#: Characters of context on either side, fewest characters of a candidate. A context word that is longer counts by the part within.
 CONTEXT, LEAST = 80, 6
 
 
@@ -85,13 +85,17 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     """(doc_id, th, kind, found, start, end, left, right): valid base matches and candidates (kind ''), in code points.
 
     Start positions are running sums of piece and match lengths; a text's matches of a kind are the most that one window holds.
+    A context goes on over the match of that kind beside it, so neighbouring candidates are each other's context.
     """
     one = scanned.where("hits is not null").dropDuplicates(["doc_id", "th"])
     rows = one.select("doc_id", "th", F.explode("hits").alias("h")).select("doc_id", "th", "h.*")
     w = Window.partitionBy("doc_id", "th", "kind").orderBy("at")
     size = F.coalesce(F.length("found"), F.lit(0))
     ends = F.sum(F.col("gap") + size).over(w)
-    rows = rows.select("*", (ends - size).alias("start"), ends.alias("end"), F.lead("head").over(w).alias("after")).where("found is not null")
+    none = F.lit("")
+    before = F.concat(F.coalesce(F.lag("before").over(w), none), F.coalesce(F.lag("found").over(w), none), "before")
+    after = F.concat(F.coalesce(F.lead("head").over(w), none), F.coalesce(F.lead("found").over(w), none))
+    rows = rows.select("*", (ends - size).alias("start"), ends.alias("end"), F.right(before, F.lit(CONTEXT)).alias("left"), F.left(after, F.lit(CONTEXT)).alias("after")).where("found is not null").drop("before").withColumnRenamed("left", "before")
     # candidates without the punctuation around them
     lead = F.length(F.regexp_extract("found", r"\A[(\[{<\"'`]*", 0))
     core = F.regexp_extract("found", r"\A[(\[{<\"'`]*(.*?)[)\]}>\"'`.,;:!?]*\z", 1)
@@ -137,10 +141,14 @@ def spans(scanned: DataFrame) -> DataFrame:
     cand = found.where("kind = ''").withColumn("pattern", F.explode(_patterns())).drop("kind").join(sure, "pattern")
     votes = cand.groupBy("doc_id", "th", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log(1 - TRUST * F.least("sure", F.lit(1.0)))))).alias("score"))
     best = votes.where(F.col("score") >= SURE_INSTANCE).groupBy("doc_id", "th", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    b, c = base.alias("b"), best.alias("c")
-    over = (F.col("b.doc_id").eqNullSafe(F.col("c.doc_id"))) & (F.col("b.th") == F.col("c.th")) & (F.col("b.start") < F.col("c.end")) & (F.col("c.start") < F.col("b.end"))
-    added = c.join(b, over, "left_anti").select("doc_id", "th", "kind", "start", "end", F.lit(False).alias("base"))
-    return base.select("doc_id", "th", "kind", "start", "end", F.lit(True).alias("base")).unionByName(added)
+    names = ("doc_id", "th", "kind", "start", "end")
+    both = base.select(*names, F.lit(True).alias("base")).unionByName(best.select(*names, F.lit(False).alias("base")))
+    # a candidate overlaps a base match if one that starts before it ends after its start, or the next one starts before its end
+    w = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("base"), "end", "kind")
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.min(F.when(F.col("base"), F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    marked = both.withColumn("over", F.coalesce(reach > F.col("start"), F.lit(False)) | F.coalesce(following < F.col("end"), F.lit(False)))
+    return marked.where(F.col("base") | ~F.col("over")).drop("over")
 
 
 def _order() -> Column:
@@ -175,13 +183,14 @@ def redact(docs: DataFrame) -> DataFrame:
     per = s.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.upper("kind").alias("kind")))).alias("cuts"))
     d, p = docs.alias("d"), per.alias("p")
     both = d.join(p, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.xxhash64(F.coalesce("d.text", F.lit(""))) == F.col("p.th")), "left")
-    # the last span first, so that earlier positions stay right
-    text = F.expr("aggregate(reverse(p.cuts), d.text, (t, c) -> concat(left(t, c.start), '[', c.kind, ']', substr(t, c.end + 1)))")
+    # what is between the spans, in order, each piece made once
+    text = F.expr("concat(array_join(transform(p.cuts, (c, i) -> concat(substr(d.text, if(i = 0, 0, p.cuts[greatest(i - 1, 0)].end) + 1, c.start - if(i = 0, 0, p.cuts[greatest(i - 1, 0)].end)), '[', c.kind, ']')), ''), substr(d.text, element_at(p.cuts, -1).end + 1))")
     own = {c: F.col(f"d.`{c}`") for c in docs.columns}
     own["text"] = F.when(F.col("p.cuts").isNotNull() & F.col("d.text").isNotNull(), text).otherwise(F.col("d.text"))
     return both.select(*(x.alias(c) for c, x in own.items()))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and discovered spans of every whole text of documents, as personal_data."""
     ship(spark)
     return personal_data(table(spark, sf_dir, "documents"))
