@@ -9,11 +9,12 @@ Documents with equal shingle sets are one class from the start. Among classes no
 1. Every class of a bucket is compared with the bucket's smallest and largest id, on full shingle sets. Members of one
    component of these links need no further link.
 2. Where a bucket still holds several components, its classes outside the one with most members there are compared with
-   all of that component, block by block against an index of the block's sets; only one link for each comes out.
+   that component, block by block against an index of the block's sets, with the blocks alone that have a member in a
+   bucket of theirs; only one link for each comes out.
 3. Classes outside of it are compared with those that share a bucket, again by blocks, where steps 1 and 2 left them in
    different components. A task gives out links that join components it has not joined yet, so never all pairs.
 
-Components of all confirmed links, with equal sets joined, are the result: a link that was not looked at lies within a
+Pairs whose sets differ too much in size are never compared. Components of all confirmed links, with equal sets joined, are the result: a link that was not looked at lies within a
 component already.
 """
 
@@ -126,16 +127,21 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     return met.select("b", "a", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int, spots: DataFrame | None = None) -> DataFrame:
     """(a, b): links of queries (g, id, c) with members (g, id, c) of the same group g and another component c.
 
-    Members are dealt into blocks by hash and each query goes to every block of its group. A task joins the components of
-    the links it finds and keeps silent about further links inside them.
+    Members are dealt into blocks by hash and each query goes to every block of its group; with spots (id, band), to those
+    that hold a member in a band of its own. A task joins the components of the links it finds and keeps silent about
+    further links inside them.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
     size = members.join(queries.select("g").distinct(), "g").groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = members.join(size, "g").select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "c")
-    asked = queries.join(size, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "c")
+    if spots is None:
+        asked = queries.join(size, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "c")
+    else:
+        held = dealt.join(spots, "id").select("g", "band", "block").distinct()
+        asked = queries.join(spots, "id").join(held, ["g", "band"]).select("g", "block", F.lit(1).alias("role"), "id", "c").distinct()
     rows = dealt.unionByName(asked).join(texts, "id").select("g", "block", "role", "id", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,12 +203,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     signed = cut(signatures(docs, k))
     sets = signed.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one class; its smallest id stands for it
-    classes = cut(sets.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.bands").alias("bands")))
-    rows = classes.select("id", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    classes = cut(sets.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("size"), F.col("x.bands").alias("bands")))
+    rows = classes.select("id", "size", F.explode("bands").alias("band"))
+    hubs = rows.groupBy("band").agg(F.min(F.struct("id", "size")).alias("low"), F.max(F.struct("id", "size")).alias("high")).where("low.id < high.id")
     placed = cut(rows.join(hubs, "band"))
-    tried = placed.select(F.explode(F.array(F.struct(F.col("id").alias("a"), F.col("low").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    tried = cut(tried.select(F.greatest("p.a", "p.b").alias("a"), F.least("p.a", "p.b").alias("b")).where("a <> b").distinct())
+    tried = placed.select("id", "size", F.explode(F.array("low", "high")).alias("hub")).where(F.col("id") != F.col("hub.id"))
+    fits = 100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")
+    tried = cut(tried.where(fits).select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct())
     links = cut(confirm(docs, tried, k, percent))
     first = cut(components(links)).withColumnRenamed("component", "c")
     # buckets in which more than one component is left, and the component with most members there
@@ -211,7 +218,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     outside = cut(mixed.join(split, "band").where("c <> most").select("id", "band", "c", "most"))
     asked = cut(outside.select(F.col("most").alias("g"), "id", "c").distinct())
     alone = asked.select(F.col("g").alias("c")).distinct().join(first.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), F.col("c").alias("id"), "c")
-    joined = links.unionByName(confirm_blocks(docs, asked, first.select(F.col("c").alias("g"), "id", "c").unionByName(alone), k, percent))
+    joined = links.unionByName(confirm_blocks(docs, asked, first.select(F.col("c").alias("g"), "id", "c").unionByName(alone), k, percent, placed.select("id", "band")))
     second = cut(components(cut(joined)))
     # classes outside of it among themselves
     left = outside.select("id", "band").join(second, "id", "left").select(F.col("band").alias("g"), "id", F.coalesce("component", "id").alias("c"))
@@ -226,5 +233,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of near-duplicate documents by two-word shingles, as near_duplicates."""
     ship(spark)
     return near_duplicates(table(spark, sf_dir, "documents"), k=2)
