@@ -26,10 +26,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share; one of our own only where a local session names none, as in tests."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="granary-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         named = f"file://{own}"
@@ -58,7 +60,7 @@ def crc_mod(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(n)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) of all ids in edges (a, b); component is the smallest id reachable.
 
     Alternating large-star and small-star steps until the edge set stands still. Each step's minimum is a partial
@@ -66,7 +68,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break
@@ -77,6 +79,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         e = cut(small.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    else:
-        raise RuntimeError("components did not settle")
     return e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
