@@ -1,6 +1,7 @@
 """The operators against plain computations over whole small tables."""
 
 import hashlib
+import io
 import math
 import re
 import string
@@ -327,11 +328,49 @@ def test_codecs_and_resize():
     assert np.allclose(small, a.reshape(3, 4, 5, 4).mean((1, 3)))
     odd = media.resize_area(a, 5, 7)
     assert np.isclose(odd.mean(), a.mean()) and np.allclose(media.resize_area(np.full((3, 4), 2.5), 8, 9), 2.5)
-    assert np.load(__import__("io").BytesIO(media.tile(grey))).shape == (16, 16) and len(media.dhash(colour)) == 16
+    assert np.load(io.BytesIO(media.tile(grey))).shape == (16, 16) and len(media.dhash(colour)) == 16
     ramp = np.tile(np.arange(18), (8, 1))
     assert media.dhash(ramp) == "f" * 16 and media.dhash(ramp[:, ::-1]) == "0" * 16
 
 
+def area_mean(a, y0, y1, x0, x1):
+    """Mean of a over a box with real borders, sample by sample."""
+    total = sum(
+        float(a[i, j]) * (min(i + 1, y1) - max(i, y0)) * (min(j + 1, x1) - max(j, x0))
+        for i in range(int(y0), min(a.shape[0], math.ceil(y1))) for j in range(int(x0), min(a.shape[1], math.ceil(x1)))
+    )
+    return total / ((y1 - y0) * (x1 - x0))
+
+
+def plain_feature(text):
+    raw = (text or "").encode()
+    a = np.frombuffer(raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw)), np.uint8).reshape(-1, 64)
+    h, w = a.shape
+    small = [[round(area_mean(a, i * h / 8, (i + 1) * h / 8, j * w / 9, (j + 1) * w / 9), 6) for j in range(9)] for i in range(8)]
+    bits = "".join("1" if small[i][j] < small[i][j + 1] else "0" for i in range(8) for j in range(8))
+    tile = np.array([[round(area_mean(a, i * h / 16, (i + 1) * h / 16, j * w / 16, (j + 1) * w / 16)) for j in range(16)] for i in range(16)], np.uint8)
+    npy = io.BytesIO()
+    np.lib.format.write_array(npy, tile, version=(1, 0))
+    return f"{int(bits, 2):016x}:{hashlib.sha256(npy.getvalue()).hexdigest()[:16]}"
+
+
+def test_media_features_by_hand(spark):
+    texts = ["", None, "short", "the quick brown fox " * 40, "".join(chr(33 + i % 90) for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in media.media_digest(df).collect():
+        assert r["feature"] == plain_feature(texts[r["doc_id"]]), r["doc_id"]
+
+
+def test_broken_rasters_do_not_end_the_job(spark):
+    bad = [b"P2 1 1 255 99999999999999999999", b"P2\n1 1\n10\n200", b"P2 1 1 255 -4", b"P2 1 1 255 x", b"P1 2 1 1 7", b"P5\n1 1\n10\n\xff"]
+    for x in bad:
+        with pytest.raises(media.MediaError):
+            media.decode(x)
+    assert media.decode(b"P1\n2 2\n1# 0 0 0\n0 0 1").tolist() == [[0, 255], [255, 0]]
+    out = media.features(spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(bad)], "doc_id int, media binary")).collect()
+    assert len(out) == len(bad) and all(r["error"] and r["payload"] is None for r in out)
+
+
 # --- 7 --------------------------------------------------------------------------------------------------------------
 
 
@@ -350,6 +389,29 @@ def test_optimal_bounds():
         assert padding(lengths, counts, got) == best and len(got) <= k and got == sorted(got)
 
 
+def test_optimal_bounds_of_long_lengths():
+    """Exact at any length: against the plain dynamic programme."""
+    rng = np.random.default_rng(8)
+    lengths = np.unique(rng.integers(1, 300_000, 220))
+    counts = rng.integers(1, 50, len(lengths))
+    n, k = len(lengths), 7
+    cost = lambda i, j: int((counts[i:j] * (lengths[j - 1] - lengths[i:j])).sum())
+    best = [0] + [math.inf] * n
+    for _ in range(k):
+        best = [math.inf] + [min(best[i] + cost(i, j) for i in range(j)) for j in range(1, n + 1)]
+    got = packing.optimal_bounds(lengths, counts, k)
+    assert padding(lengths.tolist(), counts.tolist(), got) == best[n] and len(got) == k
+
+
+def test_rows_without_key_are_dealt_out(spark, monkeypatch):
+    """No shard holds all rows of one length and no key; slots stay distinct."""
+    monkeypatch.setattr(packing, "SHARD", 400)
+    rows = spark.range(4000).selectExpr("cast(null as long) as doc_id", "3L as n").unionAll(spark.range(500).selectExpr("id as doc_id", "3L as n")).repartition(3)
+    out = packing.pack(rows, tokens=rows["n"], budget=30).toPandas()
+    shard = out["batch"].str.split("-").str[1]
+    assert len(out) == 4500 and shard.value_counts().max() < 800 and not out.duplicated(["batch", "slot"]).any()
+
+
 def test_packing(spark, sf):
     d = table(sf, "documents")
     words = {i: len(WORD.findall(t or "")) for i, t in zip(d["doc_id"], d["text"])}
@@ -478,6 +540,61 @@ def test_language_on_held_out_rows(spark):
     assert (h["lang"] == h["lang_pred"]).mean() > 0.97 and h["score"].between(0, 1).all()
 
 
+def plain_grams(text):
+    """Hashed byte n-grams by hand: (order, bucket) of every one."""
+    out, last = [], None
+    folded = []
+    for b in text.encode():
+        b = b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32
+        if not (b == 32 and last == 32):
+            folded.append(b)
+        last = b
+    for k, n in enumerate(langid.ORDERS):
+        for i in range(len(folded) - n + 1):
+            h = 0
+            for b in folded[i : i + n]:
+                h = (h * 0x01000193 + b) % 2**32
+            out.append(k * langid.BUCKETS + (((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32 >> 19))
+    return out
+
+
+def test_language_by_hand(spark):
+    """Counts, bits, weights and decoding against plain sums."""
+    train = [("the cat and the dog", "en"), ("that is the one", "en"), ("der hund und die katze", "de"), ("das ist für dich", "de"), ("le chat et le chien", "fr"), ("c'est très bien", "fr")]
+    ask = ["the dog is one", "die katze ist das", "le chien est bien", "der the le", "x"]
+    langs, size = ["de", "en", "fr"], len(langid.ORDERS) * langid.BUCKETS
+    c = np.zeros((3, size))
+    for t, lang in train:
+        for g in plain_grams(t):
+            c[langs.index(lang), g] += 1
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(train)], "doc_id long, text string, lang string").repartition(3)
+    model = langid.fit(df)
+    got = langid.counts(df, "text", "lang").collect()
+    assert sorted((r["lang"], r["bucket"], r["n"]) for r in got) == sorted((langs[i], int(g), int(c[i, g])) for i, g in zip(*np.nonzero(c)))
+    p = np.zeros_like(c)
+    for k in range(len(langid.ORDERS)):
+        part = slice(k * langid.BUCKETS, (k + 1) * langid.BUCKETS)
+        p[:, part] = (c[:, part] + 0.5) / (c[:, part].sum(1, keepdims=True) + 0.5 * langid.BUCKETS)
+    code = langid.codewords(3)
+    bits = [[langs.index(x) for x in langs if code[langs.index(x), b] > 0] for b in range(code.shape[1])]
+    sure = []
+    odds = []
+    for b, plus in enumerate(bits):
+        minus = [i for i in range(3) if i not in plus]
+        o = np.log(p[plus].mean(0)) - np.log(p[minus].mean(0))
+        odds.append(o)
+        sure.append(max(min((p[i] @ o) * code[i, b] for i in range(3)), 1e-3))
+    for r in langid.predict(spark.createDataFrame(list(enumerate(ask)), "doc_id long, text string"), model).collect():
+        g = plain_grams(ask[r["doc_id"]])
+        margin = [sum(np.float32(o[x]) for x in g) / max(len(g), 1) for o in odds]
+        loss = [sum(w / sum(sure) * math.log1p(math.exp(-4 * m * code[i, b])) for b, (w, m) in enumerate(zip(sure, margin))) for i in range(3)]
+        share = np.exp(-4 * (np.array(loss) - min(loss)))
+        share /= share.sum()
+        best = int(np.argmax(share))
+        assert r["lang_pred"] == langs[best] and math.isclose(r["score"], share[best], rel_tol=1e-4)
+        assert r["ambiguous"] == bool(share[best] - np.sort(share)[-2] < 0.15)
+
+
 def test_codewords():
     for n in (2, 3, 4, 6, 7, 20):
         c = langid.codewords(n)

@@ -108,7 +108,8 @@ def test_language(spark, odd, nothing):
 
 
 def test_pieces(odd, nothing):
-    out = pieces.segmentations(odd.where("doc_id is null or doc_id not in (4, 5)"))
+    out = pieces.segmentations(odd).cache()
+    assert out.where("doc_id in (4, 5)").count() == 4
     assert out.where("not exact").count() == 0 and out.where("doc_id = 1").first()["ids"] == []
     assert pieces.segmentations(nothing).count() == 0
     again = pieces.segmentations(odd.where("doc_id = 7").repartition(3))
@@ -130,6 +131,32 @@ def test_warc(spark, tmp_path):
     assert warc.read_archive(spark.read.schema("bundle_id string, records long, bundle binary").parquet(f"file://{tmp_path}/e")).count() == 0
 
 
+def test_warc_of_long_payloads(spark, tmp_path):
+    """Payloads that are longer than a frame and than a bundle come back whole; every bundle opens with a warcinfo record."""
+    sizes = {1: warc.FRAME + 7, 2: warc.BUNDLE + 5, 3: 10, 4: warc.FRAME * 3, 5: 0}
+    pages = spark.createDataFrame([(i, "u", (f"{i}-" + "ab" * n)[:n]) for i, n in sizes.items()], "page_id long, url string, html string").coalesce(1)
+    warc.write_archive(pages, f"file://{tmp_path}/w", "2024-05-06T07:08:09Z")
+    stored = spark.read.parquet(f"file://{tmp_path}/w")
+    rows = {r["page_id"]: r for r in warc.read_archive(stored).collect()}
+    assert {i: r["payload_bytes"] for i, r in rows.items()} == sizes and all(bytes(r["payload"]).decode() == (f"{i}-" + "ab" * sizes[i])[: sizes[i]] for i, r in rows.items())
+    blobs = [bytes(r["bundle"]) for r in stored.collect()]
+    assert len(blobs) > 1 and stored.agg(F.sum("records")).first()[0] == 5
+    for blob in blobs:
+        records = [r for _, r in warc.BundleReader(blob)]
+        assert records[0].headers["warc-type"] == "warcinfo" and all(r.headers["warc-date"] == "2024-05-06T07:08:09Z" for r in records)
+
+
+def test_pii_overlaps_and_neighbours(spark):
+    """Candidates that overlap a base match are not added; one right after another still has its words before it."""
+    rows = [(i, f"staff badge code zx{i}1q and zx{i}7q end mail me{i}@host.example.org now") for i in range(9)]
+    out = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(s.count("email:") == 1 for s in out.values())
+    many = " ".join(f"a{i}@b{i}.org +49 30 12345{i:02d}" for i in range(50))
+    d = spark.createDataFrame([(1, many)], "doc_id long, text string")
+    red = pii.redact(d).first()["text"]
+    assert red.count("[EMAIL]") == 50 and red.count("[PHONE]") == 50 and "@" not in red and red.split()[:2] == ["[EMAIL]", "[PHONE]"]
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [1.0, 0.0], 1), (5, [1.0, 0.0], None), (6, None, 0), (7, [], 0), (8, [0.0, 0.0], 0), (9, [nan, 1.0], 0), (10, [inf, 1.0], 0), (11, [1.0, None], 0), (None, [1.0, 0.0], 0), (12, [1.0, 0.0], 0), (12, [1.0, 0.0], 0), (13, [1.0, 0.0, 0.0], 0), (14, [1.0], 0), (15, [-1.0], 0)]

@@ -34,3 +34,24 @@ def test_stages(spark, sf):
     assert sorted(r["doc_id"] for r in five.collect()) == sorted(r["doc_id"] for r in four.collect())
     whole = corpus_pipeline.run(spark, sf)
     assert sorted(whole.collect()) == sorted(five.collect())
+
+
+def test_run_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing columns, and the texts that the manifest names; then empty tables."""
+    from test_edges import ODD, docs
+
+    odd = docs(spark, [*ODD, (20, None), (21, "mail a@b.org " * 30), (21, "mail a@b.org " * 30)])
+    labels = spark.createDataFrame([(2, 1), (8, 0), (None, 1), (21, 0), (21, None)], "doc_id long, toxic int")
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a", f"file://{tmp_path}/run").collect()
+    texts = spark.read.parquet(f"file://{tmp_path}/run/pii")
+    assert texts.columns == odd.columns and not (tmp_path / "run" / "substring").exists()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r["doc_id"]) for r in texts.collect())
+    # document 5 is a copy of 4; repeated rows of one doc_id stay together, rows without one stay
+    assert {r["doc_id"] for r in out} == {1, 2, 3, 4, 6, 7, 8, 20, 21, None} and sum(r["doc_id"] is None for r in out) == 2
+    assert texts.where("text like '%@b.org%'").count() == 0 and texts.where("doc_id = 1").first()["text"] is None
+    assert len({(r["batch"], r["slot"]) for r in out}) == len(out)
+    for name, df in (("documents", odd), ("labels", labels)):
+        df.where("false").write.parquet(f"{tmp_path}/b/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
