@@ -36,11 +36,13 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data become their kind in brackets; n_chars, where there is a text, is counted anew."""
     ship(spark)
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document goes: (doc_id, n_tokens, bucket, bucket_len, batch, slot); its text stays in the stage before."""
     ship(spark)
     return packing.pack(docs)
 
@@ -57,14 +59,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared folder and read again, then its input goes."""
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Applies the stages to documents and returns the manifest.
+
+    Each result is written under `folder` (one of its own in the shared folder, without it) as `<stage>` and read again.
+    What remains there is the product: `<folder>/pii`, the texts, and `<folder>/packing`, the manifest, whose doc_id joins
+    them; the other stages' tables go once the next is written.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    top = folder or f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
         docs = spark.read.parquet(f"{top}/{name}")
-        if before:
+        if before and name != STAGES[-1][0]:
             drop(spark, f"{top}/{before}")
         before = name
     return docs
