@@ -33,19 +33,37 @@ DISCOUNT, EXCESS, SHARED = 4.0, 4.0, 0.75
 #: Bound in expectation, for each class, of the labelled sample that a quarter of is kept for the curve. Whole texts are used.
 SAMPLE = 4000
 #: Bytes of text for each shard of the counts, and counted at once.
-SHARD, COUNTED = 16 << 20, 3 << 20
+SHARD, COUNTED = 4 << 20, 3 << 20
 #: Labels that are joined by broadcast; more are joined by shuffle.
 MOST_LABELS = 1_000_000
 
 _PAIR = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _bigrams(w: Words) -> np.ndarray:
-    """Hash of (previous word, word) for each word; a text's first word follows 0."""
-    before = np.zeros(w.n, np.uint64)
-    if w.n:
-        before[1:] = np.where(w.row[1:] == w.row[:-1], w.hash[:-1], np.uint64(0))
-    return before
+def _ids(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(previous word, word) of each word, as 48 bits of their hashes; a text's first word follows 0."""
+    word, before = w.hash >> np.uint64(16), np.zeros(w.n, np.uint64)
+    before[1:] = np.where(w.row[1:] == w.row[:-1], word[:-1], np.uint64(0))
+    return before, word
+
+
+#: Bytes of a packed triple: previous word, word, and 23 bits of the word before them with the class.
+_TRIPLE = 15
+_BITS = np.uint64((1 << 23) - 1)
+
+
+def _squeeze(h: np.ndarray, w: np.ndarray, g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty((len(h), _TRIPLE), np.uint8)
+    out[:, :6], out[:, 6:12] = (x.view(np.uint8).reshape(-1, 8)[:, :6] for x in (h, w))
+    out[:, 12:] = ((g & _BITS) << np.uint64(1) | c).view(np.uint8).reshape(-1, 8)[:, :3]
+    return out
+
+
+def _unsqueeze(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(previous word, word, word before them with the class in the last bit)."""
+    out = np.zeros((3, len(b), 8), np.uint8)
+    out[0, :, :6], out[1, :, :6], out[2, :, :3] = b[:, :6], b[:, 6:12], b[:, 12:]
+    return tuple(x.view(np.uint64)[:, 0] for x in out)
 
 
 def one_label(labels: DataFrame) -> DataFrame:
@@ -124,39 +142,39 @@ def count(rows: DataFrame, ratio: np.ndarray, shards: int) -> DataFrame:
     shard's pairs say about their words goes to the words' own shards, so a frequent word is a sum of one part a shard.
     """
 
+    sent = pa.schema([("shard", pa.int32()), ("triples", pa.binary()), ("k", pa.binary()), ("v", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
             for i, _, x in words(b.column(0), lower=True, most=COUNTED, apart=PLAIN):
                 if not x.n:
                     continue
-                h, g = _bigrams(x), np.zeros(x.n, np.uint64)
+                (h, word), g = _ids(x), np.zeros(x.n, np.uint64)
                 g[1:] = np.where(x.row[1:] == x.row[:-1], h[:-1], np.uint64(0))
-                c = toxic[i + x.row]
-                key = _key(h, x.hash)
-                _, first = np.unique(_key(key, g + c), return_index=True)
-                first = first[np.lexsort((key[first], key[first] % np.uint64(shards)))]
-                start = np.searchsorted(key[first] % np.uint64(shards), np.arange(shards + 1, dtype=np.uint64))
-                some = [(j, first[start[j] : start[j + 1]]) for j in range(shards) if start[j + 1] > start[j]]
-                columns = (h, x.hash, (g >> np.uint64(32)).astype(np.uint32), c)
-                _, one = np.unique(_key(x.row.astype(np.uint64), x.hash), return_index=True)  # a word once a text
-                w, n = _sums(x.hash[one], np.column_stack([c[one] == k for k in (0, 1)]))
-                texts = _pack(2, w, n, shards)
-                none, no = [b""] * len(texts), [b""] * len(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([j for j, _ in some] + [r[1] for r in texts], pa.int32()), *(pa.array([v[o].tobytes() for _, o in some] + none, pa.binary()) for v in columns), *(pa.array(no + [r[f] for r in texts], pa.binary()) for f in (2, 3))], ["shard", "h", "w", "g", "c", "k", "v"],
-                )
+                c = toxic[i + x.row].astype(np.uint64)
+                key = _key(h, word)
+                _, first = np.unique(_key(key, (g & _BITS) << np.uint64(1) | c), return_index=True)
+                order, start = _dealt(key[first], shards)
+                first = first[order]
+                triples = _squeeze(h[first], word[first], g[first], c[first])
+                some = [(j, triples[a:z].tobytes()) for j, (a, z) in enumerate(zip(start, start[1:])) if z > a]
+                _, one = np.unique(_key(x.row.astype(np.uint64), word), return_index=True)  # a word once a text
+                texts = _pack(2, *_sums(word[one], np.column_stack([c[one] == k for k in (0, 1)])), shards)
+                rows = [(j, t, b"", b"") for j, t in some] + [(j, b"", k, v) for _, j, k, v in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), sent)], schema=sent)
 
     def merge(t: pa.Table) -> pa.Table:
-        h, w, g, c, k, v = (np.concatenate([_read(x, kind) for x in t[name]]) for name, kind in (("h", np.uint64), ("w", np.uint64), ("g", np.uint32), ("c", np.uint8), ("k", np.uint64), ("v", np.int32)))
+        triples, k, v = (np.concatenate([_read(x, kind) for x in t[name]]) for name, kind in (("triples", np.uint8), ("k", np.uint64), ("v", np.int32)))
         shard, rows = t["shard"][0].as_py(), []
         if len(k):
             k, v = _sums(k, v.reshape(-1, 2))
             rows.append((2, shard, k.tobytes(), v.astype(np.int32).tobytes()))
-        if len(h):
+        if len(triples):
+            h, w, g = _unsqueeze(triples.reshape(-1, _TRIPLE))
             key = _key(h, w)
-            _, first = np.unique(_key(key, (g.astype(np.uint64) << np.uint64(1)) + c), return_index=True)
-            h, w, c = h[first], w[first], c[first]
+            _, first = np.unique(_key(key, g), return_index=True)
+            h, w, c = h[first], w[first], g[first] & np.uint64(1)
             key, first, at = np.unique(key[first], return_index=True, return_inverse=True)
             n = np.column_stack([np.bincount(at[c == j], minlength=len(key)) for j in (0, 1)]).astype(np.int32)
             h, w = h[first], w[first]
@@ -166,7 +184,7 @@ def count(rows: DataFrame, ratio: np.ndarray, shards: int) -> DataFrame:
             rows += _pack(0, *_sums(np.concatenate([w, h]), np.concatenate([np.column_stack([kinds, none, needed]), np.column_stack([none, n, needed])])), shards)
         return _table(rows, _PACKED)
 
-    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "shard int, h binary, w binary, g binary, c binary, k binary, v binary")
+    counted = rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "shard int, triples binary, k binary, v binary")
     return counted.groupBy("shard").applyInArrow(merge, _DDL)
 
 
@@ -249,7 +267,7 @@ class Model:
         """(texts,): the difference of the length-normalised log-likelihoods, toxic less ordinary, of whole texts."""
         out = np.full(n, self.base)
         if w.n:
-            p = np.log(self.probabilities(_bigrams(w), w.hash))
+            p = np.log(self.probabilities(*_ids(w)))
             total = np.concatenate([[0.0], np.cumsum(p[:, 1] - p[:, 0])])
             num = np.diff(w.first)
             some = np.flatnonzero(num)
