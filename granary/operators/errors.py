@@ -42,24 +42,27 @@ def lookup_exact(patterns: DataFrame, api_elements: DataFrame, libraries: DataFr
 def match_messages(messages: DataFrame, patterns: DataFrame, most_patterns: int = 100_000) -> DataFrame:
     """(message_id, pattern_id, exact) for a stream or table of messages (message_id, message) against patterns.
 
-    Equal messages meet in an equi-join. Expressions cannot be joined by key; patterns with one are broadcast, after a
-    check that there are at most `most_patterns` of them, and each message is tried against them in place.
+    Equal messages meet in an equi-join. Expressions cannot be joined by key; they are broadcast, dealt by hash into blocks
+    of about `most_patterns`, and each message is tried against a block in place.
     """
     p = patterns.select(F.col("id").alias("pattern_id"), "message_pattern", "message_regex")
     equal = messages.join(p, F.col("message") == F.col("message_pattern")).select("message_id", "pattern_id", F.lit(True).alias("exact"))
-    rx = p.where("message_regex is not null").limit(most_patterns + 1)
-    if rx.count() > most_patterns:
-        raise ValueError(f"more than {most_patterns} expressions")
+    rx = p.where("message_regex is not null")
+    blocks = max(1, -(-rx.count() // most_patterns))
     full = F.regexp_like(F.col("message"), F.concat(F.lit("^(?:"), F.col("message_regex"), F.lit(")$")))
-    like = messages.join(F.broadcast(rx), full & ~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False))).select("message_id", "pattern_id", F.lit(False).alias("exact"))
-    return equal.unionByName(like)
+    out = equal
+    for i in range(blocks):
+        own = rx if blocks == 1 else rx.where(F.pmod(F.xxhash64("pattern_id", "message_regex"), F.lit(blocks)) == i)
+        like = messages.join(F.broadcast(own), full & ~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False)))
+        out = out.unionByName(like.select("message_id", "pattern_id", F.lit(False).alias("exact")))
+    return out
 
 
 def similarity_join(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
     """(left_id, right_id, similarity > least) of (id, text) tables by trigram sets, without a cross join.
 
     Prefix filter: sets at Jaccard similarity above t share one of the rarest n - ceil(t * n) + 1 trigrams of each. Trigrams
-    are ordered by how often they occur, the candidates meet on these few and are verified on the sets.
+    are ordered by how often they occur, the candidates meet on these few, if their sizes allow it, and are verified on the sets.
     """
     sets = [d.select("id", trigrams("text").alias("t")).where(F.size("t") > 0) for d in (left, right)]
     freq = sets[0].select(F.explode("t").alias("g")).unionByName(sets[1].select(F.explode("t").alias("g"))).groupBy("g").agg(F.count("*").alias("df"))
@@ -67,9 +70,9 @@ def similarity_join(left: DataFrame, right: DataFrame, least: float = 0.3) -> Da
     def prefix(s: DataFrame) -> DataFrame:
         e = s.select("id", F.size("t").alias("n"), F.explode("t").alias("g")).join(freq, "g")
         r = e.groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-        return r.select("id", F.explode(F.slice(F.col("o"), F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("x")).select("id", F.col("x.g").alias("g"))
+        return r.select("id", "n", F.explode(F.slice(F.col("o"), F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("x")).select("id", "n", F.col("x.g").alias("g"))
 
-    a, b = prefix(sets[0]).withColumnRenamed("id", "left_id"), prefix(sets[1]).withColumnRenamed("id", "right_id")
-    pairs = a.join(b, "g").select("left_id", "right_id").distinct()
+    a, b = prefix(sets[0]).withColumnsRenamed({"id": "left_id", "n": "ln"}), prefix(sets[1]).withColumnsRenamed({"id": "right_id", "n": "rn"})
+    pairs = a.join(b, "g").where(F.least("ln", "rn") > F.lit(least) * F.greatest("ln", "rn")).select("left_id", "right_id").distinct()
     both = pairs.join(sets[0].select(F.col("id").alias("left_id"), F.col("t").alias("lt")), "left_id").join(sets[1].select(F.col("id").alias("right_id"), F.col("t").alias("rt")), "right_id")
     return both.select("left_id", "right_id", trigram_similarity(F.col("lt"), F.col("rt")).alias("similarity")).where(F.col("similarity") > least)

@@ -66,14 +66,14 @@ def entity_context(nodes: DataFrame, edges: DataFrame, id: str, depth: int = 2,
     return out.orderBy("distance", "connected_id", "relationship").limit(limit)
 
 
-def proximity(edges: DataFrame, seeds: list[str], limit: int = 20, depth: int = 3) -> DataFrame:
-    """(id, score = 1 / (least distance + 1)) of nodes on trails of up to `depth` edges from any seed, undirected.
+def proximity(edges: DataFrame, seeds: list[str] | DataFrame, limit: int = 20, depth: int = 3) -> DataFrame:
+    """seeds: ids, or a table (seed) of any size. (id, score = 1 / (least distance + 1)) of nodes on trails of up to `depth` edges from any seed, undirected.
 
     Distances are found level by level; a level keeps a (seed, node) once. A seed itself counts if another seed or a closed
     trail reaches it: a loop, two parallel edges, or a triangle.
     """
     kind = edges.schema["src"].dataType.simpleString()
-    start = edges.sparkSession.createDataFrame([(s,) for s in seeds], f"seed {kind}").distinct()
+    start = (seeds.select("seed") if isinstance(seeds, DataFrame) else edges.sparkSession.createDataFrame([(s,) for s in seeds], f"seed {kind}")).distinct()
     both = _both_ways(edges)
     first = start.join(both, F.col("seed") == F.col("u")).select("seed", "v", "e")
     loops = first.where("v = seed").select("seed", "v", F.lit(1).alias("d"))
@@ -100,13 +100,13 @@ def proximity(edges: DataFrame, seeds: list[str], limit: int = 20, depth: int =
 def personalised_pagerank(edges: DataFrame, seeds: list[str], damping: float = 0.85, iterations: int = 20, limit: int | None = 20, cut=None) -> DataFrame:
     """(id, score): r = (1 - damping) * p + damping * sum of r(src) * w / W(src), for a fixed number of rounds.
 
-    The edge table with its shares stays partitioned by src over all rounds; ranks are small and move. `cut` ends the
-    lineage every few rounds (DataFrame.checkpoint, by default when the session has a checkpoint folder).
+    The shares are made once; ranks are small and move. `cut` keeps the shares and ends the lineage every few rounds
+    (DataFrame.checkpoint, by default when the session has a checkpoint folder).
     """
     spark = edges.sparkSession
     cut = cut or ((lambda df: df.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda df: df))
     total = Window.partitionBy("src")
-    share = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(total)).select("src", "dst", "share")
+    share = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).withColumn("share", F.col("w") / F.sum("w").over(total)).select("src", "dst", "share"))
     kind = edges.schema["src"].dataType.simpleString()
     p = spark.createDataFrame([(s, 1.0 / len(seeds)) for s in seeds], f"id {kind}, p double")
     rank = p.select("id", F.col("p").alias("r"))

@@ -26,10 +26,14 @@ def create_entries(existing: DataFrame, files: DataFrame, now: Column | None = N
 
 
 def update_status(existing: DataFrame, updates: DataFrame, now: Column | None = None) -> DataFrame:
-    """updates (source_file, status, chunk_count, error_message, content_hash); files that aren't known are left out."""
+    """updates (source_file, status, chunk_count, error_message, content_hash); files that aren't known are left out.
+
+    Of several updates of a file one counts, the greatest hash of a row.
+    """
     now = now if now is not None else F.current_timestamp()
     names = ("status", "chunk_count", "error_message", "content_hash")
-    u = updates.select("source_file", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
+    one = latest(updates.select("source_file", *names), ("source_file",), [F.xxhash64(F.to_json(F.struct("source_file", *names))).desc()])
+    u = one.select("source_file", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
     both = existing.join(u, "source_file", "left")
     hit = F.col("_hit").isNotNull()
     new = {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in names}

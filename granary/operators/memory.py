@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import as_double, cosine, literal
-from ..schemas import checked, conform
+from ..schemas import checked, conform, latest
 from .tables import stable_id
 
 #: What a snapshot keeps of a note.
@@ -14,20 +14,29 @@ SNAPSHOT = "array<struct<id:string,agent_id:string,memory_type:string,content:st
 _FIELDS = ("id", "agent_id", "memory_type", "content", "context", "keywords", "source_ref", "embedding")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One row for each id: the greatest hash of a row wins, whatever order the rows come in."""
+    return latest(rows, ("id",), [F.xxhash64(F.to_json(F.struct(*rows.columns))).desc()])
+
+
 def insert(notes: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:
-    """Adds notes; memory types are checked, defaults filled, ids derived from agent, content and time where missing."""
+    """Adds notes; memory types are checked, defaults filled, ids derived from agent, content and time where missing.
+
+    An id has one row: a new note of a known id takes the old one's place, and of several new ones with one id one is added.
+    """
     now = now if now is not None else F.current_timestamp()
     rows = conform(new, "memory_notes")
     rows = rows.withColumns({"agent_id": F.coalesce("agent_id", F.lit("default")), "created_at": F.coalesce("created_at", now), "usage_count": F.coalesce("usage_count", F.lit(0)), "is_active": F.coalesce("is_active", F.lit(True)), "keywords": F.coalesce("keywords", F.array().cast("array<string>"))})
     rows = rows.withColumn("id", F.coalesce("id", stable_id("agent_id", "memory_type", "content", F.col("created_at").cast("string"))))
-    return conform(notes, "memory_notes").unionByName(checked(rows, "memory_notes"))
+    rows = _once(checked(rows, "memory_notes"))
+    return conform(notes, "memory_notes").join(rows.select("id"), "id", "left_anti").select(*rows.columns).unionByName(rows)
 
 
 def update(notes: DataFrame, patches: DataFrame, now: Column | None = None) -> DataFrame:
-    """patches (id, content, keywords, embedding): the values that are not null replace those of the note."""
+    """patches (id, content, keywords, embedding): the values that are not null replace those of the note. One patch an id counts."""
     now = now if now is not None else F.current_timestamp()
     names = [c for c in ("content", "keywords", "embedding") if c in patches.columns]
-    p = patches.select("id", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
+    p = _once(patches.select("id", *names)).select("id", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
     both = notes.join(p, "id", "left")
     changed = F.coalesce(*(F.col(f"_{c}").isNotNull() for c in names), F.lit(False)) if len(names) == 1 else F.greatest(*(F.col(f"_{c}").isNotNull() for c in names))
     out = {c: F.coalesce(f"_{c}", c) for c in names}
@@ -39,7 +48,7 @@ def soft_delete(notes: DataFrame, gone: DataFrame, reason: str = "Deleted by use
     """gone (id[, reason]): those notes become inactive with a reason; nothing is removed."""
     now = now if now is not None else F.current_timestamp()
     own = F.col("reason") if "reason" in gone.columns else F.lit(None).cast("string")
-    g = gone.select("id", F.coalesce(own, F.lit(reason)).alias("_why"))
+    g = gone.groupBy("id").agg(F.max(F.coalesce(own, F.lit(reason))).alias("_why"))
     both = notes.join(g, "id", "left")
     hit = F.col("_why").isNotNull()
     return both.withColumns({"is_active": F.when(hit, False).otherwise(F.col("is_active")), "deleted_reason": F.when(hit, F.col("_why")).otherwise(F.col("deleted_reason")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}).select(*notes.columns)

@@ -51,11 +51,7 @@ def expand_anchors(nodes: DataFrame, edges: DataFrame, p: RetrievalPlan, limit:
     names = [a.rsplit(".", 1)[-1] for a in p.anchors]
     if not names:
         return nodes.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    # anchors are words of one question: a handful
-    seeds = [r["id"] for r in nodes.where(F.col("name").isin(names)).select("id").limit(1000).collect()]
-    if not seeds:
-        return nodes.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    return graph.proximity(edges, seeds, limit)
+    return graph.proximity(edges, nodes.where(F.col("name").isin(names)).select(F.col("id").alias("seed")), limit)
 
 
 def review(raw: DataFrame, scorer=None) -> DataFrame:
@@ -80,11 +76,12 @@ def extractive(query: str, context: str) -> str:
     return max(sentences, key=lambda s: (len(q & set(re.findall(r"[a-z0-9]+", s.lower()))), -len(s))).strip() if context else ""
 
 
-def answer(corpus: DataFrame, query: str, generate: Callable[[str, str], str] = extractive, **options) -> dict:
-    """{answer, plan, verified_evidence_count}."""
+def answer(corpus: DataFrame, query: str, generate: Callable[[str, str], str] = extractive, nodes: DataFrame | None = None, edges: DataFrame | None = None, **options) -> dict:
+    """{answer, plan, verified_evidence_count}; with a graph also `related`, the ids near the question's anchors, nearest first."""
     p = plan(query)
+    more = {} if nodes is None or edges is None else {"related": [r["id"] for r in expand_anchors(nodes, edges, p).collect()]}
     evidence = review(act(corpus, p, **options)).cache()
     try:
-        return {"answer": generate(query, evidence_text(evidence)), "plan": p, "verified_evidence_count": evidence.count()}
+        return {"answer": generate(query, evidence_text(evidence)), "plan": p, "verified_evidence_count": evidence.count()} | more
     finally:
         evidence.unpersist()

@@ -57,7 +57,7 @@ class MemoryTools:
         new = spark.createDataFrame([(agent_id, kind, content, context, keywords or [], self.embedder.embed(content))], "agent_id string, memory_type string, content string, context string, keywords array<string>, embedding array<double>").withColumn("created_at", now)
         rows = memory.insert(spark.createDataFrame([], self.catalog.read("memory_notes").schema), new, now)
         made = rows.first()["id"]
-        self.catalog.write("memory_notes", self.catalog.read("memory_notes").unionByName(rows))
+        self.catalog.merge("memory_notes", rows, lambda old, new: old.unionByName(new))
         return f"Memory created with ID: {made}"
 
     def remember(self, content: str, context: str = "", tags: str = "") -> str:
@@ -81,7 +81,8 @@ class MemoryTools:
         if notes.where(F.col("id") == memory_id).isEmpty():
             return f"Memory {memory_id} not found."
         p = self.catalog.spark.createDataFrame([(memory_id, content, keywords, self.embedder.embed(content) if content else None)], "id string, content string, keywords array<string>, embedding array<double>")
-        self.catalog.write("memory_notes", memory.update(notes, p, self._now()))
+        now = self._now()
+        self.catalog.merge("memory_notes", p, lambda old, new: memory.update(old, new, now))
         return f"Memory {memory_id} updated."
 
     def memory_delete(self, memory_id: str, reason: str = "Deleted by user") -> str:
@@ -90,14 +91,14 @@ class MemoryTools:
         notes = self.catalog.read("memory_notes")
         if notes.where(F.col("id") == memory_id).isEmpty():
             return f"Memory {memory_id} not found."
-        self.catalog.write("memory_notes", memory.soft_delete(notes, self.catalog.spark.createDataFrame([(memory_id,)], "id string"), reason, self._now()))
+        now = self._now()
+        self.catalog.merge("memory_notes", self.catalog.spark.createDataFrame([(memory_id,)], "id string"), lambda old, gone: memory.soft_delete(old, gone, reason, now))
         return f"Memory {memory_id} deleted."
 
     def memory_checkpoint(self, name: str, reason: str, agent_id: str = "default") -> str:
-        old = self.catalog.read("memory_checkpoints")
-        new = memory.checkpoint(old, self.catalog.read("memory_notes"), name, agent_id, reason, self._now())
-        made = new.where((F.col("checkpoint_name") == name) & (F.col("created_by") == agent_id)).orderBy(F.desc("created_at")).first()["id"]
-        self.catalog.write("memory_checkpoints", new)
+        notes, now = self.catalog.read("memory_notes"), self._now()
+        made = memory.checkpoint(self.catalog.read("memory_checkpoints").limit(0), notes, name, agent_id, reason, now).first()["id"]
+        self.catalog.update("memory_checkpoints", lambda old: memory.checkpoint(old, notes, name, agent_id, reason, now))
         return f"Checkpoint '{name}' created (ID: {made})"
 
     create_checkpoint = memory_checkpoint
@@ -109,8 +110,8 @@ class MemoryTools:
         row = cps.where(F.col("id") == checkpoint_id).select("checkpoint_name").first()
         if row is None:
             return f"Checkpoint {checkpoint_id} not found."
-        notes = memory.rollback(self.catalog.read("memory_notes"), memory.snapshot_rows(cps, checkpoint_id), checkpoint_id, row["checkpoint_name"], agent_id, self._now())
-        self.catalog.write("memory_notes", notes)
+        now = self._now()
+        self.catalog.update("memory_notes", lambda old: memory.rollback(old, memory.snapshot_rows(cps, checkpoint_id), checkpoint_id, row["checkpoint_name"], agent_id, now))
         return f"Successfully rolled back to checkpoint {checkpoint_id}"
 
     def memory_history(self, agent_id: str = "default", limit: int = 10) -> str:

@@ -154,16 +154,18 @@ def relations(indexed: DataFrame) -> DataFrame:
 
 
 def read_graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(nodes, links) of a graph document {nodes: [...], links: [...]}."""
+    """(nodes, links) of a folder by write_graph_json, or of a graph document {nodes: [...], links: [...]}."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/nodes")
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return tuple(spark.read.json(f"{path.rstrip('/')}/{part}") for part in ("nodes", "links"))
     doc = spark.read.option("multiLine", True).json(path)
     return doc.select(F.inline("nodes")), doc.select(F.inline("links"))
 
 
 def write_graph_json(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """One JSON document for tools that want one. A large graph belongs into Parquet tables instead."""
-    n = nodes.agg(F.sort_array(F.collect_list(F.struct(*nodes.columns))).alias("nodes"))
-    e = edges.agg(F.collect_list(F.struct(*edges.columns)).alias("links"))
-    n.crossJoin(e).coalesce(1).write.mode("overwrite").json(path)
+    """JSON lines under `<path>/nodes` and `<path>/links`, written in parallel: a graph of any size."""
+    for part, df in (("nodes", nodes), ("links", edges)):
+        df.write.mode("overwrite").json(f"{path.rstrip('/')}/{part}")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 16, **options: str) -> DataFrame:

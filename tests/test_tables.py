@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -151,11 +153,13 @@ def test_ingest_tools_and_stream(spark, catalog, tmp_path):
     assert ingest.ingest_directory(catalog, str(docs)) == {"total": 0, "successful": 0, "failed": 0}
     assert catalog.read("ingestion_manifest").where("chunk_count = 0").count() == 1
     (docs / "a.md").write_text("# Guide\n\n" + "The cache is cold now. " * 20)
-    assert ingest.ingest_file(catalog, str(docs / "a.md"))["status"] == "completed"
+    one = ingest.ingest_file(catalog, str(docs / "a.md"))
+    assert one["status"] == "completed" and one["chunk_count"] == 1 and one["elapsed_ms"] > 0
+    assert one["content_hash"] == hashlib.sha256((docs / "a.md").read_bytes()).hexdigest()
     assert ingest.ingest_file(catalog, str(docs / "a.md"))["status"] == "skipped"
     assert catalog.read("semantic_chunks").count() == 1
     s = SearchTools(catalog)
-    assert "1. [" in s.search_codebase("cache cold", advanced=False) and s.search_codebase("zzz", advanced=False).startswith("Search results") or True
+    assert "1. [" in s.search_codebase("cache cold", advanced=False)
     assert s.search_codebase("cache cold").startswith("Answer: ") and "Total Chunks: 1" in s.get_file_context(str(docs / "a.md"))
     assert s.get_file_context("nope") == "No context found for nope"
     m = MemoryTools(catalog)
@@ -189,6 +193,65 @@ def test_code_index_into_catalog(spark, catalog, tmp_path):
     assert ingest.index_code(catalog, str(src), "p")["entities"] == 2 and catalog.read("graph_nodes").count() == 2
 
 
+def test_repeated_patches_and_ids(spark):
+    """An id has one row, however often a patch, a deletion or an insertion names it."""
+    ddl = "id string, agent_id string, memory_type string, content string"
+    notes = memory.insert(empty(spark, "memory_notes"), rows(spark, [("1", "x", "episodic", "one"), ("2", "x", "semantic", "two"), ("2", "x", "semantic", "also two")], ddl))
+    assert notes.count() == 2
+    again = memory.insert(notes, rows(spark, [("1", "x", "episodic", "new one")], ddl))
+    assert sorted(r["id"] for r in again.collect()) == ["1", "2"] and again.where("id = '1'").first()["content"] == "new one"
+    patched = memory.update(notes, rows(spark, [("1", "a"), ("1", "b")], "id string, content string"))
+    assert patched.count() == 2 and patched.where("id = '1'").first()["content"] in ("a", "b")
+    gone = memory.soft_delete(notes, rows(spark, [("1",), ("1",)], "id string"))
+    assert gone.count() == 2 and gone.where("not is_active").count() == 1
+    m = manifest.upsert_manifest(empty(spark, "ingestion_manifest"), rows(spark, [("a", "pending")], "source_file string, status string"))
+    u = rows(spark, [("a", "failed", 0, "x", None), ("a", "completed", 1, None, "h")], "source_file string, status string, chunk_count int, error_message string, content_hash string")
+    assert manifest.update_status(m, u).count() == 1
+    assert tables.patch(notes, rows(spark, [("1", "p"), ("1", "q")], "id string, content string"), "id", ("content",)).count() == 2
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_merge_writes_what_changed(spark, tmp_path):
+    """A note added to a large table costs what it costs on a small one; the others are taken over as they are."""
+    cost = []
+    for n in (100, 20_000):
+        c = tables.Catalog(spark, f"file://{tmp_path}/{n}", buckets=256)
+        c.write("memory_notes", spark.range(n).selectExpr("concat('n', id) as id", "'x' as agent_id", "'episodic' as memory_type", "repeat(cast(id as string), 20) as content"))
+        before = folder_bytes(tmp_path / str(n))
+        c.merge("memory_notes", rows(spark, [("new", "x", "episodic", "hello")], "id string, agent_id string, memory_type string, content string"), lambda old, new: memory.insert(old, new))
+        cost.append(folder_bytes(tmp_path / str(n)) - before)
+        assert c.read("memory_notes").count() == n + 1 and c.vacuum("memory_notes") >= 0 and c.read("memory_notes").where("id = 'new'").count() == 1
+    assert cost[1] < 0.05 * folder_bytes(tmp_path / "20000") and cost[1] < 4 * cost[0]
+
+
+def test_writers_at_once(spark, tmp_path):
+    """Of writers that start from one version none loses its rows."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    c = tables.Catalog(spark, f"file://{tmp_path}/c", buckets=2)
+    c.bootstrap()
+    add = lambda i: c.merge("memory_notes", rows(spark, [(f"n{i}", "x", "episodic", "t")], "id string, agent_id string, memory_type string, content string"), lambda old, new: memory.insert(old, new))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(add, range(6)))
+    assert sorted(r["id"] for r in c.read("memory_notes").collect()) == [f"n{i}" for i in range(6)]
+    now = c.version("memory_notes")
+    with pytest.raises(tables.Conflict):
+        c._commit("memory_notes", now - 1, {"buckets": 2, "parts": {}})
+
+
+def test_anchors_reach_the_graph(spark):
+    nodes = rows(spark, [("a.py:load_graph", "load_graph"), ("a.py:g", "g"), ("b.py:h", "h")], "id string, name string")
+    edges = rows(spark, [("a.py:load_graph", "a.py:g", "CALLS")], "src string, dst string, relation string")
+    got = retrieval.expand_anchors(nodes, edges, retrieval.plan("what does load_graph call")).collect()
+    assert [(r["id"], r["score"]) for r in got] == [("a.py:g", 0.5)]
+    corpus = rows(spark, [("1", "load_graph calls g", "a.py")], "id string, content string, source_file string")
+    assert retrieval.answer(corpus, "what load_graph calls", nodes=nodes, edges=edges)["related"] == ["a.py:g"]
+    assert retrieval.expand_anchors(nodes, edges, retrieval.plan("no anchor here")).count() == 0
+
+
 def test_command_line_and_graph_files(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
