@@ -184,3 +184,18 @@ def trigram_similarity(a: Column, b: Column) -> Column:
 def words(text: Column | str) -> Column:
     """Lower-cased runs of ASCII letters and digits. Array functions stay in generated code, lambdas are interpreted."""
     return F.array_remove(F.split(F.lower(_c(text)), "[^a-z0-9]+"), "")
+
+
+def json_contains(text: Column | str, wanted: dict) -> Column:
+    """Whether a JSON object has all members of `wanted`, whose values are numbers, texts, booleans or such objects; broken JSON has none."""
+    value = F.try_parse_json(_c(text))
+
+    def has(at: str, part: dict) -> Column:
+        out = F.lit(True)
+        for k, v in part.items():
+            path = f"{at}['{k}']"
+            kind = "boolean" if isinstance(v, bool) else "double" if isinstance(v, (int, float)) else "string"
+            out = out & (has(path, v) if isinstance(v, dict) else F.coalesce(F.try_variant_get(value, path, kind) == F.lit(v), F.lit(False)))
+        return out
+
+    return has("$", wanted)

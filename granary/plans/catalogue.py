@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import errors, graph, manifest, memory, search, tables
+from ..operators import errors, graph, knowledge, manifest, memory, search, tables
 from ..schemas import MEMORY_TYPES, conform, empty
 from ..session import prepare
 from ..sources import files as src
 from ..sources.chunks import ChunkConfig
+from ..streaming.ingest import event_counts
 from . import ingest, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,31 +70,6 @@ def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "label").join(hits, "id").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("vector_batch_topk", f"""
-WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS sim FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 10) b),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s)
-SELECT qid, id, round(sim, 6) AS score, rank FROM r WHERE rank <= 5""")
-def vector_batch_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d)
-    q = rows.where("id < 10").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
-    return search.batch_topk(rows, q, 5).withColumn("score", F.round("score", 6))
-
-
-@query("vector_label_knn", f"""
-WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, {_COS} AS sim FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id < 50) b WHERE a.vec_id >= 50),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS k FROM s),
-v AS (SELECT qid, label, count(*) AS n FROM r WHERE k <= 5 GROUP BY qid, label),
-w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS k FROM v)
-SELECT qid, label AS vote, n FROM w WHERE k = 1""")
-def vector_label_knn(spark: SparkSession, d: str) -> DataFrame:
-    """Majority label of the 5 nearest: the first 50 vectors are asked of all others."""
-    rows = _vectors(spark, d)
-    q = rows.where("id < 50").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
-    near = search.batch_topk(rows.where("id >= 50"), q, 5).join(rows.select("id", "label"), "id")
-    votes = near.groupBy("qid", "label").agg(F.count("*").alias("n"))
-    return votes.groupBy("qid").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("vote"), F.max("n").alias("n"))
-
-
 _ASKED = "(SELECT * FROM embeddings WHERE vec_id % 20 = 0)"
 
 
@@ -101,23 +77,23 @@ def _twentieth(rows: DataFrame) -> DataFrame:
     return rows.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("embedding").alias("vector"))
 
 
-@query("vector_batch_topk_whole", f"""
+@query("vector_batch_topk", f"""
 WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS sim FROM embeddings a, {_ASKED} b),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s)
 SELECT qid, id, round(sim, 6) AS score, rank FROM r WHERE rank <= 5""")
-def vector_batch_topk_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As vector_batch_topk, asked for every id divisible by 20, so that the work grows with the table."""
+def vector_batch_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of every id divisible by 20, so that the work grows with the table."""
     rows = _vectors(spark, d)
     return search.batch_topk(rows, _twentieth(rows), 5).withColumn("score", F.round("score", 6))
 
 
-@query("vector_label_knn_whole", f"""
+@query("vector_label_knn", f"""
 WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, {_COS} AS sim FROM embeddings a, {_ASKED} b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS k FROM s),
 v AS (SELECT qid, label, count(*) AS n FROM r WHERE k <= 5 GROUP BY qid, label),
 w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, label) AS k FROM v)
 SELECT qid, label AS vote, n FROM w WHERE k = 1""")
-def vector_label_knn_whole(spark: SparkSession, d: str) -> DataFrame:
+def vector_label_knn(spark: SparkSession, d: str) -> DataFrame:
     """Majority label of the 5 nearest other vectors, for every id divisible by 20."""
     rows = _vectors(spark, d)
     near = search.ranked(search.batch_topk(rows, _twentieth(rows), 6).where("id <> qid").drop("rank"), 5).join(rows.select("id", "label"), "id")
@@ -199,22 +175,12 @@ for _a in (0.0, 0.7, 1.0):
 
 
 @query("hybrid_rrf", f"""
-WITH d AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_DENSE}) QUALIFY r <= 50),
-s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_THE}) QUALIFY r <= 50),
-u AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY id)
-SELECT id, round(score, 9) AS score FROM u ORDER BY u.score DESC, id LIMIT 20""")
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    top = [x.orderBy(F.desc("score"), "id").limit(50).withColumn("qid", F.lit(0)) for x in _lists(spark, d)]
-    return search.reciprocal_rank_fusion([search.ranked(x) for x in top]).select("id", F.round("score", 9).alias("score"))
-
-
-@query("hybrid_rrf_whole", f"""
 WITH d AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_DENSE})),
 s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_THE})),
 u AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY id)
 SELECT id, round(score, 9) AS score FROM u ORDER BY u.score DESC, id LIMIT 20""")
-def hybrid_rrf_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As hybrid_rrf, with both lists ranked to their ends before the fusion."""
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    """Both lists ranked to their ends before the fusion."""
     return search.reciprocal_rank_fusion([search.ranked_whole(x) for x in _lists(spark, d)]).select("id", F.round("score", 9).alias("score"))
 
 
@@ -661,10 +627,20 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return per.join(docs.select("source_file", "title"), "source_file")
 
 
-@query("html_title", r"SELECT page_id AS id, regexp_extract(html, '<title>(.*?)</title>', 1) <> '' AS titled FROM pages")
+@query("html_title", r"""SELECT page_id AS id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')) AS title FROM pages""")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     docs = src.parse(_pages(spark, d))
-    return docs.select(F.regexp_extract("source_file", r"(\d+)", 1).cast("long").alias("id"), (F.coalesce("title", F.lit("")) != "").alias("titled"))
+    return docs.select(F.regexp_extract("source_file", r"(\d+)", 1).cast("long").alias("id"), F.coalesce("title", F.lit("")).alias("title"))
+
+
+@query("html_cleaning", r"""
+SELECT page_id AS id, 'html' AS kind, true AS unwanted_gone,
+ len(regexp_extract_all(html, '<h1>')) AS h1 FROM pages""")
+def html_cleaning(spark: SparkSession, d: str) -> DataFrame:
+    """The main part of every page: its headings are kept, nothing of scripts, styles, navigation lists and advertisements is."""
+    docs = src.parse(_pages(spark, d))
+    gone = ~F.col("content").contains("track(") & ~F.col("content").contains("p{margin") & ~F.col("content").rlike(r"(?m)^\s*\* \[[^\]]*\]\(/")
+    return docs.select(F.regexp_extract("source_file", r"(\d+)", 1).cast("long").alias("id"), F.col("document_type").alias("kind"), gone.alias("unwanted_gone"), F.size(F.regexp_extract_all("content", F.lit(r"(?m)^# "), F.lit(0))).cast("long").alias("h1"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -707,3 +683,229 @@ def ingest_manifest(spark: SparkSession, d: str) -> DataFrame:
     return found.entries.groupBy("status", F.regexp_extract("source_file", "^([a-z]+)/", 1).alias("kind")).agg(F.count("*").alias("n"))
 
 
+# --- stored knowledge -----------------------------------------------------------------------------------------------
+
+
+@query("library_elements", """
+WITH l AS (SELECT 'pypi:' || p_brand || ':2' AS id, count(DISTINCT p_type) AS elements FROM part GROUP BY p_brand)
+SELECT id, 'pypi' AS ecosystem, 'MIT' AS license, elements, elements AS links FROM l""")
+def library_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Libraries of brands and elements of types, merged twice: the second time replaces, and adds no edge."""
+    part = _t(spark, d, "part")
+    lib = part.select(F.lit("pypi").alias("ecosystem"), F.col("p_brand").alias("name"), F.lit("2").alias("version")).distinct()
+    libraries = knowledge.add_libraries(empty(spark, "libraries"), lib)
+    libraries = knowledge.add_libraries(libraries, lib.withColumn("license", F.lit("MIT")))
+    new = part.select(F.concat_ws("/", "p_brand", "p_type").alias("id"), F.concat(F.lit("pypi:"), "p_brand", F.lit(":2")).alias("library_id"), F.col("p_type").alias("name")).distinct()
+    new = new.unionByName(spark.createDataFrame([("lost", "no such library", "f")], new.schema))
+    elements, edges = knowledge.add_api_elements(empty(spark, "api_elements"), empty(spark, "graph_edges"), new, libraries)
+    elements, edges = knowledge.add_api_elements(elements, edges, new, libraries)
+    per = elements.groupBy("library_id").agg(F.count("*").alias("elements")).join(edges.where("relation = 'CONTAINS'").groupBy(F.col("src").alias("library_id")).agg(F.count("*").alias("links")), "library_id")
+    return libraries.join(per, F.col("library_id") == F.col("id")).select("id", "ecosystem", "license", "elements", "links")
+
+
+@query("error_pattern_links", "SELECT p_brand || '/' || p_type AS element, count(*) AS patterns FROM part WHERE p_size > 10 GROUP BY 1 UNION ALL SELECT 'none', count(*) FROM part WHERE p_size <= 10")
+def error_pattern_links(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns of parts raise from the element that they name, if it exists; small parts name one that doesn't."""
+    part = _t(spark, d, "part")
+    element = F.concat_ws("/", "p_brand", "p_type")
+    elements = part.select(element.alias("id"), F.col("p_type").alias("name")).distinct()
+    new = part.select(F.concat(F.lit("e"), F.col("p_partkey")).alias("id"), F.when(F.col("p_size") > 10, element).otherwise("gone").alias("api_element_id"), F.col("p_name").alias("message_pattern"))
+    patterns, edges = knowledge.add_error_patterns(empty(spark, "error_patterns"), empty(spark, "graph_edges"), new, elements)
+    both = patterns.join(edges.where("relation = 'RAISES'").select(F.col("dst").alias("id"), "src"), "id", "left")
+    return both.groupBy(F.coalesce("src", F.lit("none")).alias("element")).agg(F.count("*").alias("patterns"))
+
+
+@query("knowledge_get", "SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey = 7")
+def knowledge_get(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.get(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), 7)
+
+
+@query("file_chunks", "SELECT CAST(doc_id AS INT) AS chunk_index, substr(sha256(text), 1, 16) AS content_hash FROM documents WHERE source = 'src2'")
+def file_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return knowledge.by_file(_chunks(spark, d), "src2").select("chunk_index", "content_hash")
+
+
+@query("chunk_replace", """
+SELECT source AS source_file, count(*) AS n, count(*) FILTER (source IN ('src0', 'src1')) AS renewed FROM documents
+WHERE source NOT IN ('src0', 'src1') OR doc_id % 3 = 0 GROUP BY source""")
+def chunk_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Two files shrink to a third of their chunks; the other files stay as they were."""
+    old = tables.upsert_chunks(empty(spark, "semantic_chunks"), _chunks(spark, d))
+    new = _chunks(spark, d).where("source_file in ('src0', 'src1') and chunk_index % 3 = 0").withColumn("header_path", F.lit("renewed"))
+    out = tables.replace_file_chunks(old, new)
+    return out.groupBy("source_file").agg(F.count("*").alias("n"), F.count_if(F.col("header_path") == "renewed").alias("renewed"))
+
+
+@query("manifest_tallies", f"SELECT count(*) AS total, count(*) FILTER (s = 'completed') AS successful, count(*) FILTER (s = 'failed') AS failed FROM (SELECT {_STATUS_SQL} AS s FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)")
+def manifest_tallies(spark: SparkSession, d: str) -> DataFrame:
+    return manifest.tallies(manifest.upsert_manifest(empty(spark, "ingestion_manifest"), _log(spark, d), order=[F.desc("event_id")]))
+
+
+@query("manifest_entry", f"SELECT 'f' || user_id AS source_file, {_STATUS_SQL} AS status FROM events WHERE user_id = 3 QUALIFY row_number() OVER (ORDER BY event_id DESC) = 1")
+def manifest_entry(spark: SparkSession, d: str) -> DataFrame:
+    m = manifest.upsert_manifest(empty(spark, "ingestion_manifest"), _log(spark, d), order=[F.desc("event_id")])
+    return manifest.entry(m, "f3").select("source_file", "status")
+
+
+@query("memory_nearest", f"SELECT vec_id || '' AS id, round(sim, 6) AS similarity FROM ({_SIM0}) WHERE label = 3 AND vec_id % 7 <> 0 AND sim >= -0.1 ORDER BY sim DESC, id LIMIT 10")
+def memory_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The agent's active notes nearest to a vector; every seventh note is deleted."""
+    new = _vectors(spark, d).select(F.col("id").cast("string").alias("id"), F.col("label").cast("string").alias("agent_id"), F.lit("semantic").alias("memory_type"), F.lit("note").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"))
+    notes = memory.insert(empty(spark, "memory_notes"), new)
+    notes = memory.soft_delete(notes, new.where("cast(id as long) % 7 = 0").select("id"))
+    return memory.search(notes, _probe(spark, d), "3", 10, -0.1).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("memory_touch", "SELECT role = 'user' AS used, count(*) AS n, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS BIGINT) AS uses FROM conversations GROUP BY 1")
+def memory_touch(spark: SparkSession, d: str) -> DataFrame:
+    notes = _notes(spark, d)
+    out = memory.touch(notes, notes.where("memory_type = 'episodic'").select("id"))
+    return out.groupBy(F.col("last_accessed").isNotNull().alias("used")).agg(F.count("*").alias("n"), F.sum("usage_count").alias("uses"))
+
+
+@query("memory_restored_ids", r"""
+WITH h AS (SELECT sha256('cp-1' || chr(1) || conv_id || ':' || turn) AS h, conv_id || ':' || turn AS old FROM conversations WHERE conv_id = 1)
+SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id, 'cp-1' AS restored_from FROM h""")
+def memory_restored_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of restored notes follow from checkpoint and old id, through the checkpoint's JSON and back."""
+    notes = _notes(spark, d)
+    cps = memory.checkpoint(empty(spark, "memory_checkpoints"), notes, "start", "1", "test", F.lit("2024-02-01 00:00:00").cast("timestamp"))
+    kept = memory.snapshot_rows(cps.withColumn("id", F.lit("cp-1")), "cp-1")
+    return memory.restored(kept, "cp-1").select("id", "restored_from")
+
+
+@query("search_whole", f"""
+WITH c AS (SELECT d.doc_id, d.source, d.lang, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id),
+s AS (SELECT id, score / max(score) OVER () AS score FROM ({_THE})),
+v AS (SELECT a.doc_id AS id, {_COS} AS score FROM c a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b WHERE a.embedding IS NOT NULL),
+j AS (SELECT coalesce(v.id, s.id) AS id, coalesce(v.score, 0.0) AS ds, coalesce(s.score, 0.0) AS ss FROM (SELECT * FROM v WHERE score >= 0) v FULL JOIN s ON v.id = s.id)
+SELECT id, source AS source_file, round(0.7 * ds + 0.3 * ss, 6) AS combined_score FROM j JOIN documents ON doc_id = id ORDER BY 0.7 * ds + 0.3 * ss DESC, id LIMIT 20""")
+def search_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The search entry over chunks that carry their vectors."""
+    corpus = _corpus(spark, d).join(_vectors(spark, d).select("id", "embedding"), "id", "left")
+    return search.search(corpus, "the and", _probe(spark, d), 20).select("id", "source_file", F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("search_reranked", f"""
+WITH s AS (SELECT id, score / max(score) OVER () AS score FROM ({_THE})), c AS (SELECT id FROM s ORDER BY score DESC, id LIMIT 50),
+r AS (SELECT id, len(list_intersect(list_distinct({_W}), ['and', 'the'])) / 2.0::DOUBLE AS s FROM c JOIN documents ON doc_id = id)
+SELECT id, round(s, 6) AS combined_score FROM r ORDER BY s DESC, id LIMIT 5""")
+def search_reranked(spark: SparkSession, d: str) -> DataFrame:
+    out = search.search(_corpus(spark, d), "the and", None, 5, scorer=search.overlap_score, top_k_rerank=50)
+    return out.select("id", F.round("combined_score", 6).alias("combined_score"))
+
+
+@query("anchor_expansion", _PROX.replace("(SELECT unnest(['n:3', 'n:7']) AS seed)", "(SELECT 'n:' || n_nationkey AS seed FROM nation WHERE n_name = (SELECT n_name FROM nation WHERE n_nationkey = 3) UNION ALL SELECT 'c:' || c_custkey FROM customer WHERE c_name = (SELECT n_name FROM nation WHERE n_nationkey = 3))"))
+def anchor_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes near those that carry the name of a question's anchor."""
+    nodes, edges = _graph(spark, d)
+    name = _t(spark, d, "nation").where("n_nationkey = 3").first()["n_name"]
+    return retrieval.expand_anchors(nodes, edges, retrieval.RetrievalPlan("", anchors=[f"world.{name}"])).withColumn("score", F.round("score", 9))
+
+
+@query("graph_resolved", """
+SELECT 'src/n.py:' || n_name AS src, 'src/r.py:' || r_name AS dst, true AS resolved FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'src/n.py:' || n_name, 'print', false FROM nation""")
+def graph_resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Nations call regions by a dotted name and a builtin that is no node."""
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    entity = lambda df, file, name: df.select(F.concat(F.lit(f"src/{file}:"), name).alias("id"), F.lit("function").alias("entity_type"), F.col(name).alias("name"), F.lit(f"src/{file}").alias("file_path"), *(F.lit(None).cast(k).alias(n) for n, k in (("parent_class", "string"), ("start_line", "int"), ("end_line", "int"), ("language", "string"), ("content_hash", "string"), ("docstring", "string"), ("signature", "string"), ("modifiers", "array<string>"))))
+    calls = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("src/n.py:"), "n_name").alias("source"), F.concat(F.lit("world."), "r_name").alias("target"), F.lit("CALLS").alias("relation"))
+    calls = calls.unionByName(calls.withColumn("target", F.lit("print")))
+    nodes, edges = graph.graph_from_entities(entity(nation, "n.py", "n_name").unionByName(entity(region, "r.py", "r_name")), calls)
+    found, rest = graph.resolve_targets(edges, nodes)
+    return found.select("src", "dst", F.lit(True).alias("resolved")).unionByName(rest.select("src", "dst", F.lit(False).alias("resolved")))
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+
+@query("code_entities", """
+SELECT 'f' || p_partkey || '.py:C' || p_size AS id, 'class' AS entity_type, 1 AS start_line FROM part
+UNION ALL SELECT 'f' || p_partkey || '.py:C' || p_size || '.run', 'method', 2 FROM part
+UNION ALL SELECT 'f' || p_partkey || '.py:top', 'function', 4 FROM part""")
+def code_entities(spark: SparkSession, d: str) -> DataFrame:
+    return src.entities(_code(spark, d)).select("id", "entity_type", "start_line")
+
+
+@query("code_relations", """
+SELECT 'f' || p_partkey || '.py:C' || p_size || '.run' AS source, 'helper' AS target, 'CALLS' AS relation FROM part
+UNION ALL SELECT 'f' || p_partkey || '.py:C' || p_size, 'Base', 'INHERITS' FROM part
+UNION ALL SELECT 'f' || p_partkey || '.py:top', 'C' || p_size, 'CALLS' FROM part""")
+def code_relations(spark: SparkSession, d: str) -> DataFrame:
+    return src.relations(_code(spark, d)).select("source", "target", "relation")
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("class C"), size, F.lit("(Base):\n    def run(self):\n        return helper(self)\ndef top():\n    return C"), size, F.lit("()\n"))
+    return src.index_code(_t(spark, d, "part").select(F.concat(F.lit("f"), "p_partkey", F.lit(".py")).alias("file_path"), text.alias("text")))
+
+
+@query("document_types", f"""
+SELECT doc_id AS id, CASE regexp_extract({_PATH_SQL}, '(\\.[^.]+)$', 1) WHEN '.md' THEN 'markdown' WHEN '.txt' THEN 'text' ELSE 'text' END AS kind FROM documents""")
+def document_types(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("id", src.document_type("path", F.lit("plain")).alias("kind"))
+
+
+@query("rst_and_front_matter", "SELECT doc_id AS id, lang AS title, source AS kept, 1::BIGINT AS n FROM documents UNION ALL SELECT -1 - doc_id, lang || ' guide', '', 2 FROM documents")
+def rst_and_front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown with front matter and RST with underlined headings: title, metadata, number of sections."""
+    docs = _t(spark, d, "documents")
+    name = lambda ext: F.concat(F.lit("x/"), "doc_id", F.lit(ext))
+    md = docs.select(name(".md").alias("source_file"), F.concat(F.lit("---\ntitle: "), "lang", F.lit("\nkept: "), "source", F.lit("\n---\n# head\n\nbody\n")).alias("text"))
+    rst = docs.select(name(".rst").alias("source_file"), F.concat("lang", F.lit(" guide\n========\n\nbody\n\nmore\n----\n\nrest\n")).alias("text"))
+    out = src.parse(md.unionByName(rst))
+    id = F.regexp_extract("source_file", r"(\d+)", 1).cast("long")
+    return out.select(F.when(F.col("document_type") == "rst", -1 - id).otherwise(id).alias("id"), "title", F.coalesce(F.element_at("metadata", F.lit("kept")), F.lit("")).alias("kept"), F.size("sections").cast("long").alias("n"))
+
+
+@query("glob_paths", f"SELECT doc_id AS id FROM documents WHERE {_PATH_SQL} GLOB 'src/src[0-4]/*_?*.[jmt]*' AND NOT ({_PATH_SQL} GLOB '*auth*')")
+def glob_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Files by an include and an exclude pattern."""
+    p = _paths(spark, d)
+    return p.where(F.col("path").rlike(T.glob_regex("src/src[0-4]/*_?*.[jmt]*")) & ~F.col("path").rlike(T.glob_regex("*auth*"))).select("id")
+
+
+@query("json_containment", "SELECT event_id AS id FROM events WHERE CAST(json_extract_string(props, '$.k') AS INT) = 7 AND event_type IN ('click', 'view')")
+def json_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose JSON contains an object, and whose type is a member of an array."""
+    e = _t(spark, d, "events")
+    return e.where(T.json_contains("props", {"k": 7}) & F.array_contains(F.array(F.lit("click"), F.lit("view")), F.col("event_type"))).select(F.col("event_id").alias("id"))
+
+
+@query("keyword_members", r"SELECT doc_id AS id FROM (SELECT doc_id, list_transform(list_filter(list_zip(k, range(1, len(k) + 1)), lambda p: list_position(k, p[1]) = p[2]), lambda p: p[1])[1:10] AS u FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '\b[A-Za-z][A-Za-z0-9_]{3,}\b') AS k FROM documents)) WHERE list_contains(u, 'that') OR list_contains(u, 'nicht')")
+def keyword_members(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that have one of some words among their keywords."""
+    k = T.keywords(F.regexp_replace("text", r"[^\x00-\x7F]", " "))
+    return _t(spark, d, "documents").where(F.arrays_overlap(k, F.array(F.lit("that"), F.lit("nicht")))).select(F.col("doc_id").alias("id"))
+
+
+@query("stable_ids", r"""
+WITH h AS (SELECT doc_id, sha256(source || chr(1) || lang) AS h FROM documents)
+SELECT doc_id AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid FROM h""")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), tables.stable_id("source", "lang").alias("uuid"))
+
+
+@query("code_language", f"SELECT doc_id AS id, CASE regexp_extract({_PATH_SQL}, '(\\.[^.]+)$', 1) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.CODE_EXTENSION_LANGUAGE.items()) + " END AS language FROM documents")
+def code_language(spark: SparkSession, d: str) -> DataFrame:
+    return _paths(spark, d).select("id", T.detect_code_language("path").alias("language"))
+
+
+@query("tag_lists", "SELECT event_id AS id, event_type || '|' || user_id AS tags FROM events")
+def tag_lists(spark: SparkSession, d: str) -> DataFrame:
+    line = F.concat(F.lit(" "), "event_type", F.lit(" ,, "), F.col("user_id").cast("string"), F.lit(","))
+    return _t(spark, d, "events").select(F.col("event_id").alias("id"), F.array_join(T.split_tags(line), "|").alias("tags"))
+
+
+@query("truncations", "SELECT doc_id AS id, sha256(CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END) AS h FROM documents")
+def truncations(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.content_hash(T.truncated("text")).alias("h"))
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming windows over the whole table at once."""
+    e = _t(spark, d, "events")
+    return event_counts(e).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
