@@ -100,18 +100,25 @@ def bm25(docs: DataFrame, query: str, id: str = "id", text: str = "content", k1:
     aggregate of one row, which is all that is broadcast.
     """
     q = parse_query(query)
-    terms = q.terms
-    base = docs.select(F.col(id).alias("id"), words(text).alias("w"))
-    tf = [_count(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = base.select("id", F.size("w").alias("len"), *tf, matches(F.col("w"), q).alias("hit"))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    both = rows.where("hit").crossJoin(F.broadcast(stats))  # one row
+    rows, stats = _counted(docs.select(F.col(id).alias("id"), words(text).alias("w")), q)
+    return rows.where("hit").crossJoin(F.broadcast(stats)).select("id", _okapi(len(q.terms), k1, b).alias("score"))
+
+
+def _counted(base: DataFrame, q: Query) -> tuple[DataFrame, DataFrame]:
+    """base (w, ...) with len, tf0, tf1, ... and hit in place of its tokens w, and its corpus statistics: one row."""
+    tf = [_count(F.col("w"), t).alias(f"tf{i}") for i, t in enumerate(q.terms)]
+    rows = base.select(*(c for c in base.columns if c != "w"), F.size("w").alias("len"), *tf, matches(F.col("w"), q).alias("hit"))
+    return rows, rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(tf))))
+
+
+def _okapi(terms: int, k1: float = K1, b: float = B) -> Column:
+    """The score of a row of _counted beside the statistics."""
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(terms):
         t, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score = score + idf * t * (k1 + 1) / (t + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return both.select("id", score.alias("score"))
+    return score
 
 
 def bm25_postings(index: DataFrame, stats: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
@@ -258,6 +265,25 @@ def hybrid(dense: DataFrame | None, sparse: DataFrame | None, alpha: float = 0.7
     return out.withColumn("combined_score", alpha * F.col("dense_score") + (1 - alpha) * F.col("sparse_score")).orderBy(F.desc("combined_score"), "id").limit(limit)
 
 
+def hybrid_rows(corpus: DataFrame, query: str, query_vector: list[float], alpha: float = 0.7, limit: int = 20, min_similarity: float = 0.0) -> DataFrame:
+    """hybrid for a corpus (id, content, embedding, ...) that holds texts and vectors, with the corpus columns.
+
+    Both scores are columns of one projection, so no list is shuffled or joined by id: a scan for the statistics, one for the
+    greatest lexical score, one for the top k. A row counts by its cosine from min_similarity on, by its text if that satisfies
+    the query; one without either is no candidate. alpha lies between 0 and 1.
+    """
+    q = parse_query(query)
+    base = corpus.select(F.struct(*corpus.columns).alias("row"), cosine(as_double("embedding"), literal(query_vector)).alias("d"), words("content").alias("w"))
+    rows, stats = _counted(base, q)
+    near, found = F.when(F.col("d") >= min_similarity, F.greatest("d", F.lit(0.0))), F.when(F.col("hit"), _okapi(len(q.terms)))
+    scored = rows.crossJoin(F.broadcast(stats)).select("row", near.alias("d"), found.alias("s")).where("d is not null or s is not null")
+    both = scored.crossJoin(F.broadcast(scored.agg(F.max("s").alias("top"))))
+    sparse = F.when(F.col("top") > 0, F.col("s") / F.col("top"))
+    out = both.select("row", F.coalesce("d", F.lit(0.0)).alias("dense_score"), F.coalesce(sparse, F.lit(0.0)).alias("sparse_score"))
+    out = out.withColumn("combined_score", alpha * F.col("dense_score") + (1 - alpha) * F.col("sparse_score"))
+    return out.orderBy(F.desc("combined_score"), F.col("row")["id"]).limit(limit).select("row.*", "dense_score", "sparse_score", "combined_score")
+
+
 def reciprocal_rank_fusion(lists: list[DataFrame], limit: int = 20, k: int = RRF_K) -> DataFrame:
     """(id, score): the sum of 1 / (k + rank) over ranked lists (id, rank)."""
     parts = [x.select("id", (1.0 / (k + F.col("rank"))).alias("s")) for x in lists]
@@ -299,10 +325,11 @@ def metadata_filter(rows: DataFrame, filters: dict[str, str] | None, metadata: s
 def search(corpus: DataFrame, query: str, query_vector: list[float] | None = None, limit: int = 20, alpha: float = 0.7, scorer=None, top_k_rerank: int = 50, filters: dict[str, str] | None = None, min_similarity: float = 0.0) -> DataFrame:
     """Filter, hybrid candidates, optional rerank of the top_k_rerank best, then `limit` of them, with the corpus columns."""
     rows = metadata_filter(corpus, filters) if filters else corpus
-    dense = vector_scores(rows, query_vector, min_similarity=min_similarity) if query_vector is not None else None
     fetch = top_k_rerank if scorer else limit
-    sparse = bm25(rows, query)
-    hits = hybrid(dense, sparse, alpha if dense is not None else 0.0, fetch)
+    if query_vector is not None and 0 < alpha < 1:
+        return rerank(hybrid_rows(rows, query, query_vector, alpha, fetch, min_similarity), query, limit, scorer)
+    dense = vector_scores(rows, query_vector, min_similarity=min_similarity) if query_vector is not None else None
+    hits = hybrid(dense, bm25(rows, query), alpha if dense is not None else 0.0, fetch)
     # at most `fetch` rows: a bound that holds whatever the corpus
     found = rows.join(F.broadcast(hits), "id")
     return rerank(found, query, limit, scorer)
