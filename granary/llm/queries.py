@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .embed import op2_embedding
 from .langid import op10_language
 from .media import op6_media
+from .merkle import OP11_SQL, op11_merkle
 from .minhash import op3_minhash
 from .packing import op7_packing
 from .pieces import op9_sentencepiece
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_language": op10_language,
+        "op11_merkle": op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op4_warc": OP4_SQL, "op11_merkle": OP11_SQL}
