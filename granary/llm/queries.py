@@ -14,6 +14,7 @@ from .minhash import op3_minhash
 from .packing import op7_packing
 from .pieces import op9_sentencepiece
 from .pii import op1_pii
+from .secrets import op12_secrets
 from .substring import op5_substring
 from .toxicity import op8_toxicity
 from .warc import OP4_SQL, op4_warc
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_language": op10_language,
         "op11_merkle": op11_merkle,
+        "op12_secrets": op12_secrets,
     }
 
 
