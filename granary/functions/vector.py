@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((n > 0) & (F.size(a) == F.size(b)), dot(a, b) / n)
 
 
+def packed(df: DataFrame, id: str, vector: str, name: str = "id") -> DataFrame:
+    """(name, v): unit vectors as bytes of doubles; rows whose vector is null, has no direction or a component that is null or not finite are left out."""
+    kind = df.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            at, flat = np.asarray(lists.offsets), lists.values.to_numpy(zero_copy_only=False)
+            norms = np.sqrt(np.add.reduceat(np.append(flat * flat, 0.0), np.minimum(at[:-1], len(flat)))) if len(lists) else np.zeros(0)
+            good = (np.diff(at) > 0) & np.isfinite(norms) & (norms > 0)
+            keep = pa.array(np.flatnonzero(good))
+            v = [(flat[at[i] : at[i + 1]] / norms[i]).tobytes() for i in np.flatnonzero(good)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array(v, pa.binary())], [name, "v"])
+
+    rows = df.select(F.col(id).alias(name), as_double(vector).alias("v")).where("v is not null and not exists(v, x -> x is null)")
+    return rows.mapInArrow(run, f"{name} {kind}, v binary")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+
+
 def batch_cosine(query: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Cosines of one query with many rows; empty in, empty out; NaN where a vector has no direction."""
     if not len(docs):

@@ -11,12 +11,13 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..functions.vector import as_double, cosine, literal
+from ..functions.vector import as_double, cosine, literal, matrix, packed
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -169,49 +170,63 @@ def vector_topk(corpus: DataFrame, query: list[float], limit: int = 20, min_simi
     return vector_scores(corpus, query, id, embedding, min_similarity).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, id: str = "id", embedding: str = "embedding", most_queries: int = 10_000) -> DataFrame:
-    """(qid, id, score, rank) of every query (qid, vector), however many: blocks of them go to each task as one matrix.
+#: Rows of the corpus and queries that meet as one product of matrices.
+PART, BLOCK = 16_384, 4096
 
-    Queries are dealt to blocks of about `most_queries` in expectation by hash, and a block meets every part of the corpus
-    once. Each multiplies its batches with the block and keeps k for each query, so what is shuffled is parts x queries x k rows.
+
+def batch_topk(corpus: DataFrame, queries: DataFrame, k: int, id: str = "id", embedding: str = "embedding", part: int = PART, block: int = BLOCK) -> DataFrame:
+    """(qid, id, score, rank) of every query (qid, vector) against all rows, in one plan whatever their numbers.
+
+    Rows are dealt to parts of about `part` and queries to blocks of about `block` at random; each part meets each block once,
+    as a product of two matrices, and gives k rows for each query. Work and what is shuffled grow with rows times queries:
+    `ann.nearest` visits a part of the rows. Vectors that are null, have no direction or another dimension meet none.
     """
-    asked = queries.select("qid", as_double("vector").alias("vector"))
-    n = asked.count()
+    rows, asked = packed(corpus, id, embedding), packed(queries, "qid", "vector", "qid")
+    many = lambda df, most: max(1, -(-df.count() // most))
+    parts, blocks = many(corpus, part), many(queries, block)
+    place = lambda n: F.least(F.floor(F.rand(3) * n), F.lit(n - 1)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    size = F.octet_length("v").alias("size")
+    # drawn once for a row, before it is repeated
+    left = rows.withColumn("part", place(parts)).select(size, "part", every(blocks).alias("block"), "id", "v")
+    right = asked.withColumn("block", place(blocks)).select(size, every(parts).alias("part"), "block", "qid", "v")
     kind_q, kind_i = queries.schema["qid"].dataType.simpleString(), corpus.schema[id].dataType.simpleString()
-    rows = corpus.select(F.col(id).alias("id"), as_double(embedding).alias("v"))
-    schema = f"qid {kind_q}, id {kind_i}, score double"
-    blocks = max(1, -(-n // most_queries))
-    near = None
-    for i in range(blocks):
-        one = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid", "vector"), F.lit(blocks)) == i)
-        part = rows.mapInPandas(_nearest(one.collect(), k), schema)
-        near = part if near is None else near.unionByName(part)
+
+    def meet(key: tuple, own: pa.Table, questions: pa.Table) -> pa.Table:
+        ids, qids = own.column("id").combine_chunks(), questions.column("qid").combine_chunks()
+        if not len(ids) or not len(qids):
+            return pa.table({"qid": qids.slice(0, 0), "id": ids.slice(0, 0), "score": pa.array([], pa.float64())})
+        x, q = (matrix(t.column("v"), key[0].as_py() // 8) for t in (own, questions))
+        order, found = places(ids), []
+        step = max(1, (1 << 22) // len(x))
+        for i in range(0, len(q), step):
+            s = q[i : i + step] @ x.T
+            for r in range(len(s)):
+                at = np.partition(s[r], -k)[-k] if len(x) > k else -2.0
+                near = np.flatnonzero(s[r] >= at - 1e-9)
+                best, score = best_of(near, (x[near] * q[i + r]).sum(1), order, k)
+                found.append((np.full(len(best), i + r), best, score))
+        a, b, c = (np.concatenate(z) for z in zip(*found))
+        return pa.table({"qid": qids.take(pa.array(a)), "id": ids.take(pa.array(b)), "score": pa.array(c)})
+
+    names = ("size", "part", "block")
+    near = left.groupBy(*names).cogroup(right.groupBy(*names)).applyInArrow(meet, f"qid {kind_q}, id {kind_i}, score double")
     return ranked(near, k)
 
 
-def _nearest(rows: list, k: int):
-    """For batches (id, v): the k nearest of each query in rows."""
-    matrix = np.array([r["vector"] for r in rows], float)
-    if len(rows):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    names = [r["qid"] for r in rows]
-
-    def run(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf) or not len(names):
-                continue
-            v = np.stack(pdf["v"].to_numpy())
-            with np.errstate(invalid="ignore", divide="ignore"):
-                s = (v @ matrix.T) / np.linalg.norm(v, axis=1)[:, None]
-            ids = pdf["id"].to_numpy()
-            for q, name in enumerate(names):
-                o = np.lexsort((ids, -s[:, q]))[:k]
-                o = o[np.isfinite(s[o, q])]
-                yield pd.DataFrame({"qid": [name] * len(o), "id": ids[o], "score": s[o, q]})
-
-    return run
+def places(ids: pa.Array) -> np.ndarray:
+    """The place of each id among all."""
+    out = np.empty(len(ids), np.int64)
+    out[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    return out
+
+
+def best_of(rows: np.ndarray, scores: np.ndarray, order: np.ndarray, k: int, low: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k of rows of greatest score, from `low` on, ties by `order`; scores are sums in one order, so equal vectors tie."""
+    good = scores >= low - 1e-9
+    rows, scores = rows[good], scores[good]
+    best = np.lexsort((order[rows], -scores))[:k]
+    return rows[best], scores[best]
 
 
 def ranked(scored: DataFrame, k: int | None = None, by: str = "qid") -> DataFrame:

@@ -6,6 +6,7 @@ regions a graph, events a log of file states, part names error patterns. Every q
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import errors, graph, knowledge, manifest, memory, search, tables
+from ..operators import ann, errors, graph, knowledge, manifest, memory, search, tables
 from ..schemas import MEMORY_TYPES, conform, empty
-from ..session import prepare
+from ..session import prepare, shared_dir
 from ..sources import files as src
 from ..sources.chunks import ChunkConfig
 from ..streaming.ingest import event_counts
@@ -87,6 +88,31 @@ def vector_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.batch_topk(rows, _twentieth(rows), 5).withColumn("score", F.round("score", 6))
 
 
+_NEAR = f"""
+WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, {_COS} AS sim FROM embeddings a, {_ASKED} b),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM s)
+SELECT qid, id, round(sim, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+
+def _inverted(spark: SparkSession, d: str) -> tuple[ann.Index, DataFrame]:
+    """An index over all vectors, written and read again, and as queries every id divisible by 20."""
+    rows, path = _vectors(spark, d), f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    ann.build(rows, path)
+    return ann.load(spark, path), _twentieth(rows)
+
+
+@query("vector_ivf_topk")
+def vector_ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """About the 10 nearest of every id divisible by 20; recall is measured in a test."""
+    return ann.nearest(*_inverted(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
+@query("vector_ivf_exact", _NEAR)
+def vector_ivf_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest from the same index, cells and rows left out only by bounds."""
+    return ann.nearest(*_inverted(spark, d), 10, exact=True).withColumn("score", F.round("score", 6))
+
+
 @query("vector_label_knn", f"""
 WITH s AS (SELECT b.vec_id AS qid, a.vec_id AS id, a.label, {_COS} AS sim FROM embeddings a, {_ASKED} b WHERE a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS k FROM s),

@@ -275,7 +275,7 @@ def test_command_line_and_graph_files(spark, tmp_path):
 def test_queries_in_blocks(spark):
     v = rows(spark, [(i, [float(i % 7), float(i % 5 + 1)]) for i in range(40)], "id long, embedding array<double>")
     q = v.selectExpr("id as qid", "embedding as vector")
-    one, many = batch_topk(v, q, 3), batch_topk(v, q, 3, most_queries=7)
+    one, many = batch_topk(v, q, 3), batch_topk(v, q, 3, block=7)
     assert many.count() == 120 and sorted(one.select("qid", "id", "rank").collect()) == sorted(many.select("qid", "id", "rank").collect())
 
 
