@@ -98,12 +98,13 @@ def _tf_part(tf: Column, length: Column, avg: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(avg)))
 
 
-def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", english: bool = True, per_segment: int = PER_SEGMENT, buckets: int = BUCKETS, per_task: int = PER_TASK) -> None:
+def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", english: bool = True, per_segment: int = PER_SEGMENT, buckets: int = BUCKETS, per_task: int = PER_TASK, mode: str = "error") -> None:
     """Writes the index of docs under path: `blocks` and `lexicon` in folders by bucket, `stems` (word, lexeme), and `about`, a row of statistics.
 
     Rows whose id is null or whose text has no word are in the counts and in no block. An id that stands more than once is one
     document with all its words. Vocabulary and stems are joined by word, where Spark splits a hot one; then one shuffle
-    brings a segment's postings of a lexeme together.
+    brings a segment's postings of a lexeme together. With mode `overwrite`, an index at path
+    is replaced, `about` last.
     """
     spark = docs.sparkSession
     w = words(text)
@@ -113,7 +114,7 @@ def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", eng
     whole = docs.schema[id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
     rows = occurrences(docs.where(F.col(id).isNotNull()), id, text, english)
     if english:
-        stemmed(rows.select("word").distinct()).write.parquet(f"{path}/stems")
+        stemmed(rows.select("word").distinct()).write.mode(mode).parquet(f"{path}/stems")
         stems = spark.read.parquet(f"{path}/stems").where("word <> lexeme")
         rows = rows.join(stems, "word", "left").withColumn("lexeme", F.coalesce("lexeme", "word"))
     else:
@@ -131,12 +132,12 @@ def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", eng
         "lexeme", "segment", F.size("p").alias("docs"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["tf"]).alias("occurrences"), F.array_max(F.col("p")["part"]).alias("best"),
         (_deltas(ids) if whole else ids).alias("ids"), F.col("p")["tf"].alias("tfs"), F.col("p")["len"].alias("lens"), F.col("p")["gaps"].alias("gaps"), "bucket",
     )
-    blocks.sortWithinPartitions("bucket", "lexeme", "segment").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks.sortWithinPartitions("bucket", "lexeme", "segment").write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/blocks")
     written = spark.read.parquet(f"{path}/blocks") if n and total else blocks.where("false")
     lexicon = written.groupBy("bucket", "lexeme").agg(F.sum("docs").alias("df"), F.sum("occurrences").alias("cf"), F.max("best").alias("best"))
-    lexicon.repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.partitionBy("bucket").parquet(f"{path}/lexicon")
+    lexicon.repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/lexicon")
     about = [(n, avg, english, segments, buckets, docs.schema[id].dataType.simpleString())]
-    spark.createDataFrame(about, "docs long, avg_len double, english boolean, segments int, buckets int, id_type string").coalesce(1).write.parquet(f"{path}/about")
+    spark.createDataFrame(about, "docs long, avg_len double, english boolean, segments int, buckets int, id_type string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
 
 
 # --- reading --------------------------------------------------------------------------------------------------------

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.english import STOP_WORDS, stem_sql
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import ann, errors, graph, knowledge, manifest, memory, search, tables
+from ..operators import ann, errors, graph, knowledge, manifest, memory, search, tables, textindex
 from ..schemas import MEMORY_TYPES, conform, empty
 from ..session import prepare, shared_dir
 from ..sources import files as src
@@ -174,6 +175,50 @@ def lexical_postings_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
+# --- English index --------------------------------------------------------------------------------------------------
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+#: Common table expressions: each position's lexeme, x (doc_id, pos, lexeme), with stop words left out.
+ENGLISH_SQL = f"""o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM ({_TOKENS})),
+v AS {stem_sql(f"(SELECT DISTINCT word FROM o WHERE word NOT IN ({_STOPS}))")},
+x AS (SELECT doc_id, pos, lexeme FROM o JOIN v USING (word))"""
+_PAIR = """,
+c AS (SELECT doc_id, CAST(count(*) AS DOUBLE) AS len, count(*) FILTER (lexeme = 'licens') AS t0, count(*) FILTER (lexeme = 'work') AS t1,
+      list(pos ORDER BY pos) FILTER (lexeme = 'licens') AS a, list(pos ORDER BY pos) FILTER (lexeme = 'work') AS b FROM x GROUP BY doc_id),
+s AS (SELECT (SELECT count(*) FROM documents) AS n, sum(len) / (SELECT count(*) FROM documents) AS avg, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c)"""
+
+
+def _english(spark: SparkSession, d: str) -> textindex.Index:
+    """The positional index of all documents, written and read again."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    textindex.build(_corpus(spark, d), path)
+    return textindex.load(spark, path)
+
+
+@query("english_bm25_topk", f"""WITH {ENGLISH_SQL}{_PAIR},
+r AS (SELECT doc_id AS id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.2 * (0.25 + 0.75 * len / avg)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * len / avg)) AS score FROM c, s WHERE t0 > 0 AND t1 > 0)
+SELECT id, round(score, 6) AS score FROM r ORDER BY r.score DESC, id LIMIT 20""")
+def english_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Stems meet: `licensing works` finds licensed work. Blocks are left out by their greatest scores."""
+    return textindex.topk(_english(spark, d), "licensing works", 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("english_ts_rank", f"""WITH {ENGLISH_SQL}{_PAIR},
+r AS (SELECT doc_id AS id, list_reduce(list_prepend(1.0::DOUBLE, flatten(list_transform(a[1:256], lambda p: list_transform(b[1:256], lambda q: 1.0::DOUBLE - 0.1 * sqrt(CASE WHEN abs(p - q) > 100 THEN 1e-30 ELSE 1.0 / (1.005 + 0.05 * exp(abs(p - q) / 1.5 - 2.0)) END))))), lambda m, k: m * k) AS missing FROM c WHERE t0 > 0 AND t1 > 0)
+SELECT id, round(1.0 - missing, 6) AS score FROM r""")
+def english_ts_rank(spark: SparkSession, d: str) -> DataFrame:
+    """All matches, ranked by how near the words stand to each other."""
+    return textindex.rank(_english(spark, d), "licensing works").select("id", F.round("score", 6).alias("score"))
+
+
+@query("english_phrase", f"""WITH {ENGLISH_SQL}
+SELECT DISTINCT a.doc_id AS id FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.pos = a.pos + 3 WHERE a.lexeme = 'licens' AND b.lexeme = 'gnu'
+AND a.doc_id IN (SELECT doc_id FROM x WHERE lexeme = 'work')""")
+def english_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase over stop words, by positions from the written index."""
+    return textindex.match(_english(spark, d), '"licensed under the gnu" work').select("id")
+
+
 _THE = _bm25_sql(["the", "and"], "tf0 > 0 AND tf1 > 0")
 _DENSE = f"SELECT vec_id AS id, sim AS score FROM ({_SIM0}) WHERE sim >= 0.0"
 

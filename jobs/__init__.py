@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest_documents
+from . import build_index, ingest_documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"job1_ingest_documents": ingest_documents.query}
+    return {"job1_ingest_documents": ingest_documents.query, "job2_build_index": build_index.query}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"job1_ingest_documents": ingest_documents.SQL}
+    return {"job1_ingest_documents": ingest_documents.SQL, "job2_build_index": build_index.SQL}

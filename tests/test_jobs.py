@@ -3,12 +3,14 @@
 import hashlib
 import json
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import jobs
+from jobs import build_index as build
 from jobs import ingest_documents as ingest
 from jobs.common import configured
 
@@ -112,3 +114,42 @@ def test_hashes_are_of_the_window(spark, folders):
     run(spark, folders)
     r = ingest.current(spark, folders[1]).first()
     assert r["content"] == "a b c" and r["content_hash"] == hashlib.sha256(b"a b c").hexdigest()
+
+
+# --- index ----------------------------------------------------------------------------------------------------------
+
+
+def test_an_index_built_again_is_the_same(spark, tmp_path):
+    """A second run over the same table changes nothing; one over a table that lost documents leaves none of theirs."""
+    table, out = f"file://{tmp_path}/documents.parquet", f"file://{tmp_path}/index"
+    files(spark, table, [(i, f"searching text number n{i} engines", "en", "s") for i in range(40)] + [(None, "lost", "en", "s"), (99, None, "en", "s")])
+    first = build.run(spark, table, out, per_segment=8, buckets=4)
+    assert first == {"documents": 42, "lexemes": 44, "postings": 200, "occurrences": 200}
+    whole = lambda: (rows_of(build.textindex.load(spark, out).lexicon()), rows_of(build.textindex.load(spark, out).blocks()), rows_of(build.textindex.topk(build.textindex.load(spark, out), "search engine", 5)))
+    seen = whole()
+    assert build.run(spark, table, out, per_segment=8, buckets=4) == first and whole() == seen and len(seen[2]) == 5
+    files(spark, table, [(1, "search", "en", "s")], "overwrite")
+    assert build.run(spark, table, out, per_segment=8, buckets=4) == {"documents": 1, "lexemes": 1, "postings": 1, "occurrences": 1}
+    assert [r["lexeme"] for r in build.textindex.load(spark, out).lexicon().collect()] == ["search"]
+
+
+def test_jobs_read_nothing_of_the_operators_apart():
+    """Jobs stand without the training-data operators."""
+    for f in (Path(jobs.__file__).parent).glob("*.py"):
+        assert "llm" not in f.read_text() and "corpus_pipeline" not in f.read_text()
+
+
+@pytest.mark.parametrize("job", [ingest, build])
+def test_runs_as_a_command(spark, job, tmp_path, monkeypatch):
+    """The command makes a session and stops it; here it gets one that it cannot stop."""
+    files(spark, f"file://{tmp_path}/documents.parquet", [(1, "one text", "en", "s")])
+    stopped = []
+
+    class Held:
+        def __getattr__(self, name):
+            return (lambda: stopped.append(1)) if name == "stop" else getattr(spark, name)
+
+    monkeypatch.setattr(job, "session", Held)
+    more = ["--checkpoint", f"file://{tmp_path}/mark"] if job is ingest else []
+    got = job.main(["--documents", f"file://{tmp_path}/documents.parquet", "--output", f"file://{tmp_path}/out", *more])
+    assert stopped == [1] and got.get("read", got.get("documents")) == 1
