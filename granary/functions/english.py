@@ -1,12 +1,14 @@
-"""English words to lexemes: stop words and the Snowball English (Porter 2) stemmer.
+"""English words to lexemes: stop words and the Snowball English (Porter 2) stemmer, in two forms.
 
-The stemmer is a list of projections whose expressions are plain SQL, so it runs inside generated code; it is meant for a
-vocabulary of distinct words. Positions, not texts, carry the regions R1 and R2: `p1` and `p2` are where they begin.
+`stem` is a function for tasks that hold words already; `stemmed` is a list of projections whose expressions are plain SQL, for
+a vocabulary of distinct words in a DataFrame or in another engine. Both have the regions R1 and R2 as positions: `p1` and
+`p2` are where they begin.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ _STEP_2 = {
 _STEP_3 = {"ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ness": "", "ful": ""}
 _STEP_4 = ("ement", "ance", "ence", "able", "ible", "ment", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic")
 
-_R1 = "^(?:gener|commun|arsen|.*?[aeiouy][^aeiouy])"
+_R1, _VC = "^(?:gener|commun|arsen|.*?[aeiouy][^aeiouy])", "^.*?[aeiouy][^aeiouy]"
 _SHORT = "(?:^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
 
 
@@ -61,13 +63,14 @@ def layers() -> list[dict[str, str]]:
     marked = "CASE WHEN word LIKE 'y%' THEN 'Y' || substr(word, 2) ELSE word END"
     for v in "aeiouy":
         marked = f"replace({marked}, '{v}y', '{v}Y')"
-    length = lambda regex: f"CASE WHEN {_has('w', regex)} THEN length(regexp_extract(w, '{regex}', 0)) ELSE length(w) END"
+    length = lambda x, regex: f"CASE WHEN {_has(x, regex)} THEN length(regexp_extract({x}, '{regex}', 0)) ELSE length({x}) END"
     vowel = lambda n: _has(_less(n), "[aeiouy]")
     dropped = lambda s: (s, f"CASE WHEN {vowel(len(s))} THEN {_less(len(s))} ELSE w END")
     ends = ("ingly", "edly", "ing", "ed")
     return [
         {"fixed": fixed, "w": marked},
-        {"p1": length(_R1), "p2": length(f"{_R1}.*?[aeiouy][^aeiouy]")},
+        {"p1": length("w", _R1)},
+        {"p2": f"p1 + {length('substr(w, p1 + 1)', _VC)}"},
         {"w": _suffixes([("sses", _less(2)), *((s, f"CASE WHEN length(w) > 4 THEN {_less(2)} ELSE {_less(1)} END") for s in ("ied", "ies")), ("us", "w"), ("ss", "w"), ("s", f"CASE WHEN {vowel(2)} THEN {_less(1)} ELSE w END")])},
         {"fixed": f"fixed OR w IN ({quoted(_AFTER_1A)})", "kept": "w"},
         {"w": _suffixes([_in("p1", "eedly", "ee"), dropped("ingly"), dropped("edly"), _in("p1", "eed", "ee"), dropped("ing"), dropped("ed")]), "cut": "CASE WHEN w LIKE '%eedly' OR w LIKE '%eed' THEN false ELSE " + " OR ".join(f"(w LIKE '%{s}' AND {vowel(len(s))})" for s in ends) + " END"},
@@ -103,5 +106,85 @@ def stem_sql(relation: str) -> str:
     return f"(SELECT word, lexeme FROM {relation})"
 
 
+_MATCH_R1, _MATCH_VC, _ENDS_SHORT = re.compile(_R1), re.compile(_VC[1:]), re.compile(_SHORT)
+_VOWEL, _LI = frozenset("aeiouy"), frozenset("cdeghkmnrt")
+
+
+def _vowels(w: str) -> bool:
+    return not _VOWEL.isdisjoint(w)
+
+
+def _cut(w: str, rules: dict[str, str], p1: int) -> str:
+    for n in range(7, 1, -1):
+        if (new := rules.get(w[-n:])) is not None and len(w) > n:
+            return w[:-n] + new if len(w) - n >= p1 else w
+    return w
+
+
+@functools.lru_cache(1 << 18)
+def stem(word: str) -> str:
+    """The lexeme of a word; words with a digit, and those of fewer than three letters, stay as they are."""
+    if len(word) < 3 or not word.isalpha():
+        return word
+    if word in _IRREGULAR:
+        return _IRREGULAR[word]
+    w = "Y" + word[1:] if word[0] == "y" else word
+    for v in "aeiouy":
+        w = w.replace(v + "y", v + "Y")
+    p1 = m.end() if (m := _MATCH_R1.match(w)) else len(w)
+    p2 = m.end() if (m := _MATCH_VC.match(w, p1)) else len(w)
+    # 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and _vowels(w[:-2]):
+        w = w[:-1]
+    if w in _AFTER_1A:
+        return w
+    # 1b
+    for s in ("eedly", "ingly", "edly", "eed", "ing", "ed"):
+        if w.endswith(s):
+            rest = w[: -len(s)]
+            if s.startswith("eed"):
+                w = rest + "ee" if len(rest) >= p1 else w
+            elif _vowels(rest):
+                w = rest
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif w[-2:] in _DOUBLES:
+                    w = w[:-1]
+                elif len(w) == p1 and _ENDS_SHORT.search(w):
+                    w += "e"
+            break
+    # 1c
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWEL:
+        w = w[:-1] + "i"
+    # 2
+    if w.endswith("ogi"):
+        w = w[:-1] if len(w) - 3 >= p1 and w[-4:-3] == "l" else w
+    elif (short := _cut(w, _STEP_2, p1)) != w or any(w.endswith(s) for s in _STEP_2):
+        w = short
+    elif w.endswith("li") and len(w) - 2 >= p1 and w[-3:-2] in _LI:
+        w = w[:-2]
+    # 3
+    if w.endswith("ative"):
+        w = w[:-5] if len(w) - 5 >= p2 else w
+    else:
+        w = _cut(w, _STEP_3, p1)
+    # 4
+    if (s := next((s for s in _STEP_4 if w.endswith(s)), None)) or w.endswith("ion"):
+        s = s or "ion"
+        if len(w) - len(s) >= p2 and (s != "ion" or w[-4:-3] in ("s", "t")):
+            w = w[: -len(s)]
+    # 5
+    if w.endswith("e"):
+        if len(w) - 1 >= p2 or (len(w) - 1 >= p1 and not _ENDS_SHORT.search(w[:-1])):
+            w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= p2:
+        w = w[:-1]
+    return w.replace("Y", "y")
+
+
 def is_stop_word(word: Column) -> Column:
     return word.isin(*STOP_WORDS)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..functions.vector import as_double, cosine, literal, matrix, packed
+from ..session import shared_dir
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -308,6 +309,51 @@ def reciprocal_rank_fusion(lists: list[DataFrame], limit: int = 20, k: int = RRF
     return out.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def fused_topk(lists: list[DataFrame], limit: int = 20, k: int = RRF_K) -> DataFrame:
+    """(id, score): the first rows of the reciprocal rank fusion of whole lists (id, score), none of which is sorted.
+
+    The `limit`-th of a list alone has 1 / (k + limit), and an id beyond the first m of every list at most lists / (k + m + 1):
+    with m = lists * (k + limit) - k - 1 the result is among the first m of each. Those of them that can still get there
+    are looked up in the other lists, and their ranks there counted. The driver gets m rows for each list and a count for each.
+    An id stands once in a list.
+    """
+    spark = lists[0].sparkSession
+    shared_dir(spark)
+    kept = [x.select("id", "score").where("score is not null").checkpoint() for x in lists]
+    m = len(kept) * (k + limit) - k - 1
+    heads = [x.orderBy(F.desc("score"), "id").limit(m).collect() for x in kept]
+    ranks = [{r["id"]: i for i, r in enumerate(h, 1)} for h in heads]
+    seen = sorted({i for r in ranks for i in r})
+    least = {i: sum(1 / (k + r[i]) for r in ranks if i in r) for i in seen}
+    most = {i: least[i] + sum(1 / (k + m + 1) for r in ranks if i not in r) for i in seen}
+    sure = sorted(least.values(), reverse=True)[:limit][-1:] or [0.0]
+    able = [i for i in seen if most[i] >= sure[0] - 1e-12]
+    for x, r, h in zip(kept, ranks, heads):
+        if len(h) == m:  # a shorter list is known whole
+            r.update(_ranks(x, [i for i in able if i not in r]))
+    kind = lists[0].schema["id"].dataType.simpleString()
+    scored = sorted(((i, sum(1 / (k + r[i]) for r in ranks if i in r)) for i in able), key=lambda s: (-s[1], s[0]))[:limit]
+    return spark.createDataFrame(scored, f"id {kind}, score double").orderBy(F.desc("score"), "id")
+
+
+def _ranks(scored: DataFrame, ids: list) -> dict:
+    """The ranks of some ids of a list: rows are counted between the ids' own, in one aggregate."""
+    if not ids:
+        return {}
+    own = sorted(((-r["score"], r["id"]) for r in scored.where(F.col("id").isin(ids)).collect()))
+    if not own:
+        return {}
+    place = lambda s, i: F.struct(s.alias("s"), i.alias("i"))
+    bounds = F.array(*(place(F.lit(s), F.lit(i).cast(scored.schema["id"].dataType)) for s, i in own))
+    before = F.size(F.filter(bounds, lambda b: b < place(-F.col("score"), F.col("id"))))
+    counts = {r["b"]: r["n"] for r in scored.where(F.col("score") >= -own[-1][0]).groupBy(before.alias("b")).agg(F.count("*").alias("n")).collect()}
+    out, ahead = {}, 0
+    for j, (_, i) in enumerate(own):
+        ahead += counts.get(j, 0)
+        out[i] = ahead  # the id itself is the last that has j bounds before it
+    return out
+
+
 # --- reranking and filters ------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,6 @@
 """A positional index of texts: postings in blocks with their greatest score, written once and read by the query's words.
 
-Documents fall into segments by hash, some PER_SEGMENT each, and a lexeme's postings of one segment are one block: documents
+Runs of PER_SEGMENT documents, as they are read, are segments, and a lexeme's postings of one segment are one block: documents
 and positions as differences, counts, lengths, and the greatest score that a document of the block gets for the lexeme. A hot
 lexeme is many blocks, none of which grows with the corpus. Blocks lie in folders by the hash of the lexeme, in order of
 lexeme and segment, so a query's words name the folders and row groups that are read.
@@ -19,16 +19,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from ..functions.english import STOP_WORDS, is_stop_word, stemmed
+from ..functions.english import STOP_WORDS, is_stop_word, stem
 from ..functions.text import words
 from .search import B, K1, Query, parse_query
 
-#: Documents of a segment, on average; folders; documents for which a folder's files are dealt to one task.
-PER_SEGMENT, BUCKETS, PER_TASK = 256, 32, 1_000_000
+#: Most documents and about most words of a segment; folders; documents for which a folder's blocks are written by one task.
+PER_SEGMENT, MOST_WORDS, BUCKETS, PER_TASK = 512, 1 << 19, 32, 1_000_000
 #: Segments that a ranked query scores first, for each result asked for; more than these are not named in the filter but joined.
 FIRST, NAMED = 2, 512
 #: Positions of a lexeme in a document that ts_rank looks at.
@@ -40,41 +41,78 @@ _TOKEN = re.compile("[a-z0-9]+")
 # --- building -------------------------------------------------------------------------------------------------------
 
 
-def occurrences(docs: DataFrame, id: str, text: str, stop: bool) -> DataFrame:
-    """(id, word, at, len): the positions, from 1, of each word of a document, and how many its words have. Stop words keep their places and have no row.
-
-    A document's words are gathered where it is read; nothing is shuffled.
-    """
-    kind, skip = docs.schema[id].dataType.simpleString(), frozenset(STOP_WORDS) if stop else frozenset()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "word", "at", "len"]
-
-        def out(ids: list, found: list) -> pa.RecordBatch:
-            own, word, at, n = zip(*found) if found else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([ids_of.take(pa.array(own, pa.int64())), pa.array(word, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.int32())], names)
-
-        for b in batches:
-            ids_of, found, held = b.column(0), [], 0
-            for i, t in enumerate(b.column(1)):
-                places: dict[str, list[int]] = {}
-                for p, m in enumerate(_TOKEN.finditer(t.as_py() or ""), 1):
-                    if (w := m[0]) not in skip:
-                        places.setdefault(w, []).append(p)
-                n = sum(map(len, places.values()))
-                found += [(i, w, at, n) for w, at in places.items()]
-                held += n
-                if held > 1 << 18:
-                    yield out(ids_of, found)
-                    found, held = [], 0
-            yield out(ids_of, found)
-
-    return docs.select(F.col(id).alias("id"), F.lower(text).alias("t")).mapInArrow(run, f"id {kind}, word string, at array<int>, len int")
-
-
-def _deltas(c: Column) -> Column:
-    """A rising array as its differences."""
-    return F.transform(c, lambda x, i: x - F.when(i > 0, F.element_at(c, i)).otherwise(0))
+class _Segment:
+    """The words of a run of documents as numbers, and their blocks."""
+
+    def __init__(self, english: bool, avg: float) -> None:
+        self.english, self.avg, self.number, self.lexemes = english, avg, {}, []
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: list[int] = []
+        self.words: list[np.ndarray] = []
+        self.held = 0
+
+    def _new(self, word: str) -> int:
+        """The number of a word's lexeme, -1 for a stop word; kept for the next time while there are not too many."""
+        if len(self.number) > 1 << 20:
+            self.number, self.lexemes = {}, []
+        lexeme = -1 if self.english and word in _STOPS else stem(word) if self.english else word
+        if lexeme != -1:
+            key = "\0" + lexeme  # no word has that character
+            if (n := self.number.get(key)) is None:
+                n = self.number[key] = len(self.lexemes)
+                self.lexemes.append(lexeme)
+            lexeme = n
+        self.number[word] = lexeme
+        return lexeme
+
+    def add(self, row: int, text: str) -> None:
+        get, new = self.number.get, self._new
+        # in two steps, since a full table of numbers may only be emptied between documents
+        own = np.array([n if (n := get(w)) is not None else new(w) for w in _TOKEN.findall(text)], np.int32)
+        self.rows.append(row)
+        self.words.append(own)
+        self.held += len(own)
+
+    def blocks(self, ids: pa.Array, whole: bool, segment: int) -> pa.RecordBatch:
+        """A row for each lexeme of the run; ids are those of its documents."""
+        order = pc.sort_indices(ids).to_numpy()  # so that a block's documents rise
+        own = [self.words[i] for i in order]
+        sizes = np.array([len(w) for w in own])
+        lex, doc = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+        pos = np.arange(1, len(lex) + 1) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        kept = lex >= 0
+        lex, doc, pos = lex[kept], doc[kept], pos[kept]
+        lens = np.bincount(doc, minlength=len(own))
+        by = np.argsort(lex, kind="stable")
+        lex, doc, pos = lex[by], doc[by], pos[by]
+        first = np.flatnonzero(np.r_[True, (lex[1:] != lex[:-1]) | (doc[1:] != doc[:-1])]) if len(lex) else np.zeros(0, np.int64)
+        gaps = np.diff(pos, prepend=0)
+        gaps[first] = pos[first]
+        plex, pdoc, tf = lex[first], doc[first], np.diff(np.r_[first, len(lex)])
+        n = lens[pdoc]
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / self.avg))
+        at = np.flatnonzero(np.r_[True, plex[1:] != plex[:-1]]) if len(plex) else np.zeros(0, np.int64)
+        outer = pa.array(np.r_[at, len(plex)].astype(np.int32))
+        lists = lambda flat: pa.ListArray.from_arrays(outer, flat)
+        if whole:
+            number = ids.cast(pa.int64()).to_numpy()[order][pdoc]
+            delta = np.diff(number, prepend=0)
+            delta[at] = number[at]
+            held = pa.array(delta)
+        else:
+            held = ids.take(pa.array(order[pdoc]))
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[first, len(lex)].astype(np.int32)), pa.array(gaps.astype(np.int32)))
+        cols = [
+            pa.array([self.lexemes[i] for i in plex[at]], pa.string()), pa.array(np.full(len(at), segment, np.int64)), pa.array(np.diff(np.r_[at, len(plex)]).astype(np.int32)),
+            pa.array(np.add.reduceat(tf, at).astype(np.int64) if len(at) else np.zeros(0, np.int64)), pa.array(np.maximum.reduceat(part, at) if len(at) else np.zeros(0)),
+            lists(held), lists(pa.array(tf.astype(np.int32))), lists(pa.array(n.astype(np.int32))), lists(inner),
+        ]
+        return pa.RecordBatch.from_arrays(cols, ["lexeme", "segment", "docs", "occurrences", "best", "ids", "tfs", "lens", "gaps"])
+
+
+_STOPS = frozenset(STOP_WORDS)
 
 
 def _sums(c: Column) -> Column:
@@ -99,45 +137,48 @@ def _tf_part(tf: Column, length: Column, avg: float) -> Column:
 
 
 def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", english: bool = True, per_segment: int = PER_SEGMENT, buckets: int = BUCKETS, per_task: int = PER_TASK, mode: str = "error") -> None:
-    """Writes the index of docs under path: `blocks` and `lexicon` in folders by bucket, `stems` (word, lexeme), and `about`, a row of statistics.
+    """Writes the index of docs under path: `blocks` and `lexicon` in folders by bucket, and `about`, a row of statistics.
 
-    Rows whose id is null or whose text has no word are in the counts and in no block. An id that stands more than once is one
-    document with all its words. Vocabulary and stems are joined by word, where Spark splits a hot one; then one shuffle
-    brings a segment's postings of a lexeme together. With mode `overwrite`, an index at path
-    is replaced, `about` last.
+    Rows whose id is null or whose text has no word are in the counts and in no block. Ids should be unique: a row is a
+    document, and one whose id stands twice is found twice. Words are stemmed where they are read and blocks made there, so
+    blocks alone are shuffled. With mode `overwrite`, an index at path is replaced, `about` last.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[id].dataType.simpleString()
     w = words(text)
     size = F.size(F.filter(w, lambda x: ~is_stop_word(x))) if english else F.size(w)
     n, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col(text).isNotNull(), size)), F.lit(0))).first()
-    avg, segments, slots = max(total / n, 1e-9) if n else 1.0, max(1, -(-n // per_segment)), max(1, n // per_task)
-    whole = docs.schema[id].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
-    rows = occurrences(docs.where(F.col(id).isNotNull()), id, text, english)
-    if english:
-        stemmed(rows.select("word").distinct()).write.mode(mode).parquet(f"{path}/stems")
-        stems = spark.read.parquet(f"{path}/stems").where("word <> lexeme")
-        rows = rows.join(stems, "word", "left").withColumn("lexeme", F.coalesce("lexeme", "word"))
-    else:
-        rows = rows.withColumnRenamed("word", "lexeme")
-    segment = F.pmod(F.xxhash64("id"), F.lit(segments)).cast("int")
-    rows = rows.select("id", "lexeme", "at", "len", segment.alias("segment"), F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int").alias("bucket"))
-    rows = rows.withColumn("slot", F.pmod(F.col("segment"), F.lit(slots)))
-    # both groupings are finer than the exchange, so it is the only one
-    dealt = rows.repartition("bucket", "slot")
-    merged = dealt.groupBy("bucket", "slot", "lexeme", "segment", "id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("at"), F.sum(F.size("at")).cast("int").alias("tf"), F.max("len").alias("len"))
-    ids = F.col("p")["id"].cast("array<long>") if whole else F.col("p")["id"]
-    posting = F.struct("id", "tf", "len", _deltas(F.col("at")).alias("gaps"), _tf_part(F.col("tf"), F.col("len"), avg).alias("part"))
-    grouped = merged.groupBy("bucket", "slot", "lexeme", "segment").agg(F.array_sort(F.collect_list(posting)).alias("p"))
-    blocks = grouped.select(
-        "lexeme", "segment", F.size("p").alias("docs"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["tf"]).alias("occurrences"), F.array_max(F.col("p")["part"]).alias("best"),
-        (_deltas(ids) if whole else ids).alias("ids"), F.col("p")["tf"].alias("tfs"), F.col("p")["len"].alias("lens"), F.col("p")["gaps"].alias("gaps"), "bucket",
-    )
-    blocks.sortWithinPartitions("bucket", "lexeme", "segment").write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/blocks")
-    written = spark.read.parquet(f"{path}/blocks") if n and total else blocks.where("false")
-    lexicon = written.groupBy("bucket", "lexeme").agg(F.sum("docs").alias("df"), F.sum("occurrences").alias("cf"), F.max("best").alias("best"))
-    lexicon.repartition("bucket").sortWithinPartitions("bucket", "lexeme").write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{path}/lexicon")
-    about = [(n, avg, english, segments, buckets, docs.schema[id].dataType.simpleString())]
-    spark.createDataFrame(about, "docs long, avg_len double, english boolean, segments int, buckets int, id_type string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
+    avg, slots, whole = max(total / n, 1e-9) if n else 1.0, max(1, n // per_task), kind in _WHOLE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        segment, made = TaskContext.get().partitionId() << 32, _Segment(english, avg)
+        for b in batches:
+            ids = b.column(0)
+            for i, t in enumerate(b.column(1)):
+                made.add(i, t.as_py() or "")
+                if len(made.rows) == per_segment or made.held > MOST_WORDS or i == b.num_rows - 1:
+                    yield made.blocks(ids.take(pa.array(made.rows)), whole, segment)
+                    segment += 1
+                    made.clear()
+
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.lower(text).alias("t"))
+    blocks = rows.mapInArrow(run, _blocks_ddl(kind))
+    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
+    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(slots)))
+    write = lambda df, name: df.sortWithinPartitions("bucket", "lexeme").write.mode(mode).option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}")
+    write(dealt, "blocks")
+    written = spark.read.schema(f"{_blocks_ddl(kind)}, bucket int").parquet(f"{path}/blocks")
+    write(written.groupBy("bucket", "lexeme").agg(F.sum("docs").alias("df"), F.sum("occurrences").alias("cf"), F.max("best").alias("best")).repartition("bucket"), "lexicon")
+    about = [(n, avg, english, buckets, kind)]
+    spark.createDataFrame(about, "docs long, avg_len double, english boolean, buckets int, id_type string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
+
+
+_WHOLE = ("bigint", "int", "smallint", "tinyint")
+
+
+def _blocks_ddl(id_type: str) -> str:
+    return f"lexeme string, segment long, docs int, occurrences long, best double, ids array<{'long' if id_type in _WHOLE else id_type}>, tfs array<int>, lens array<int>, gaps array<array<int>>"
 
 
 # --- reading --------------------------------------------------------------------------------------------------------
@@ -155,11 +196,10 @@ class Index:
 
     @property
     def whole(self) -> bool:
-        return self.id_type in ("bigint", "int", "smallint", "tinyint")
+        return self.id_type in _WHOLE
 
     def blocks(self) -> DataFrame:
-        kind = "long" if self.whole else self.id_type
-        return self.spark.read.schema(f"lexeme string, segment int, docs int, occurrences long, best double, ids array<{kind}>, tfs array<int>, lens array<int>, gaps array<array<int>>, bucket int").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema(f"{_blocks_ddl(self.id_type)}, bucket int").parquet(f"{self.path}/blocks")
 
     def lexicon(self) -> DataFrame:
         """(lexeme, df, cf, best, bucket)"""
@@ -186,12 +226,7 @@ def lexical(index: Index, query: str | Query) -> list[tuple[list[Phrase], list[P
     """
     q = parse_query(query) if isinstance(query, str) else query
     every = sorted({w for must, never in q.any_of for p in [*must, *never] for w in p})
-    stems = dict.fromkeys(every)
-    if index.english and every:
-        one = index.spark.createDataFrame([(w,) for w in every], "word string")
-        stems = {r["word"]: r["lexeme"] for r in stemmed(one).collect()}
-    else:
-        stems = {w: w for w in every}
+    stems = {w: stem(w) if index.english else w for w in every}
 
     def phrase(p: list[str]) -> Phrase:
         kept = [(i, stems[w]) for i, w in enumerate(p) if not (index.english and w in STOP_WORDS)]

@@ -251,8 +251,8 @@ s AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_THE}))
 u AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY id)
 SELECT id, round(score, 9) AS score FROM u ORDER BY u.score DESC, id LIMIT 20""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Both lists ranked to their ends before the fusion."""
-    return search.reciprocal_rank_fusion([search.ranked_whole(x) for x in _lists(spark, d)]).select("id", F.round("score", 9).alias("score"))
+    """The fusion of both whole lists, of which the first rows and a few ranks are looked at."""
+    return search.fused_topk(list(_lists(spark, d))).select("id", F.round("score", 9).alias("score"))
 
 
 _EN = _bm25_sql(["the", "of"], "tf0 > 0 AND tf1 > 0", f"SELECT * FROM ({_TOKENS}) WHERE lang = 'en'")

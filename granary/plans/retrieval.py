@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators.questions import bm25_many
 from ..operators.search import bm25, hybrid, vector_scores
 
 _SPLIT = re.compile(r"\s*(?:\?|;|\band\b|\bversus\b|\bvs\.?)\s*", re.I)
 _IDENTIFIER = re.compile(r"\b(?:[A-Za-z]+_[A-Za-z_]\w*|[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*|\w+\.\w+(?:\.\w+)*)\b")
 
+#: Hits up to this number are sent to the corpus; more are joined by id.
+FEW = 10_000
+
 
 @dataclass
 class RetrievalPlan:
@@ -35,15 +39,28 @@ def plan(query: str) -> RetrievalPlan:
 
 
 def act(corpus: DataFrame, p: RetrievalPlan, limit: int = 10, embed: Callable[[str], list[float]] | None = None, alpha: float = 0.7) -> DataFrame:
-    """(sub_question, ord, rank, id, content, source_file, combined_score): the best of every sub-question, one after the other."""
-    out = None
-    for i, q in enumerate(p.sub_questions):
-        hits = hybrid(vector_scores(corpus, embed(q), min_similarity=0.0) if embed else None, bm25(corpus, q), alpha if embed else 0.0, limit)
-        # `limit` rows at most: the rank needs no partition of its own
-        w = Window.partitionBy(F.lit(i)).orderBy(F.desc("combined_score"), "id")
-        rows = hits.select(F.lit(q).alias("sub_question"), F.lit(i).alias("ord"), F.row_number().over(w).alias("rank"), "id", "combined_score")
-        out = rows if out is None else out.unionByName(rows)
-    return out.join(corpus.select("id", "content", "source_file"), "id")
+    """(sub_question, ord, rank, id, content, source_file, combined_score): the best of every sub-question, one after the other.
+
+    Without `embed` all sub-questions are one table, and the corpus is read as often for any number of them; with it each has
+    a hybrid search of its own.
+    """
+    if embed is None:
+        asked = corpus.sparkSession.createDataFrame([(i, q) for i, q in enumerate(p.sub_questions)], "qid int, question string")
+        hits = bm25_many(corpus, asked, limit)
+        # scores are shares of each question's best
+        best = F.max("score").over(Window.partitionBy("qid"))
+        score = F.when(best > 0, F.col("score") / best).otherwise(0.0)
+        out = hits.withColumn("combined_score", score).join(F.broadcast(asked), "qid").select(F.col("question").alias("sub_question"), F.col("qid").alias("ord"), F.col("rank").cast("int").alias("rank"), "id", "combined_score")
+    else:
+        out = None
+        for i, q in enumerate(p.sub_questions):
+            hits = hybrid(vector_scores(corpus, embed(q), min_similarity=0.0), bm25(corpus, q), alpha, limit)
+            # `limit` rows at most: the rank needs no partition of its own
+            w = Window.partitionBy(F.lit(i)).orderBy(F.desc("combined_score"), "id")
+            rows = hits.select(F.lit(q).alias("sub_question"), F.lit(i).alias("ord"), F.row_number().over(w).alias("rank"), "id", "combined_score")
+            out = rows if out is None else out.unionByName(rows)
+    few = len(p.sub_questions) * limit <= FEW
+    return corpus.select("id", "content", "source_file").join(F.broadcast(out) if few else out, "id")
 
 
 def expand_anchors(nodes: DataFrame, edges: DataFrame, p: RetrievalPlan, limit: int = 20) -> DataFrame:
