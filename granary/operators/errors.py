@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
+from ..functions import literals
 from ..functions.text import trigram_similarity, trigrams
+from ..session import shared_dir
 
 
 def lookup_similar(patterns: DataFrame, message: str, exception_type: str | None = None, language: str | None = None, limit: int = 5, least: float = 0.3) -> DataFrame:
@@ -40,24 +44,57 @@ def lookup_exact(patterns: DataFrame, api_elements: DataFrame, libraries: DataFr
 
 
 def match_messages(messages: DataFrame, patterns: DataFrame, most_patterns: int = 100_000) -> DataFrame:
-    """(message_id, pattern_id, exact) for a stream or table of messages (message_id, message) against patterns.
+    """(message_id, pattern_id, exact) for a table of messages (message_id, message) against patterns.
 
-    Equal messages meet in an equi-join. Expressions cannot be joined by key; they are broadcast, dealt by hash into blocks
-    of about `most_patterns`, and each message is tried against a block in place.
+    Equal messages meet in an equi-join. An expression is read for trigrams that its matches must contain; it meets the
+    messages that have the rarest of them, by key, and is only run on these. Expressions that require none are the rest:
+    broadcast in blocks of about `most_patterns`, tried on every message. An expression that is null matches nothing.
     """
+    spark = messages.sparkSession
+    shared_dir(spark)
     p = patterns.select(F.col("id").alias("pattern_id"), "message_pattern", "message_regex")
     equal = messages.join(p, F.col("message") == F.col("message_pattern")).select("message_id", "pattern_id", F.lit(True).alias("exact"))
-    rx = p.where("message_regex is not null")
-    blocks = max(1, -(-rx.count() // most_patterns))
+    rx = p.where("message_regex is not null").withColumn("alts", _required("message_regex")).checkpoint()
     full = F.regexp_like(F.col("message"), F.concat(F.lit("^(?:"), F.col("message_regex"), F.lit(")$")))
-    out = equal
+    like = full & ~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False))
+
+    # by key: each alternative is met where its rarest trigram is
+    keyed = rx.where(F.size("alts") > 0).select("pattern_id", "message_regex", "message_pattern", F.posexplode("alts").alias("alt", "grams"))
+    texts = messages.where("message is not null").select("message_id", "message", _grams(F.col("message")).alias("grams"))
+    asked = keyed.select(F.explode("grams").alias("gram")).distinct()
+    held = texts.select(F.explode("grams").alias("gram")).join(asked, "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    each = keyed.select("*", F.explode("grams").alias("gram")).join(held, "gram", "left")
+    rare = each.groupBy("pattern_id", "message_regex", "message_pattern", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"), F.first("grams").alias("all")).where("r.n > 0")
+    met = rare.select("pattern_id", "message_regex", "message_pattern", "all", F.col("r.gram").alias("gram")).join(texts.select("message_id", "message", F.explode("grams").alias("gram")), "gram")
+    # the other trigrams first: looking for one is cheaper than running an expression
+    has = F.forall("all", lambda g: F.concat(F.lit(literals.START), F.col("message")).contains(g))
+    found = met.where(has & like).select("message_id", "message", "pattern_id", "message_regex").distinct().select("message_id", "pattern_id", F.lit(False).alias("exact"))
+    out = equal.unionByName(found)
+
+    rest = rx.where(F.size("alts") == 0)
+    n = rest.count()
+    blocks = -(-n // most_patterns)
     for i in range(blocks):
-        own = rx if blocks == 1 else rx.where(F.pmod(F.xxhash64("pattern_id", "message_regex"), F.lit(blocks)) == i)
-        like = messages.join(F.broadcast(own), full & ~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False)))
-        out = out.unionByName(like.select("message_id", "pattern_id", F.lit(False).alias("exact")))
+        own = rest if blocks == 1 else rest.where(F.pmod(F.xxhash64("pattern_id", "message_regex"), F.lit(blocks)) == i)
+        out = out.unionByName(messages.join(F.broadcast(own), like).select("message_id", "pattern_id", F.lit(False).alias("exact")))
     return out
 
 
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _required_of(regex: pd.Series) -> pd.Series:
+    return regex.map(literals.required)
+
+
+def _required(regex: str) -> Column:
+    return F.coalesce(_required_of(F.col(regex)), F.array().cast("array<array<string>>"))
+
+
+def _grams(text: Column) -> Column:
+    """Distinct trigrams of START and the text; those of a text of one character or none are not needed by any expression."""
+    t = F.concat(F.lit(literals.START), text)
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3))))
+
+
 def similarity_join(left: DataFrame, right: DataFrame, least: float = 0.3) -> DataFrame:
     """(left_id, right_id, similarity > least) of (id, text) tables by trigram sets, without a cross join.
 
