@@ -13,6 +13,7 @@ positions. `english` is the configuration with stop words and stems; `simple` ta
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -158,14 +159,14 @@ def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", eng
             for i, t in enumerate(b.column(1)):
                 made.add(i, t.as_py() or "")
                 if len(made.rows) == per_segment or made.held > MOST_WORDS or i == b.num_rows - 1:
-                    yield made.blocks(ids.take(pa.array(made.rows)), whole, segment)
+                    own = made.blocks(ids.take(pa.array(made.rows)), whole, segment)
+                    yield from _sealed(own, segment, buckets)
                     segment += 1
                     made.clear()
 
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.lower(text).alias("t"))
-    blocks = rows.mapInArrow(run, _blocks_ddl(kind))
-    blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
-    dealt = blocks.repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(slots)))
+    sealed = rows.mapInArrow(run, "bucket int, segment long, blocks binary")
+    dealt = sealed.repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(slots))).mapInArrow(_opened, f"{_blocks_ddl(kind)}, bucket int")
     write = lambda df, name: df.sortWithinPartitions("bucket", "lexeme").write.mode(mode).option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/{name}")
     write(dealt, "blocks")
     written = spark.read.schema(f"{_blocks_ddl(kind)}, bucket int").parquet(f"{path}/blocks")
@@ -174,6 +175,30 @@ def build(docs: DataFrame, path: str, id: str = "id", text: str = "content", eng
     spark.createDataFrame(about, "docs long, avg_len double, english boolean, buckets int, id_type string").coalesce(1).write.mode(mode).parquet(f"{path}/about")
 
 
+def _bucket(lexemes: pa.Array, buckets: int) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) % buckets for x in lexemes.to_pylist()], np.int32)
+
+
+def _sealed(blocks: pa.RecordBatch, segment: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, segment, blocks): a segment's blocks of a bucket as one compressed value, since rows of short arrays shuffle at many times their size."""
+    of, out = _bucket(blocks.column(0), buckets), ([], [])
+    for k in np.unique(of):
+        sink = pa.BufferOutputStream()
+        own = blocks.take(pa.array(np.flatnonzero(of == k)))
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_batch(own)
+        out[0].append(k)
+        out[1].append(sink.getvalue().to_pybytes())
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([segment] * len(out[0]), pa.int64()), pa.array(out[1], pa.binary())], ["bucket", "segment", "blocks"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(2)):
+            for own in pa.ipc.open_stream(blob.as_buffer()):
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(own.num_rows, bucket, np.int32))], [*own.schema.names, "bucket"])
+
+
 _WHOLE = ("bigint", "int", "smallint", "tinyint")
 
 
@@ -207,7 +232,7 @@ class Index:
 
     def of(self, rows: DataFrame, lexemes: list[str]) -> DataFrame:
         """rows of some lexemes: their buckets are known here, so only those folders are listed and read."""
-        own = self.spark.range(1).select(F.array(*(F.pmod(F.xxhash64(F.lit(x)), F.lit(self.buckets)).cast("int") for x in lexemes)).alias("b")).first()["b"] if lexemes else []
+        own = _bucket(pa.array(lexemes, pa.string()), self.buckets).tolist()
         return rows.where(F.col("bucket").isin(sorted(set(own))) & F.col("lexeme").isin(lexemes))
 
 
