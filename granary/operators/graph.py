@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import conform, latest
+from ..session import shared_dir
 
 
 def load_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame]:
@@ -119,6 +120,38 @@ def personalised_pagerank(edges: DataFrame, seeds: list[str], damping: float = 0
     return out if limit is None else out.limit(limit)
 
 
+def push_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, error: float = 1e-6, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(set, id, score) and (set, residual): personalised ranks for each seed set of seeds (set, id), by forward push.
+
+    Each set begins with residuals of 1 / its size on its seeds. A round takes every residual above `error`, keeps its share
+    1 - damping as score and passes the rest on along the edges by weight; a node without edges gives it back to the seeds.
+    It ends when no residual is above `error` or after `rounds`. No score is less than the true rank by more than its set's
+    residual, and none is more. Sets are rows: work follows what is pushed, and a hub's edges are a join that Spark can split.
+    """
+    shared_dir(edges.sparkSession)
+    out = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).where("w > 0")
+    total = out.groupBy("src").agg(F.sum("w").alias("t"))
+    share = out.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("share")).checkpoint()
+    seeds = seeds.select("set", "id").distinct()
+    start = seeds.join(seeds.groupBy("set").agg(F.count("*").alias("n")), "set").select("set", "id", (1 / F.col("n")).alias("r")).checkpoint()
+    left, kept = start, None
+    for _ in range(rounds):
+        hot = left.where(F.col("r") > error)
+        if hot.isEmpty():
+            break
+        own = hot.select("set", "id", (F.col("r") * (1 - damping)).alias("p"))
+        kept = own if kept is None else kept.unionByName(own)
+        moved = hot.select("set", F.col("id").alias("src"), (F.col("r") * damping).alias("m"))
+        passed = moved.join(share, "src").select("set", F.col("dst").alias("id"), (F.col("m") * F.col("share")).alias("r"))
+        ends = moved.join(share.select("src").distinct(), "src", "left_anti").groupBy("set").agg(F.sum("m").alias("m"))
+        back = start.join(ends, "set").select("set", "id", (F.col("r") * F.col("m")).alias("r"))
+        rest = left.where(F.col("r") <= error)
+        left = rest.unionByName(passed).unionByName(back).groupBy("set", "id").agg(F.sum("r").alias("r")).checkpoint()
+        kept = kept.groupBy("set", "id").agg(F.sum("p").alias("p")).checkpoint()
+    kept = kept if kept is not None else start.select("set", "id", F.lit(0.0).alias("p")).where("false")
+    return kept.withColumnRenamed("p", "score"), left.groupBy("set").agg(F.sum("r").alias("residual"))
+
+
 def node_stats(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("n"))
 
@@ -128,15 +161,23 @@ def edge_stats(edges: DataFrame) -> DataFrame:
 
 
 def resolve_targets(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(resolved, unresolved) edges: a raw target name becomes the id of the node of that last name, same file first."""
-    e = edges.withColumn("_name", F.regexp_extract("dst", r"([^.:/]+)$", 1)).withColumn("_file", F.regexp_extract("src", r"^(.*?)(?::[^:/]*)?$", 1))
-    e = e.withColumn("_eid", F.xxhash64("src", "dst", "relation"))
-    n = nodes.select(F.col("id").alias("_id"), F.col("name").alias("_name"), F.col("file_path").alias("_path"), F.col("id").alias("_exact"))
-    by_name = e.join(n.drop("_exact"), "_name", "left")
-    w = Window.partitionBy("_eid").orderBy(F.when(F.col("_id") == F.col("dst"), 0).when(F.col("_path") == F.col("_file"), 1).otherwise(2), "_id")
-    best = by_name.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    found = best.where("_id is not null").withColumn("dst", F.col("_id")).select(*edges.columns)
-    return found, best.where("_id is null").select(*edges.columns)
+    """(resolved, unresolved) edges: a raw target becomes the id that it is, or that of the one node of its last name in the source's file, or of the one of that name anywhere.
+
+    Unresolved edges have `owners`, how many nodes could be meant: 0 for names that no node has, more where it is ambiguous.
+    Nodes are first reduced to a row a name, and a name and file, so an edge meets three rows at most however common its name is.
+    """
+    name, file = F.regexp_extract("dst", r"([^.:/]+)$", 1), F.regexp_extract("src", r"^(.*?)(?::[^:/]*)?$", 1)
+    n = nodes.select("id", "name", "file_path").distinct()
+    one = lambda *by: n.groupBy(*by).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    exact = n.select(F.col("id").alias("_exact")).distinct()
+    near = one("name", "file_path").select(F.col("name").alias("_name"), F.col("file_path").alias("_file"), F.col("n").alias("_near"), F.col("id").alias("_near_id"))
+    far = one("name").select(F.col("name").alias("_name"), F.col("n").alias("_far"), F.col("id").alias("_far_id"))
+    e = edges.withColumns({"_name": name, "_file": file})
+    met = e.join(exact, F.col("dst") == F.col("_exact"), "left").join(near, ["_name", "_file"], "left").join(far, "_name", "left")
+    target = F.coalesce("_exact", F.when(F.col("_near") == 1, F.col("_near_id")), F.when(F.col("_near").isNull() & (F.col("_far") == 1), F.col("_far_id")))
+    met = met.withColumn("_target", target)
+    found = met.where("_target is not null").withColumn("dst", F.col("_target")).select(*edges.columns)
+    return found, met.where("_target is null").select(*edges.columns, F.coalesce("_near", "_far", F.lit(0)).alias("owners"))
 
 
 def graph_from_entities(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

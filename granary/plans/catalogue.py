@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.english import STOP_WORDS, stem_sql
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import ann, errors, graph, knowledge, manifest, memory, search, tables, textindex
+from ..operators import ann, containment, errors, graph, knowledge, manifest, memory, search, tables, textindex
 from ..schemas import MEMORY_TYPES, conform, empty
 from ..session import prepare, shared_dir
 from ..sources import files as src
@@ -426,6 +426,28 @@ def graph_ppr(spark: SparkSession, d: str) -> DataFrame:
     return graph.personalised_pagerank(both, ["n:3", "n:7"], iterations=5, limit=None).select("id", F.round("score", 9).alias("score"))
 
 
+_PUSH_ERROR, _PUSH_ROUNDS = 0.00002, 6
+
+
+def _push_sql() -> str:
+    ctes = [f"share AS (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS share FROM {_EDGES_SQL})", "z AS (SELECT c_mktsegment AS s, 'c:' || c_custkey AS id, 1.0::DOUBLE / count(*) OVER (PARTITION BY c_mktsegment) AS r FROM customer)", "l0 AS (SELECT * FROM z)"]
+    for i in range(_PUSH_ROUNDS):
+        hot = f"(SELECT * FROM l{i} WHERE r > {_PUSH_ERROR})"
+        ctes.append(f"""l{i + 1} AS (SELECT s, id, sum(r) AS r FROM (SELECT s, id, r FROM l{i} WHERE r <= {_PUSH_ERROR}
+          UNION ALL SELECT h.s, e.dst, h.r * 0.85 * e.share FROM {hot} h JOIN share e ON e.src = h.id
+          UNION ALL SELECT z.s, z.id, z.r * d.m FROM z JOIN (SELECT s, sum(r) * 0.85 AS m FROM {hot} WHERE id NOT IN (SELECT src FROM share) GROUP BY s) d ON d.s = z.s) GROUP BY s, id)""")
+    kept = " UNION ALL ".join(f"SELECT s, id, r * (1 - 0.85) AS p FROM l{i} WHERE r > {_PUSH_ERROR}" for i in range(_PUSH_ROUNDS))
+    return f'WITH {", ".join(ctes)} SELECT s AS "set", id, round(sum(p), 9) AS score FROM ({kept}) GROUP BY s, id'
+
+
+@query("graph_push", _push_sql())
+def graph_push(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks for the customers of each market segment, whose mass comes back from the regions."""
+    seeds = _t(spark, d, "customer").select(F.col("c_mktsegment").alias("set"), _id("c:", "c_custkey").alias("id"))
+    ranks, _ = graph.push_pagerank(_graph(spark, d)[1], seeds, error=_PUSH_ERROR, rounds=_PUSH_ROUNDS)
+    return ranks.withColumn("score", F.round("score", 9))
+
+
 @query("graph_stats_nodes", f"SELECT label, count(*) AS n FROM {_NODES_SQL} GROUP BY label")
 def graph_stats_nodes(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_stats(_graph(spark, d)[0])
@@ -888,6 +910,22 @@ def graph_resolved(spark: SparkSession, d: str) -> DataFrame:
     return found.select("src", "dst", F.lit(True).alias("resolved")).unionByName(rest.select("src", "dst", F.lit(False).alias("resolved")))
 
 
+@query("graph_ambiguous", """
+WITH n AS (SELECT DISTINCT p_brand || '.py' AS f, p_name AS x, p_brand || '.py:' || p_type || '.' || p_name AS id FROM part),
+e AS (SELECT DISTINCT 'Brand#' || (1 + p_size % 25) || '.py' AS f, p_name AS x FROM part),
+a AS (SELECT f, x, count(*) AS n, min(id) AS id FROM n GROUP BY f, x), b AS (SELECT x, count(*) AS n, min(id) AS id FROM n GROUP BY x)
+SELECT e.f || ':call' AS src, coalesce(CASE WHEN a.n = 1 THEN a.id WHEN a.n IS NULL AND b.n = 1 THEN b.id END, e.x) AS dst,
+ CASE WHEN a.n = 1 OR (a.n IS NULL AND b.n = 1) THEN 1 ELSE coalesce(a.n, b.n) END AS owners
+FROM e LEFT JOIN a ON a.f = e.f AND a.x = e.x LEFT JOIN b ON b.x = e.x""")
+def graph_ambiguous(spark: SparkSession, d: str) -> DataFrame:
+    """Calls by names that many nodes have: one owner in the caller's file, one anywhere, or how many there are."""
+    part = _t(spark, d, "part")
+    nodes = part.select(F.concat("p_brand", F.lit(".py:"), "p_type", F.lit("."), "p_name").alias("id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit(".py")).alias("file_path"))
+    calls = part.select(F.concat(F.lit("Brand#"), (1 + F.col("p_size") % 25).cast("string"), F.lit(".py:call")).alias("src"), F.col("p_name").alias("dst")).distinct()
+    found, rest = graph.resolve_targets(calls.withColumn("relation", F.lit("CALLS")), nodes)
+    return found.select("src", "dst", F.lit(1).cast("long").alias("owners")).unionByName(rest.select("src", "dst", F.col("owners").cast("long").alias("owners")))
+
+
 # --- sources --------------------------------------------------------------------------------------------------------
 
 
@@ -952,6 +990,28 @@ def keyword_members(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").where(F.arrays_overlap(k, F.array(F.lit("that"), F.lit("nicht")))).select(F.col("doc_id").alias("id"))
 
 
+_NESTED = "(SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, user_id % 5 AS a, user_id % 7 AS b FROM events)"
+
+
+@query("json_containment_index", f"SELECT event_id AS id FROM {_NESTED} WHERE (event_type = 'click' AND k = 7) OR (a = 3 AND b = 4) OR (a = 4 AND b = 3)")
+def json_containment_index(spark: SparkSession, d: str) -> DataFrame:
+    """Nested objects and arrays that contain one of two others, by bitmaps."""
+    e = _t(spark, d, "events")
+    doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.struct(F.get_json_object("props", "$.k").cast("int").alias("k")).alias("props"), F.array(F.col("user_id") % 5, F.col("user_id") % 7).alias("groups")))
+    rows, path = e.select(F.col("event_id").alias("id"), doc.alias("doc")), f"{shared_dir(spark)}/bits-{uuid.uuid4().hex}"
+    containment.build(rows, path, "id", "doc")
+    return containment.json_matches(rows, path, [{"type": "click", "props": {"k": 7}}, {"groups": [3, 4]}], "id", "doc").select("id")
+
+
+@query("keyword_members_index", SQL["keyword_members"])
+def keyword_members_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that have one of some words among their keywords, by bitmaps."""
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.keywords(F.regexp_replace("text", r"[^\x00-\x7F]", " ")).alias("words"))
+    path = f"{shared_dir(spark)}/bits-{uuid.uuid4().hex}"
+    containment.build(rows, path, "id", "words")
+    return containment.member_matches(rows, path, ["that", "nicht"], "id", "words").select("id")
+
+
 @query("stable_ids", r"""
 WITH h AS (SELECT doc_id, sha256(source || chr(1) || lang) AS h FROM documents)
 SELECT doc_id AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid FROM h""")
