@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -65,9 +66,17 @@ def batch_cosine(query: np.ndarray, docs: np.ndarray) -> np.ndarray:
         return (docs @ query) / (np.linalg.norm(docs, axis=1) * np.linalg.norm(query))
 
 
+@functools.lru_cache(1 << 18)
+def _place(feature: str) -> tuple[int, int]:
+    """A number below 2**32 and a sign, from the SHA-256 of a feature."""
+    h = hashlib.sha256(feature.encode()).hexdigest()
+    return int(h[:8], 16), 1 if h[8] < "8" else -1
+
+
 class HashingEmbedder:
     """Deterministic default embedder: signed feature hashing of words and word pairs, L2-normalised.
 
+    A feature counts at the number of its SHA-256's first 8 hex digits modulo the dimension, positively if the ninth is below 8.
     Any callable from a list of texts to a matrix of rows can take its place.
     """
 
@@ -78,12 +87,11 @@ class HashingEmbedder:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
             words = re.findall(r"[a-z0-9]+", (text or "").lower())
-            for feature in [*words, *map(" ".join, zip(words, words[1:]))]:
-                h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-                row[h % self.dim] += 1 if h >> 63 else -1
-            if (n := np.linalg.norm(row)) > 0:
-                row /= n
-        return out
+            if found := [_place(f) for f in (*words, *map(" ".join, zip(words, words[1:])))]:
+                at, sign = np.array(found, np.int64).T
+                np.add.at(row, at % self.dim, sign)
+        n = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, n, out=out, where=n > 0)
 
     def embed(self, text: str) -> list[float]:
         return self([text])[0].tolist()

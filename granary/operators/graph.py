@@ -41,30 +41,70 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "e", "relation").unionByName(back)
 
 
+#: Parts over which the edges of each node are dealt where walks are joined to them, so that a hub is many tasks.
+DEALT = 16
+
+
+def _steps(edges: DataFrame, at: DataFrame) -> DataFrame:
+    """(u, v, e, relation): the edges that touch the nodes in at (at), in both directions, a loop once.
+
+    Parallel edges are edges of their own: copies of one (src, dst, relation) are numbered, and which copy has which number
+    does not matter, so levels agree on them.
+    """
+    near = at.distinct()
+    own = edges.select("src", "dst", "relation")
+    touched = own.join(near, F.col("src") == F.col("at"), "left_semi").unionByName(own.join(near, F.col("dst") == F.col("at"), "left_semi").join(near, F.col("src") == F.col("at"), "left_anti"))
+    copies = touched.groupBy("src", "dst", "relation").agg(F.count("*").cast("int").alias("n"))
+    one = copies.select("src", "dst", "relation", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")).withColumn("e", F.xxhash64("src", "dst", "relation", "k"))
+    back = one.where("src <> dst").select(F.col("dst").alias("u"), F.col("src").alias("v"), "e", "relation")
+    return one.select(F.col("src").alias("u"), F.col("dst").alias("v"), "e", "relation").unionByName(back)
+
+
+def _walked(now: DataFrame, steps: DataFrame) -> DataFrame:
+    """now (seed, at, path) one edge further: (seed, v, path, relation). A node's edges are dealt over DEALT parts and each walk goes to all of them."""
+    left = now.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    right = steps.withColumn("_part", F.pmod("e", F.lit(DEALT)).cast("int"))
+    step = left.join(right, (F.col("at") == F.col("u")) & (F.col("part") == F.col("_part")))
+    return step.where(~F.array_contains("path", F.col("e"))).select("seed", "v", F.array_append("path", F.col("e")).alias("path"), "relation")
+
+
 def trails(edges: DataFrame, start: DataFrame, depth: int) -> list[DataFrame]:
     """By length 1 .. depth: (seed, v, path, relation), one row for each walk from a seed (seed) that repeats no edge.
 
-    Unrolled joins from the seeds outward: each starts from the rows of the last, so edges far from the seeds are not expanded.
+    Joins from the seeds outward: each starts from the rows of the last, so edges far from the seeds are not expanded.
     """
-    both, out = _both_ways(edges), []
-    now = start.select("seed", F.col("seed").alias("v"), F.array().cast("array<bigint>").alias("path"))
+    out: list[DataFrame] = []
+    now = start.select("seed", F.col("seed").alias("at"), F.array().cast("array<bigint>").alias("path"))
     for _ in range(depth):
-        step = now.withColumnRenamed("v", "at").join(both, F.col("at") == F.col("u")).where(~F.array_contains("path", F.col("e")))
-        now = step.select("seed", "v", F.array_append("path", F.col("e")).alias("path"), "relation")
-        out.append(now)
-        now = now.drop("relation")
+        step = _walked(now, _steps(edges, now.select("at")))
+        out.append(step)
+        now = step.select("seed", F.col("v").alias("at"), "path")
     return out
 
 
 def entity_context(nodes: DataFrame, edges: DataFrame, id: str, depth: int = 2, limit: int = 50) -> DataFrame:
-    """(connected_id, label, relationship, distance): one row for each trail of up to depth edges, nearest first."""
-    seeds = edges.sparkSession.createDataFrame([(id,)], f"seed {edges.schema['src'].dataType.simpleString()}")
-    rows = None
-    for d, t in enumerate(trails(edges, seeds, depth), 1):
-        t = t.select("v", "relation", F.lit(d).cast("long").alias("distance"))
-        rows = t if rows is None else rows.unionByName(t)
-    out = rows.join(nodes.select(F.col("id").alias("v"), "label"), "v").select(F.col("v").alias("connected_id"), "label", F.col("relation").alias("relationship"), "distance")
-    return out.orderBy("distance", "connected_id", "relationship").limit(limit)
+    """(connected_id, label, relationship, distance): the first `limit` ends of walks from `id` that repeat no edge, nearest first, then by id and relation.
+
+    A level is walked only while the nearer ones have fewer than `limit` rows, and of each level `limit` rows are kept.
+    """
+    shared_dir(edges.sparkSession)
+    now = edges.sparkSession.createDataFrame([(id,)], f"seed {edges.schema['src'].dataType.simpleString()}").select("seed", F.col("seed").alias("at"), F.array().cast("array<bigint>").alias("path"))
+    labels, found, held = nodes.select(F.col("id").alias("v"), "label"), None, 0
+    order = ("distance", "connected_id", "relationship")
+    for d in range(1, depth + 1):
+        step = _walked(now, _steps(edges, now.select("at")))
+        if d < depth:
+            step = step.checkpoint()
+        rows = step.join(labels, "v").select(F.col("v").alias("connected_id"), "label", F.col("relation").alias("relationship"), F.lit(d).cast("long").alias("distance"))
+        rows = rows.orderBy(*order).limit(limit - held)
+        if d < depth:
+            rows = rows.checkpoint()
+            held += rows.count()
+        found = rows if found is None else found.unionByName(rows)
+        if held >= limit:
+            break
+        now = step.select("seed", F.col("v").alias("at"), "path")
+    return found.orderBy(*order).limit(limit)
 
 
 def proximity(edges: DataFrame, seeds: list[str] | DataFrame, limit: int = 20, depth: int = 3) -> DataFrame:

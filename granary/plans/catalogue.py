@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.english import STOP_WORDS, stem_sql
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import ann, containment, errors, graph, knowledge, manifest, memory, search, tables, textindex
+from ..operators import ann, containment, errors, graph, knowledge, manifest, memory, search, tables, textindex, wordvectors
 from ..schemas import MEMORY_TYPES, conform, empty
 from ..session import prepare, shared_dir
 from ..sources import files as src
@@ -398,6 +398,19 @@ def graph_context(spark: SparkSession, d: str) -> DataFrame:
     return graph.entity_context(*_graph(spark, d), "n:3")
 
 
+@query("graph_context_hub", f"""
+WITH e AS (SELECT src, dst, relation, row_number() OVER (ORDER BY src, dst, relation) AS e FROM (SELECT * FROM {_EDGES_SQL} UNION ALL SELECT * FROM {_EDGES_SQL} WHERE relation = 'IN_REGION')),
+b AS (SELECT src AS u, dst AS v, relation, e FROM e UNION ALL SELECT dst, src, relation, e FROM e),
+t1 AS (SELECT v, relation, e FROM b WHERE u = 'r:1'),
+t2 AS (SELECT b.v, b.relation FROM t1 JOIN b ON t1.v = b.u WHERE b.e <> t1.e),
+t AS (SELECT v, relation, 1 AS distance FROM t1 UNION ALL SELECT v, relation, 2 FROM t2)
+SELECT v AS connected_id, label, relation AS relationship, CAST(distance AS BIGINT) AS distance FROM t JOIN {_NODES_SQL} n ON n.id = t.v ORDER BY distance, connected_id, relationship LIMIT 200""")
+def graph_context_hub(spark: SparkSession, d: str) -> DataFrame:
+    """A region at depth 2, whose nations are hubs, with each nation's edge to it twice."""
+    nodes, edges = _graph(spark, d)
+    return graph.entity_context(nodes, edges.unionByName(edges.where("relation = 'IN_REGION'")), "r:1", limit=200)
+
+
 _PROX = f"""
 WITH b AS {_BOTH_SQL}, s AS (SELECT unnest(['n:3', 'n:7']) AS seed),
 t1 AS (SELECT seed, v, [e] AS p FROM s JOIN b ON seed = u),
@@ -586,14 +599,56 @@ def memory_rollback(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("agent_id", "memory_type", "is_active", F.col("restored_from").isNotNull().alias("restored")).agg(F.count("*").alias("n"))
 
 
-@query("memory_search")
+def _features_sql(relation: str) -> str:
+    """(id, at, x): the places of the hashing embedder's 256 dimensions that a relation (id, w) of word lists has, with their counts."""
+    digits = "list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(h, CAST(i AS INT), 1)) - 1) * CAST(pow(16, 8 - i) AS BIGINT)))"
+    return f"""(SELECT id, CAST({digits} % 256 AS INT) AS at, sum(CASE WHEN substr(h, 9, 1) < '8' THEN 1 ELSE -1 END) AS x FROM (
+      SELECT id, sha256(unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS h FROM {relation}) GROUP BY ALL)"""
+
+
+_NOTE_WORDS = "(SELECT conv_id || ':' || turn AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM conversations)"
+
+
+@query("memory_search", f"""
+WITH n AS {_features_sql(_NOTE_WORDS)},
+q AS {_features_sql("(SELECT 'q' AS id, ['the', 'work', 'is', 'licensed', 'under', 'the', 'license'] AS w)")},
+s AS (SELECT n.id, sum(n.x * q.x) AS dot FROM n JOIN q ON n.at = q.at GROUP BY n.id),
+z AS (SELECT s.id, dot / (sqrt((SELECT sum(x * x) FROM q)) * sqrt(l.n)) AS sim FROM s JOIN (SELECT id, sum(x * x) AS n FROM n GROUP BY id) l ON l.id = s.id WHERE l.n > 0)
+SELECT id, round(sim, 6) AS similarity FROM z WHERE sim >= 0.05 ORDER BY sim DESC, id LIMIT 10""")
 def memory_search(spark: SparkSession, d: str) -> DataFrame:
-    """Notes near a query by the default embedder; tested against a plain computation."""
+    """Notes near a query by the default embedder."""
     e = HashingEmbedder(256)
     notes = embed_column(_notes(spark, d).drop("embedding").withColumn("agent_id", F.lit("all")), "content", embedder=e)
     return memory.search(notes, e.embed("the work is licensed under the license"), "all", 10, 0.05).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("memory_search_fitted")
+def memory_search_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Notes near a query by word vectors fitted to all documents; the fit is compared with a whole decomposition in a test."""
+    e = wordvectors.fit(_corpus(spark, d))
+    notes = embed_column(_notes(spark, d).drop("embedding").withColumn("agent_id", F.lit("all")), "content", embedder=e)
+    return memory.search(notes, e.embed("the work is licensed under the license"), "all", 10, -1.0).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("word_information", f"""
+WITH o AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM ({_TOKENS})),
+v AS (SELECT word, count(*) AS c FROM o GROUP BY word HAVING count(*) >= 5 ORDER BY c DESC, word LIMIT 1000),
+x AS (SELECT doc_id, pos, word FROM o JOIN v USING (word)),
+d AS (SELECT a.word AS u, b.word AS v, count(*) AS n FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 GROUP BY ALL),
+p AS (SELECT u, v, sum(n) AS n FROM (SELECT u, v, n FROM d UNION ALL SELECT v, u, n FROM d WHERE u <> v) GROUP BY ALL),
+t AS (SELECT u, sum(n) AS t FROM p GROUP BY u),
+r AS (SELECT p.u, p.v, p.n, ln(CAST(p.n AS DOUBLE) * (SELECT sum(t) FROM t) / a.t / b.t) AS x FROM p JOIN t a ON a.u = p.u JOIN t b ON b.u = p.v)
+SELECT u AS word, v AS near, round(x, 6) AS information FROM r WHERE x > 0 AND u <= v""")
+def word_information(spark: SparkSession, d: str) -> DataFrame:
+    """How much likelier than chance two of the 1000 most frequent words stand near each other."""
+    docs = _corpus(spark, d)
+    names = [w for w, _ in wordvectors.vocabulary(docs, most=1000)]
+    info = wordvectors.mutual_information(wordvectors.cooccurrences(docs, names))
+    table = spark.createDataFrame(list(enumerate(names)), "i int, word string")
+    met = info.join(F.broadcast(table), "i").join(F.broadcast(table.select(F.col("i").alias("j"), F.col("word").alias("near"))), "j")
+    return met.where("word <= near").select("word", "near", F.round("x", 6).alias("information"))
+
+
 @query("checkpoint_history", "SELECT turn AS checkpoint, CAST(epoch(TIMESTAMP '2024-01-01' + to_hours(CAST(turn AS INT))) AS BIGINT) AS created FROM conversations WHERE conv_id = 2 ORDER BY turn DESC LIMIT 20")
 def checkpoint_history(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "conversations")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators.graph import push_pagerank, resolve_targets
+from granary.operators.graph import entity_context, push_pagerank, resolve_targets, trails
 
 
 def exact(n, edges, seeds, d=0.85):
@@ -58,3 +58,28 @@ def test_names_with_many_owners(spark):
     owners = {(r["src"], r["dst"]): r["owners"] for r in rest.collect()}
     assert len(owners) == 302 and owners["c5.py:main", "get"] == 300 and owners["g.py:main", "run"] == 2 and owners["z.py:m", "print"] == 0
     assert rest.where(F.col("owners") == 300).count() == 300
+
+
+def walks(edges, seed, depth):
+    """Ends of walks that repeat no edge, in plain Python; every edge has its own number."""
+    out, now = [], [(seed, ())]
+    for d in range(1, depth + 1):
+        now = [(b if a == at else a, (*path, k), r) for at, path, *_ in now for k, (a, b, r) in enumerate(edges) if at in (a, b) and k not in path]
+        out += [(d, v, r) for v, _, r in now]
+    return out
+
+
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_context_of_parallel_edges_loops_and_hubs(spark, limit):
+    edges = [("h", f"n{i:02d}", "R") for i in range(12)] + [("h", "n00", "R"), ("n00", "h", "R"), ("h", "h", "L"), ("n01", "n02", "S"), ("n03", "x", "S"), ("n03", "x", "S"), ("y", "z", "S")]
+    e = spark.createDataFrame(edges, "src string, dst string, relation string")
+    names = sorted({x for a, b, _ in edges for x in (a, b)} - {"n05"})
+    n = spark.createDataFrame([(x, x.upper()) for x in names], "id string, label string")
+    for seed, depths in (("h", (1, 2, 3)), ("x", (3,)), ("nosuch", (2,))):
+        for depth in depths:
+            want = sorted((d, v, r) for d, v, r in walks(edges, seed, depth) if v in names)[:limit]
+            got = [(r["distance"], r["connected_id"], r["relationship"]) for r in entity_context(n, e, seed, depth, limit).collect()]
+            assert got == want, (seed, depth)
+    if limit == 3:
+        seeds = spark.createDataFrame([("h",), ("x",)], "seed string")
+        assert [t.count() for t in trails(e, seeds, 2)] == [sum(d == k for s in "hx" for d, *_ in walks(edges, s, 2)) for k in (1, 2)]
