@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.english import STOP_WORDS, stem_sql
 from ..functions.vector import HashingEmbedder, embed_column
-from ..operators import ann, containment, errors, graph, knowledge, manifest, memory, search, tables, textindex, wordvectors
-from ..schemas import MEMORY_TYPES, conform, empty
+from ..operators import ann, containment, errors, graph, knowledge, manifest, memory, notelog, search, tables, textindex, wordvectors
+from ..schemas import MEMORY_TYPES, conform, empty, schema
 from ..session import prepare, shared_dir
 from ..sources import files as src
 from ..sources.chunks import ChunkConfig
@@ -599,6 +599,47 @@ def memory_rollback(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("agent_id", "memory_type", "is_active", F.col("restored_from").isNotNull().alias("restored")).agg(F.count("*").alias("n"))
 
 
+_CHANGES_SQL = """(SELECT 'n' || conv_id AS id, CAST(conv_id % 10 AS VARCHAR) AS agent, turn, text, role <> 'system' AND turn % 4 <> 3 AS live FROM conversations)"""
+
+
+def _changes(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn of a conversation as a change of one note; every fourth one deletes it."""
+    c = _t(spark, d, "conversations")
+    at = F.timestamp_add("HOUR", F.col("turn").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    rows = c.select(F.concat(F.lit("n"), "conv_id").alias("id"), (F.col("conv_id") % 10).cast("string").alias("agent_id"), F.col("text").alias("content"), ((F.col("role") != "system") & (F.col("turn") % 4 != 3)).alias("is_active"), at.alias("changed_at"), F.format_string("%010d", "turn").alias("change_id"))
+    return rows.select(*(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema("memory_notes")), "changed_at", "change_id")
+
+
+@query("memory_as_of", f"""
+SELECT id, agent, sha256(text) AS content_hash, live AS is_active FROM {_CHANGES_SQL} WHERE turn <= 2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1""")
+def memory_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """What every note was two hours after the first."""
+    notes = notelog.as_of(_changes(spark, d), F.lit("2024-01-01 02:00:00").cast("timestamp"))
+    return notes.select("id", F.col("agent_id").alias("agent"), T.content_hash("content").alias("content_hash"), "is_active")
+
+
+@query("memory_intervals", f"""
+SELECT agent, n - turn AS hours, count(*) AS n FROM (SELECT *, lead(turn) OVER (PARTITION BY id ORDER BY turn) AS n FROM {_CHANGES_SQL}) GROUP BY ALL""")
+def memory_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """How long changes hold, by agent; null for those that still do."""
+    rows = notelog.intervals(_changes(spark, d))
+    hours = F.timestamp_diff("HOUR", F.col("valid_from"), F.col("valid_to"))
+    return rows.groupBy(F.col("agent_id").alias("agent"), hours.alias("hours")).agg(F.count("*").alias("n"))
+
+
+@query("memory_rollback_log", f"""
+WITH c AS (SELECT * FROM {_CHANGES_SQL} WHERE agent = '1'),
+o AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1),
+k AS (SELECT * FROM c WHERE turn <= 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY turn DESC) = 1)
+SELECT sha256(text) AS content_hash, false AS is_active, false AS restored FROM o UNION ALL SELECT sha256(text), true, true FROM k WHERE live""")
+def memory_rollback_log(spark: SparkSession, d: str) -> DataFrame:
+    """An agent's notes after going back, twice, to the first hour."""
+    log, cp = _changes(spark, d), F.lit("2024-01-01 01:00:00").cast("timestamp")
+    for day in (1, 2):
+        log = log.unionByName(notelog.rolled_back(log, cp, "cp", "first hour", "1", F.lit(f"2025-01-0{day} 00:00:00").cast("timestamp")))
+    return notelog.as_of(log.where("agent_id = '1'")).select(T.content_hash("content").alias("content_hash"), "is_active", F.col("restored_from").isNotNull().alias("restored"))
+
+
 def _features_sql(relation: str) -> str:
     """(id, at, x): the places of the hashing embedder's 256 dimensions that a relation (id, w) of word lists has, with their counts."""
     digits = "list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(h, CAST(i AS INT), 1)) - 1) * CAST(pow(16, 8 - i) AS BIGINT)))"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..operators.notelog import NoteLog
 from ..operators.tables import Catalog
 
 _WORDS = "filter(split(lower({0}), '[^a-z0-9]+'), w -> w <> '')"
@@ -13,12 +14,13 @@ _TRIGRAMS = "array_distinct(flatten(transform(" + _WORDS + ", w -> transform(seq
 def register(spark: SparkSession, catalog: Catalog) -> None:
     """Views of the tables, and the functions on them.
 
-    hybrid_search(query, query_vector, alpha, k) ranks by alpha * cosine + (1 - alpha) * share of the query's words; the
+    hybrid_search(query, query_vector, alpha) scores all rows by alpha * cosine + (1 - alpha) * share of the query's words; the
     DataFrame operator of that name has BM25 and the query language. lookup_error(message, type, language) gives patterns
     of more than 0.3 trigram similarity; null parameters filter nothing.
     """
-    for t in ("semantic_chunks", "error_patterns", "memory_notes", "ingestion_manifest", "graph_nodes", "graph_edges"):
+    for t in ("semantic_chunks", "error_patterns", "ingestion_manifest", "graph_nodes", "graph_edges"):
         catalog.read(t).createOrReplaceTempView(t)
+    NoteLog(spark, f"{catalog.root}/memory").current().createOrReplaceTempView("memory_notes")
     p, m = _TRIGRAMS.format("message_pattern"), _TRIGRAMS.format("p_message")
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION lookup_error(p_message STRING, p_type STRING, p_language STRING)

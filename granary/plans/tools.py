@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
 from uuid import UUID
 
 from pyspark.sql import functions as F
 
 from ..functions.vector import HashingEmbedder
 from ..operators import memory
+from ..operators.notelog import NoteLog
 from ..operators.search import search
 from ..operators.tables import Catalog
 from ..schemas import MEMORY_TYPES, parse_member
@@ -40,31 +40,25 @@ class SearchTools:
         return f"File Context: {file_path}\nTotal Chunks: {len(rows)}\n\n" + "".join(f"--- Chunk {r['chunk_index']} ---\n{r['content']}\n\n" for r in rows)
 
 
+# The messages are what callers of the tools see.
 class MemoryTools:
-    def __init__(self, catalog: Catalog, embedder: HashingEmbedder | None = None) -> None:
-        self.catalog, self.embedder = catalog, embedder or HashingEmbedder()
+    """Notes in a log of changes beside the catalog's tables."""
 
-    def _now(self):
-        """One moment for all rows of a call: ids that depend on it are the same wherever the plan is evaluated."""
-        return F.lit(datetime.now(timezone.utc))
+    def __init__(self, catalog: Catalog, embedder: HashingEmbedder | None = None) -> None:
+        self.notes, self.embedder = NoteLog(catalog.spark, f"{catalog.root}/memory"), embedder or HashingEmbedder()
 
     def memory_add(self, content: str, memory_type: str = "episodic", context: str | None = None, keywords: list[str] | None = None, agent_id: str = "default") -> str:
         try:
             kind = parse_member(memory_type, MEMORY_TYPES, "memory_type")
         except ValueError as e:
             return f"Error: {e}"
-        spark, now = self.catalog.spark, self._now()
-        new = spark.createDataFrame([(agent_id, kind, content, context, keywords or [], self.embedder.embed(content))], "agent_id string, memory_type string, content string, context string, keywords array<string>, embedding array<double>").withColumn("created_at", now)
-        rows = memory.insert(spark.createDataFrame([], self.catalog.read("memory_notes").schema), new, now)
-        made = rows.first()["id"]
-        self.catalog.merge("memory_notes", rows, lambda old, new: old.unionByName(new))
-        return f"Memory created with ID: {made}"
+        return f"Memory created with ID: {self.notes.add(content, kind, context, keywords or [], agent_id, self.embedder.embed(content))}"
 
     def remember(self, content: str, context: str = "", tags: str = "") -> str:
         return self.memory_add(content, context=context or None, keywords=[t.strip() for t in tags.split(",") if t.strip()])
 
     def memory_retrieve(self, query: str, agent_id: str = "default", limit: int = 5) -> str:
-        rows = memory.search(self.catalog.read("memory_notes"), self.embedder.embed(query), agent_id, limit, 0.4).collect()
+        rows = memory.search(self.notes.current(), self.embedder.embed(query), agent_id, limit, 0.4).collect()
         if not rows:
             return "No relevant memories found."
         out = f"Found {len(rows)} relevant memories:\n"
@@ -77,45 +71,28 @@ class MemoryTools:
     def memory_update(self, memory_id: str, content: str | None = None, keywords: list[str] | None = None) -> str:
         if not _is_uuid(memory_id):
             return "Invalid UUID format."
-        notes = self.catalog.read("memory_notes")
-        if notes.where(F.col("id") == memory_id).isEmpty():
-            return f"Memory {memory_id} not found."
-        p = self.catalog.spark.createDataFrame([(memory_id, content, keywords, self.embedder.embed(content) if content else None)], "id string, content string, keywords array<string>, embedding array<double>")
-        now = self._now()
-        self.catalog.merge("memory_notes", p, lambda old, new: memory.update(old, new, now))
-        return f"Memory {memory_id} updated."
+        done = self.notes.change(memory_id, {"content": content, "keywords": keywords, "embedding": self.embedder.embed(content) if content else None})
+        return f"Memory {memory_id} updated." if done else f"Memory {memory_id} not found."
 
     def memory_delete(self, memory_id: str, reason: str = "Deleted by user") -> str:
         if not _is_uuid(memory_id):
             return "Invalid UUID format."
-        notes = self.catalog.read("memory_notes")
-        if notes.where(F.col("id") == memory_id).isEmpty():
-            return f"Memory {memory_id} not found."
-        now = self._now()
-        self.catalog.merge("memory_notes", self.catalog.spark.createDataFrame([(memory_id,)], "id string"), lambda old, gone: memory.soft_delete(old, gone, reason, now))
-        return f"Memory {memory_id} deleted."
+        done = self.notes.change(memory_id, {"is_active": False, "deleted_reason": reason})
+        return f"Memory {memory_id} deleted." if done else f"Memory {memory_id} not found."
 
     def memory_checkpoint(self, name: str, reason: str, agent_id: str = "default") -> str:
-        notes, now = self.catalog.read("memory_notes"), self._now()
-        made = memory.checkpoint(self.catalog.read("memory_checkpoints").limit(0), notes, name, agent_id, reason, now).first()["id"]
-        self.catalog.update("memory_checkpoints", lambda old: memory.checkpoint(old, notes, name, agent_id, reason, now))
-        return f"Checkpoint '{name}' created (ID: {made})"
+        return f"Checkpoint '{name}' created (ID: {self.notes.checkpoint(name, reason, agent_id)})"
 
     create_checkpoint = memory_checkpoint
 
     def memory_rollback(self, checkpoint_id: str, agent_id: str = "default") -> str:
         if not _is_uuid(checkpoint_id):
             return "Invalid UUID format."
-        cps = self.catalog.read("memory_checkpoints")
-        row = cps.where(F.col("id") == checkpoint_id).select("checkpoint_name").first()
-        if row is None:
-            return f"Checkpoint {checkpoint_id} not found."
-        now = self._now()
-        self.catalog.update("memory_notes", lambda old: memory.rollback(old, memory.snapshot_rows(cps, checkpoint_id), checkpoint_id, row["checkpoint_name"], agent_id, now))
-        return f"Successfully rolled back to checkpoint {checkpoint_id}"
+        done = self.notes.rollback(checkpoint_id, agent_id)
+        return f"Successfully rolled back to checkpoint {checkpoint_id}" if done else f"Checkpoint {checkpoint_id} not found."
 
     def memory_history(self, agent_id: str = "default", limit: int = 10) -> str:
-        rows = memory.history(self.catalog.read("memory_checkpoints"), agent_id, limit).collect()
+        rows = memory.history(self.notes.checkpoints(), agent_id, limit).collect()
         if not rows:
             return "No checkpoints found."
         return "Recent Memory Checkpoints:\n" + "".join(f"- {r['created_at']} | {r['checkpoint_name']} | {r['reason']} (ID: {r['id']})\n" for r in rows)
