@@ -20,6 +20,7 @@ from ..schemas import MEMORY_TYPES, conform, empty, schema
 from ..session import prepare, shared_dir
 from ..sources import files as src
 from ..sources.chunks import ChunkConfig
+from ..streaming import files
 from ..streaming.ingest import event_counts
 from . import ingest, retrieval
 
@@ -1108,6 +1109,25 @@ def keyword_members_index(spark: SparkSession, d: str) -> DataFrame:
     return containment.member_matches(rows, path, ["that", "nicht"], "id", "words").select("id")
 
 
+@query("stream_file_states", """
+WITH e AS (SELECT 'f' || user_id AS f, CAST(CAST(json_extract_string(props, '$.k') AS INT) % 4 AS VARCHAR) AS h, ts, event_type = 'error' AS del FROM events),
+w AS (SELECT *, coalesce(NOT lag(del) OVER p, false) AS there, last_value(CASE WHEN NOT del THEN h END IGNORE NULLS) OVER (PARTITION BY f ORDER BY ts, del, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM e WINDOW p AS (PARTITION BY f ORDER BY ts, del, h))
+SELECT f AS source_file, epoch_us(ts) AS us, CASE WHEN del THEN CASE WHEN there THEN 'deleted' ELSE 'gone' END WHEN NOT there THEN 'added' WHEN was = h THEN 'unchanged' ELSE 'changed' END AS action FROM w""")
+def stream_file_states(spark: SparkSession, d: str) -> DataFrame:
+    """A log of events as a stream of file changes, through Spark's state store."""
+    log = _t(spark, d, "events")
+    stream = spark.readStream.schema(log.schema).parquet(f"{d}/[e]vents.parquet")  # a pattern may be a file as well as a folder
+    changes = stream.select(F.concat(F.lit("f"), "user_id").alias("source_file"), (F.get_json_object("props", "$.k").cast("int") % 4).cast("string").alias("content_hash"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") == "error").alias("deleted"))
+    top, (key, store) = f"{shared_dir(spark)}/states-{uuid.uuid4().hex}", next(iter(files.STORE.items()))
+    old = spark.conf.get(key)
+    spark.conf.set(key, store)
+    try:
+        files.actions(changes).writeStream.format("parquet").option("checkpointLocation", f"{top}/mark").trigger(availableNow=True).start(f"{top}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.schema(files.ACTION).parquet(f"{top}/out").select("source_file", F.unix_micros("at").alias("us"), "action")
+
+
 @query("stable_ids", r"""
 WITH h AS (SELECT doc_id, sha256(source || chr(1) || lang) AS h FROM documents)
 SELECT doc_id AS id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS uuid FROM h""")
