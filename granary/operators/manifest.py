@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import INGESTION_STATUS, conform, latest, parse_member
+from ..schemas import INGESTION_STATUS, conform, latest, parse_member, row_hash
 
 
 def upsert_manifest(existing: DataFrame, new: DataFrame, now: Column | None = None, order: list[Column] | None = None) -> DataFrame:
     """By source_file. All columns are overwritten, nulls too, but for created_at, and ingested_at unless completed."""
     now = now if now is not None else F.current_timestamp()
-    new = conform(latest(new, ("source_file",), order or [F.xxhash64(F.to_json(F.struct(*new.columns))).desc()]), "ingestion_manifest")
+    new = conform(latest(new, ("source_file",), order or [row_hash(new).desc()]), "ingestion_manifest")
     old = existing.select("source_file", F.col("created_at").alias("_created"), F.col("ingested_at").alias("_ingested"), F.lit(True).alias("_old"))
     rows = new.join(old, "source_file", "left").withColumns(
         {"created_at": F.coalesce("_created", now), "updated_at": now, "ingested_at": F.when(F.col("status") == "completed", now).otherwise(F.col("_ingested"))}
@@ -32,7 +32,7 @@ def update_status(existing: DataFrame, updates: DataFrame, now: Column | None =
     """
     now = now if now is not None else F.current_timestamp()
     names = ("status", "chunk_count", "error_message", "content_hash")
-    one = latest(updates.select("source_file", *names), ("source_file",), [F.xxhash64(F.to_json(F.struct("source_file", *names))).desc()])
+    one = latest(updates.select("source_file", *names), ("source_file",), [row_hash(updates, ("source_file", *names)).desc()])
     u = one.select("source_file", *(F.col(c).alias(f"_{c}") for c in names), F.lit(True).alias("_hit"))
     both = existing.join(u, "source_file", "left")
     hit = F.col("_hit").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import as_double, cosine, literal
-from ..schemas import checked, conform, latest
+from ..schemas import checked, conform, latest, row_hash
 from .tables import stable_id
 
 #: What a snapshot keeps of a note.
@@ -16,7 +16,7 @@ _FIELDS = ("id", "agent_id", "memory_type", "content", "context", "keywords", "s
 
 def _once(rows: DataFrame) -> DataFrame:
     """One row for each id: the greatest hash of a row wins, whatever order the rows come in."""
-    return latest(rows, ("id",), [F.xxhash64(F.to_json(F.struct(*rows.columns))).desc()])
+    return latest(rows, ("id",), [row_hash(rows).desc()])
 
 
 def insert(notes: DataFrame, new: DataFrame, now: Column | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..functions.text import words
 from ..functions.vector import as_double, cosine, literal, matrix, packed
@@ -281,21 +282,29 @@ def hybrid(dense: DataFrame | None, sparse: DataFrame | None, alpha: float = 0.7
     return out.withColumn("combined_score", alpha * F.col("dense_score") + (1 - alpha) * F.col("sparse_score")).orderBy(F.desc("combined_score"), "id").limit(limit)
 
 
-def hybrid_rows(corpus: DataFrame, query: str, query_vector: list[float], alpha: float = 0.7, limit: int = 20, min_similarity: float = 0.0) -> DataFrame:
+def hybrid_rows(corpus: DataFrame, query: str, query_vector: list[float] | None, alpha: float = 0.7, limit: int = 20, min_similarity: float = 0.0) -> DataFrame:
     """hybrid for a corpus (id, content, embedding, ...) that holds texts and vectors, with the corpus columns.
 
     Both scores are columns of one projection, so no list is shuffled or joined by id: a scan for the statistics, one for the
     greatest lexical score, one for the top k. A row counts by its cosine from min_similarity on, by its text if that satisfies
-    the query; one without either is no candidate. alpha lies between 0 and 1.
+    the query; one without either is no candidate. Without a vector, or at alpha 0, only texts count; at alpha 1 only vectors.
     """
-    q = parse_query(query)
-    base = corpus.select(F.struct(*corpus.columns).alias("row"), cosine(as_double("embedding"), literal(query_vector)).alias("d"), words("content").alias("w"))
-    rows, stats = _counted(base, q)
-    near, found = F.when(F.col("d") >= min_similarity, F.greatest("d", F.lit(0.0))), F.when(F.col("hit"), _okapi(len(q.terms)))
-    scored = rows.crossJoin(F.broadcast(stats)).select("row", near.alias("d"), found.alias("s")).where("d is not null or s is not null")
-    both = scored.crossJoin(F.broadcast(scored.agg(F.max("s").alias("top"))))
-    sparse = F.when(F.col("top") > 0, F.col("s") / F.col("top"))
-    out = both.select("row", F.coalesce("d", F.lit(0.0)).alias("dense_score"), F.coalesce(sparse, F.lit(0.0)).alias("sparse_score"))
+    alpha = alpha if query_vector is not None else 0.0
+    q = parse_query(query if alpha < 1 else "")
+    rows = corpus.select(F.struct(*corpus.columns).alias("row"), *([cosine(as_double("embedding"), literal(query_vector)).alias("d")] if alpha > 0 else [F.lit(None).cast("double").alias("d")]), *([words("content").alias("w")] if alpha < 1 else []))
+    near = F.when(F.col("d") >= min_similarity, F.greatest("d", F.lit(0.0)))
+    if alpha < 1:
+        rows, stats = _counted(rows, q)
+        rows = rows.crossJoin(F.broadcast(stats))
+        found = F.when(F.col("hit"), _okapi(len(q.terms)))
+    else:
+        found = F.lit(None).cast("double")
+    both = rows.select("row", near.alias("d"), found.alias("s")).where("d is not null or s is not null")
+    sparse = F.lit(0.0)
+    if alpha < 1:
+        both = both.crossJoin(F.broadcast(both.agg(F.max("s").alias("top"))))
+        sparse = F.coalesce(F.when(F.col("top") > 0, F.col("s") / F.col("top")), F.lit(0.0))
+    out = both.select("row", F.coalesce("d", F.lit(0.0)).alias("dense_score"), sparse.alias("sparse_score"))
     out = out.withColumn("combined_score", alpha * F.col("dense_score") + (1 - alpha) * F.col("sparse_score"))
     return out.orderBy(F.desc("combined_score"), F.col("row")["id"]).limit(limit).select("row.*", "dense_score", "sparse_score", "combined_score")
 
@@ -366,8 +375,14 @@ def overlap_score(query: str, text: Column | str) -> Column:
 
 
 def rerank(results: DataFrame, query: str, top_n: int = 20, scorer=None, score: str = "combined_score", text: str = "content", id: str = "id") -> DataFrame:
-    """The best top_n by `scorer` (query, text column) -> score column; without a scorer the first top_n as they are."""
+    """The best top_n by `scorer` (query, text column) -> score column; without a scorer the first top_n as they are.
+
+    The score takes the old one's place and, where results have a map `metadata`, is its `rerank_score` too.
+    """
     out = results.withColumn(score, scorer(query, F.col(text))) if scorer else results
+    if scorer and "metadata" in results.columns and isinstance(results.schema["metadata"].dataType, MapType):
+        own = F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda k, _: k != "rerank_score")
+        out = out.withColumn("metadata", F.map_concat(own, F.create_map(F.lit("rerank_score"), F.col(score).cast("string"))))
     return out.orderBy(F.desc(score), id).limit(top_n)
 
 
@@ -387,10 +402,4 @@ def search(corpus: DataFrame, query: str, query_vector: list[float] | None = Non
     """Filter, hybrid candidates, optional rerank of the top_k_rerank best, then `limit` of them, with the corpus columns."""
     rows = metadata_filter(corpus, filters) if filters else corpus
     fetch = top_k_rerank if scorer else limit
-    if query_vector is not None and 0 < alpha < 1:
-        return rerank(hybrid_rows(rows, query, query_vector, alpha, fetch, min_similarity), query, limit, scorer)
-    dense = vector_scores(rows, query_vector, min_similarity=min_similarity) if query_vector is not None else None
-    hits = hybrid(dense, bm25(rows, query), alpha if dense is not None else 0.0, fetch)
-    # at most `fetch` rows: a bound that holds whatever the corpus
-    found = rows.join(F.broadcast(hits), "id")
-    return rerank(found, query, limit, scorer)
+    return rerank(hybrid_rows(rows, query, query_vector, alpha, fetch, min_similarity), query, limit, scorer)

@@ -2,7 +2,8 @@
 
 A transformation takes the table as it is and returns it as it will be. The catalog keeps a table's rows in buckets by hash
 and a log of versions, each of which names the folder of every bucket. `merge` reads and writes the buckets that the changed
-rows fall into and takes over the others, so a small change costs the same on a table of any size. A version's log entry is
+rows fall into and takes over the others: a small change costs a bucket, which is the table's share of their fixed number and
+grows with it. Notes, which come one by one, are kept as a log of changes instead (`notelog`). A version's log entry is
 put in place by a rename that fails where the number is taken: readers see whole versions only, and of two writers that
 started from one version the second starts again from the first one's.
 """
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import KEYS, conform, empty, latest, schema
+from ..schemas import KEYS, conform, empty, latest, row_hash, schema
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...], keep: tuple[str, ...] = (), order: Column | None = None) -> DataFrame:
@@ -25,7 +26,7 @@ def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...], keep: tup
     Where new holds a key more than once, the first by `order` (greatest hash without one) wins. Columns are matched by
     name. One shuffle of either side by the keys; the same key has one row after it.
     """
-    order = order if order is not None else F.xxhash64(F.to_json(F.struct(*new.columns))).desc()
+    order = order if order is not None else row_hash(new).desc()
     new = latest(new, keys, [order])
     if keep:
         old = existing.select(*keys, *(F.col(c).alias(f"_old_{c}") for c in keep))
@@ -39,7 +40,7 @@ def patch(existing: DataFrame, patches: DataFrame, key: str, columns: tuple[str,
 
     Of several patches of a key one counts, the greatest hash of a row.
     """
-    one = latest(patches.select(key, *columns), (key,), [F.xxhash64(F.to_json(F.struct(key, *columns))).desc()])
+    one = latest(patches.select(key, *columns), (key,), [row_hash(patches, (key, *columns)).desc()])
     p = one.select(F.col(key), *(F.col(c).alias(f"_new_{c}") for c in columns))
     both = existing.join(p, key, "left")
     return both.withColumns({c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*existing.columns)

@@ -81,6 +81,19 @@ def review(raw: DataFrame, scorer=None) -> DataFrame:
     return rows.withColumns({"relevance": F.when(s >= 0.66, "RELEVANT").when(s >= 0.33, "PARTIAL").otherwise("IRRELEVANT"), "reasoning": F.format_string("score %.2f", s)})
 
 
+def boosted(evidence: DataFrame, related: DataFrame, nodes: DataFrame, weight: float = 1.0) -> DataFrame:
+    """evidence with `boost`, and ranked anew by combined_score * (1 + weight * boost) within each sub-question.
+
+    boost is the greatest nearness of a node of related (id, score) that lies in the evidence's file, 0 without one.
+    related is what the anchors' expansion is limited to, so it is sent to every task.
+    """
+    files = nodes.select("id", F.col("file_path").alias("source_file")).join(F.broadcast(related), "id").groupBy("source_file").agg(F.max("score").alias("boost"))
+    both = evidence.join(F.broadcast(files), "source_file", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    both = both.withColumn("combined_score", F.col("combined_score") * (1 + weight * F.col("boost")))
+    w = Window.partitionBy("ord").orderBy(F.desc("combined_score"), "id")
+    return both.withColumn("rank", F.row_number().over(w)).select(*evidence.columns, "boost")
+
+
 def evidence_text(evidence: DataFrame) -> str:
     rows = evidence.orderBy("ord", "rank", "id").select("source_file", "content").collect()  # sub-questions x limit rows
     return "\n\n".join(f"Source: {r['source_file']}\nContent: {r['content']}" for r in rows)
@@ -94,10 +107,16 @@ def extractive(query: str, context: str) -> str:
 
 
 def answer(corpus: DataFrame, query: str, generate: Callable[[str, str], str] = extractive, nodes: DataFrame | None = None, edges: DataFrame | None = None, **options) -> dict:
-    """{answer, plan, verified_evidence_count}; with a graph also `related`, the ids near the question's anchors, nearest first."""
+    """{answer, plan, verified_evidence_count}; with a graph, evidence near the question's anchors comes first, and `related` has their ids, nearest first."""
     p = plan(query)
-    more = {} if nodes is None or edges is None else {"related": [r["id"] for r in expand_anchors(nodes, edges, p).collect()]}
-    evidence = review(act(corpus, p, **options)).cache()
+    raw, more = act(corpus, p, **options), {}
+    if nodes is not None and edges is not None:
+        related = expand_anchors(nodes, edges, p)
+        near = related.collect()  # 20 rows at most
+        more = {"related": [r["id"] for r in near]}
+        if near:
+            raw = boosted(raw, corpus.sparkSession.createDataFrame(near, related.schema), nodes)
+    evidence = review(raw).cache()
     try:
         return {"answer": generate(query, evidence_text(evidence)), "plan": p, "verified_evidence_count": evidence.count()} | more
     finally:

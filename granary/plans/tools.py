@@ -22,7 +22,7 @@ class SearchTools:
     def search_codebase(self, query: str, advanced: bool = True) -> str:
         corpus = self.catalog.read("semantic_chunks")
         if advanced:
-            r = retrieval.answer(corpus, query, embed=self.embedder.embed)
+            r = retrieval.answer(corpus, query, embed=self.embedder.embed, nodes=self.catalog.read("graph_nodes"), edges=self.catalog.read("graph_edges"))
             return f"Answer: {r['answer']}\n\nEvidence Used: {r['verified_evidence_count']} chunks"
         rows = search(corpus, query, self.embedder.embed(query), limit=5).collect()
         if not rows:

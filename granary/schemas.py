@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 # The members of each enumeration.
 MEMORY_TYPES = ("episodic", "semantic", "procedural")
@@ -132,5 +132,12 @@ def delete_parents(tables: dict[str, DataFrame], parent: str, gone: DataFrame) -
     return out
 
 
+def row_hash(df: DataFrame, names: tuple[str, ...] | None = None) -> Column:
+    """A hash of a row's columns, for ties that must be broken alike wherever rows come from; maps count by their sorted entries."""
+    kinds = {f.name: f.dataType for f in df.schema}
+    plain = lambda c: F.array_sort(F.map_entries(c)) if isinstance(kinds[c], MapType) else F.col(c)
+    return F.xxhash64(*(plain(c) for c in names or df.columns))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

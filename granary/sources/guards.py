@@ -136,6 +136,9 @@ def guarded(extract: Callable, guard: Guard = UNTRUSTED) -> Callable:
     return run
 
 
-def file_hash(files: DataFrame, content: str = "content") -> DataFrame:
-    """A binaryFile listing with the SHA-256 of each file."""
-    return files.withColumn("file_hash", F.sha2(F.col(content), 256))
+def file_hash(files: DataFrame, content: str = "content", algorithm: str = "sha256") -> DataFrame:
+    """A binaryFile listing with `file_hash`, the lower-case hex digest of each file: md5, sha1, sha224, sha256, sha384 or sha512."""
+    c, bits = F.col(content), {"sha224": 224, "sha256": 256, "sha384": 384, "sha512": 512}
+    if algorithm not in ("md5", "sha1", *bits):
+        raise ValueError(f"Unknown algorithm '{algorithm}'")
+    return files.withColumn("file_hash", F.md5(c) if algorithm == "md5" else F.sha1(c) if algorithm == "sha1" else F.sha2(c, bits[algorithm]))
