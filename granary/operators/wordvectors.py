@@ -21,7 +21,7 @@ from ..functions.text import words
 from ..session import shared_dir
 
 #: Words of the vocabulary at most, occurrences of each at least, words on either side that are near.
-MOST_WORDS, LEAST, WINDOW = 20_000, 5, 4
+MOST_WORDS, LEAST, WINDOW = 4000, 5, 4
 #: Columns beyond the dimensions, and multiplications after the first, of the decomposition.
 EXTRA, POWERS = 32, 5
 #: Weight of a word of share p in a text: SMOOTH / (SMOOTH + p).
@@ -36,7 +36,7 @@ def vocabulary(docs: DataFrame, text: str = "content", most: int = MOST_WORDS, l
     return [(r["word"], r["n"]) for r in n.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def cooccurrences(docs: DataFrame, vocabulary: list[str], text: str = "content", window: int = WINDOW, block: int = 1 << 18) -> DataFrame:
+def cooccurrences(docs: DataFrame, vocabulary: list[str], text: str = "content", window: int = WINDOW, block: int = 1 << 20) -> DataFrame:
     """(i, j, n), i <= j: how often two words of the vocabulary stand within `window` words of each other, whatever stands between.
 
     Pairs are summed over blocks of about `block` words before the shuffle; a pair's rows meet by (i, j), so that no word is one task's.
@@ -89,12 +89,12 @@ def _times(rows: DataFrame, columns: np.ndarray) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in batches:
-            out = [(x.values.to_numpy()[:, None] * c[at.values.to_numpy()]).sum(0) for at, x in zip(b.column(1), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["i", "y"])
+            out = [(x.values.to_numpy() @ c[at.values.to_numpy()]).tobytes() for at, x in zip(b.column(1), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["i", "y"])
 
     y = np.zeros_like(columns)
-    for r in rows.mapInArrow(run, "i int, y array<double>").collect():
-        y[r["i"]] = r["y"]
+    for r in rows.mapInArrow(run, "i int, y binary").collect():
+        y[r["i"]] = np.frombuffer(r["y"])
     return y
 
 

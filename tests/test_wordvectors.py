@@ -44,7 +44,7 @@ def test_counts_and_information(docs):
     assert found == sorted(((w, c) for w, c in plain.items() if c >= 5), key=lambda x: (-x[1], x[0]))[:300]
     names = [w for w, _ in found]
     want = brute(docs, names)
-    for block in (50, 1 << 18):
+    for block in (50, 1 << 20):
         pairs = W.cooccurrences(docs, names, block=block)
         assert {(r["i"], r["j"]): r["n"] for r in pairs.collect()} == dict(want)
     x = matrix(want, len(names))
