@@ -114,7 +114,7 @@ def answer(corpus: DataFrame, query: str, generate: Callable[[str, str], str] =
         related = expand_anchors(nodes, edges, p)
         near = related.collect()  # 20 rows at most
         more = {"related": [r["id"] for r in near]}
-        if near:
+        if near and "file_path" in nodes.columns:
             raw = boosted(raw, corpus.sparkSession.createDataFrame(near, related.schema), nodes)
     evidence = review(raw).cache()
     try:
