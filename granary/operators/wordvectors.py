@@ -74,7 +74,9 @@ def cooccurrences(docs: DataFrame, vocabulary: list[str], text: str = "content",
 
 
 def mutual_information(pairs: DataFrame) -> DataFrame:
-    """(i, j, x), both ways round: the positive logarithm of how much likelier a pair is than chance."""
+    """(i, j, x), both ways round: the positive logarithm of how much likelier a pair is than chance. The counts are kept, since they are used three times."""
+    shared_dir(pairs.sparkSession)
+    pairs = pairs.checkpoint()
     both = pairs.unionByName(pairs.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "n"))
     total = both.groupBy("i").agg(F.sum("n").alias("t"))  # a row for each word of the vocabulary
     all_ = total.agg(F.sum("t").alias("all"))
