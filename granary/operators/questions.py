@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .search import B, K1, corpus_stats, parse_query, ranked
 
+#: Words of all questions up to which they are sent to every task; more are joined by key.
+FEW = 100_000
+
 _TOKEN = re.compile("[a-z0-9]+")
 
 
@@ -76,8 +79,13 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str =
     """
     shared_dir(corpus.sparkSession)
     terms = terms_of(questions).checkpoint()
-    asked = terms.select(F.col("token").alias("word")).distinct()
-    own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(asked, "word", "left_semi").checkpoint()
+    few = terms.count() <= FEW
+    phrase = ("qid", "alt", "must", "phrase")
+    long = terms.groupBy(*phrase).agg(F.count("*").alias("n")).checkpoint()
+    # places are kept for the words of longer phrases alone
+    asked = terms.join(long, list(phrase)).groupBy(F.col("token").alias("word")).agg(F.max(F.col("n") > 1).alias("placed"))
+    own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(asked, "word")
+    own = own.select("word", "id", "len", F.size("at").alias("tf"), F.when(F.col("placed"), F.col("at")).alias("at")).checkpoint()
     df = own.groupBy("word").agg(F.count("*").alias("df"))
 
     # candidates: an alternative has none if one of its words stands nowhere
@@ -85,20 +93,19 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str =
     rare = needed.groupBy("qid", "alt").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r")).where("r.df > 0")
     found = rare.select("qid", "alt", F.col("r.token").alias("word")).join(own.select("word", "id"), "word").select("qid", "alt", "id")
 
-    # a phrase holds where its words' places, each less its own in the phrase, have one in common
+    # a word holds where it stands; a phrase where its words' places, each less its own in the phrase, have one in common
     at = own.select(F.col("word").alias("token"), "id", "at")
-    met = found.join(terms, ["qid", "alt"]).join(at, ["token", "id"]).withColumn("from", F.transform("at", lambda p: p - F.col("place")))
-    common = F.aggregate("all", F.element_at("all", 1), lambda s, x: F.array_intersect(s, x))
-    phrase = ("qid", "alt", "must", "phrase")
-    long = terms.groupBy(*phrase).agg(F.count("*").alias("n"))
-    held = met.groupBy(*phrase, "id").agg(F.collect_list("from").alias("all")).join(long, list(phrase)).where((F.size("all") == F.col("n")) & (F.size(common) > 0))
+    met = found.join(terms, ["qid", "alt"]).join(at, ["token", "id"]).join(F.broadcast(long) if few else long, list(phrase))
+    met = met.withColumn("from", F.when(F.col("n") > 1, F.transform("at", lambda p: p - F.col("place"))))
+    common = F.aggregate("all", F.get("all", 0), lambda s, x: F.array_intersect(s, x))
+    held = met.groupBy(*phrase, "id").agg(F.count_distinct("place").alias("have"), F.max("n").alias("n"), F.collect_list("from").alias("all")).where("have = n").where((F.col("n") == 1) | (F.size(common) > 0))
     wanted = terms.where("must").groupBy("qid", "alt").agg(F.count_distinct("phrase").alias("n"))
     per = held.groupBy("qid", "alt", "id").agg(F.count_if("must").alias("yes"), F.count_if(~F.col("must")).alias("no"))
     hits = per.join(wanted, ["qid", "alt"]).where("yes = n and no = 0").select("qid", "id").distinct()
 
     # all required words of a question count, whichever alternative holds
     stats = F.broadcast(corpus_stats(corpus, text))  # one row
-    tf = F.size("at")
+    tf = F.col("tf")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     words = terms.where("must").select("qid", F.col("token").alias("word")).distinct()
