@@ -879,10 +879,9 @@ WITH s AS (SELECT lang, {_STRIP} AS t FROM documents)
 SELECT 'completed' AS status, lang AS kind, count(*) AS n, count(*) FILTER (floor(length(t) / 4.0) >= 50) AS with_chunks FROM s WHERE lang <> 'de' GROUP BY lang""")
 def ingest_changed(spark: SparkSession, d: str) -> DataFrame:
     """Ingestion against a manifest: German files are known as they are, French ones with another hash, Spanish ones as failed. Texts of under 50 tokens have no chunk."""
-    shared_dir(spark)
     docs = _t(spark, d, "documents").withColumn("source_file", F.concat("lang", F.lit("/"), F.col("doc_id"), F.lit(".txt")))
     known = docs.where("lang in ('de', 'fr', 'es')").select("source_file", T.content_hash(F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content_hash"), F.when(F.col("lang") == "es", "failed").otherwise("completed").alias("status"))
-    found = ingest.ingest(docs.select("source_file", "text"), known, keep=lambda df: df.checkpoint(), skip_embedding=True)
+    found = ingest.ingest(docs.select("source_file", "text"), known, skip_embedding=True)
     kind = F.regexp_extract("source_file", "^([a-z]+)/", 1).alias("kind")
     return found.entries.groupBy("status", kind).agg(F.count("*").alias("n"), F.count_if(F.col("chunk_count") > 0).alias("with_chunks"))
 
