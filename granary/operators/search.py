@@ -391,6 +391,11 @@ def relevance_filter(scored: DataFrame, threshold: float = 0.5, score: str = "sc
     return scored.withColumn(score, F.coalesce(score, F.lit(0.5))).where(F.col(score) >= threshold)
 
 
+def filter_relevance(results: DataFrame, query: str, threshold: float = 0.5, scorer=overlap_score, score: str = "relevance", text: str = "content") -> DataFrame:
+    """results scored by `scorer` (query, text column) -> 0..1, by default the share of the query's words, and cut at the threshold."""
+    return relevance_filter(results.withColumn(score, scorer(query, F.col(text))), threshold, score)
+
+
 def metadata_filter(rows: DataFrame, filters: dict[str, str] | None, metadata: str = "metadata") -> DataFrame:
     """Rows whose metadata map has all the given values; applied before any top k."""
     for k, v in (filters or {}).items():

@@ -296,6 +296,13 @@ def llm_relevance_filter(spark: SparkSession, d: str) -> DataFrame:
     return search.relevance_filter(rows.select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score")))
 
 
+@query("relevance_scored", f"""
+SELECT doc_id AS id, round(s, 6) AS relevance FROM (SELECT doc_id, len(list_intersect(list_distinct({_W}), ['license', 'the', 'under', 'work'])) / 4.0::DOUBLE AS s FROM documents) WHERE s >= 0.5""")
+def relevance_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that have at least half of a question's words, by the default scorer."""
+    return search.filter_relevance(_corpus(spark, d), "the work under the license").select("id", F.round("relevance", 6).alias("relevance"))
+
+
 # --- errors ---------------------------------------------------------------------------------------------------------
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3)))))"

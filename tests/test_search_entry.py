@@ -7,7 +7,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators.search import bm25, hybrid, hybrid_rows, overlap_score, rerank, search, vector_scores
+from granary.operators.search import bm25, filter_relevance, hybrid, hybrid_rows, overlap_score, rerank, search, vector_scores
 from granary.plans.retrieval import answer
 from granary.sources.guards import file_hash
 
@@ -59,3 +59,11 @@ def test_file_hashes(spark):
         assert [r["file_hash"] for r in file_hash(df, algorithm=name).collect()] == [hashlib.new(name, b"").hexdigest(), hashlib.new(name, b"abc").hexdigest(), None]
     with pytest.raises(ValueError, match="crc"):
         file_hash(df, algorithm="crc")
+
+
+def test_relevance_by_any_scorer(spark):
+    df = spark.createDataFrame([(1, "red fox"), (2, "fox"), (3, "hen"), (4, None)], "id int, content string")
+    got = lambda **more: [(r["id"], r["relevance"]) for r in filter_relevance(df, "red fox", **more).orderBy("id").collect()]
+    assert got() == [(1, 1.0), (2, 0.5), (4, 0.5)]  # what cannot be judged stays at 0.5
+    assert got(threshold=0.6, scorer=lambda q, t: F.length(t) / 10.0) == [(1, 0.7)]
+    assert filter_relevance(df.where("false"), "x").count() == 0
