@@ -84,7 +84,7 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str =
     long = terms.groupBy(*phrase).agg(F.count("*").alias("n")).checkpoint()
     # places are kept for the words of longer phrases alone
     asked = terms.join(long, list(phrase)).groupBy(F.col("token").alias("word")).agg(F.max(F.col("n") > 1).alias("placed"))
-    own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(asked, "word")
+    own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(F.broadcast(asked) if few else asked, "word")
     own = own.select("word", "id", "len", F.size("at").alias("tf"), F.when(F.col("placed"), F.col("at")).alias("at")).checkpoint()
     df = own.groupBy("word").agg(F.count("*").alias("df"))
 
