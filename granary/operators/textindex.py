@@ -31,6 +31,8 @@ from .search import B, K1, Query, parse_query
 
 #: Most documents and about most words of a segment; folders; documents for which a folder's blocks are written by one task.
 PER_SEGMENT, MOST_WORDS, BUCKETS, PER_TASK = 512, 1 << 19, 32, 1_000_000
+#: Words and lexemes that a task keeps the numbers of from one segment to the next.
+MOST_KNOWN = 1 << 20
 #: Segments that a ranked query scores first, for each result asked for; more than these are not named in the filter but joined.
 FIRST, NAMED = 2, 512
 #: Positions of a lexeme in a document that ts_rank looks at.
@@ -50,14 +52,15 @@ class _Segment:
         self.clear()
 
     def clear(self) -> None:
+        """For the next run. Only here may a full table of numbers be emptied: those of a run are looked up until its blocks are made."""
+        if len(self.number) > MOST_KNOWN:
+            self.number, self.lexemes = {}, []
         self.rows: list[int] = []
         self.words: list[np.ndarray] = []
         self.held = 0
 
     def _new(self, word: str) -> int:
-        """The number of a word's lexeme, -1 for a stop word; kept for the next time while there are not too many."""
-        if len(self.number) > 1 << 20:
-            self.number, self.lexemes = {}, []
+        """The number of a word's lexeme, -1 for a stop word; kept for the next time."""
         lexeme = -1 if self.english and word in _STOPS else stem(word) if self.english else word
         if lexeme != -1:
             key = "\0" + lexeme  # no word has that character
@@ -70,7 +73,6 @@ class _Segment:
 
     def add(self, row: int, text: str) -> None:
         get, new = self.number.get, self._new
-        # in two steps, since a full table of numbers may only be emptied between documents
         own = np.array([n if (n := get(w)) is not None else new(w) for w in _TOKEN.findall(text)], np.int32)
         self.rows.append(row)
         self.words.append(own)

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,18 @@ def test_odd_tables(spark, tmp_path):
         assert {r["id"]: r["tf"] for r in T._postings(index, index.blocks(), True).collect()} == want
         assert {r["id"] for r in T.match(index, "fox").collect()} == set(want) == {r["id"] for r in T.topk(index, "foxes", 9).collect()}
         assert T.rank(index, "fox").count() == len(want)
+
+
+def test_segment_of_more_words_than_a_task_keeps():
+    """The numbers of a segment's words hold until its blocks are made, however many words it has."""
+    made = T._Segment(english=False, avg=1.0)
+    n = 600_000  # a word and its lexeme are two entries
+    texts = ["first", " ".join(f"w{i}" for i in range(n)), "w0 first last"]
+    for i, t in enumerate(texts):
+        made.add(i, t)
+    rows = made.blocks(pa.array([7, 8, 9], pa.int64()), True, 0)
+    assert sorted(rows.column("lexeme").to_pylist()) == sorted({w for t in texts for w in t.split()})
+    found = {x: i for i, x in enumerate(rows.column("lexeme").to_pylist())}
+    assert [(rows.column("ids")[found[x]].as_py(), rows.column("docs")[found[x]].as_py()) for x in ("first", "w0", "last", "w1")] == [([7, 2], 2), ([8, 1], 2), ([9], 1), ([8], 1)]
+    made.clear()
+    assert made.number == {} == dict.fromkeys(made.lexemes)  # emptied between segments
