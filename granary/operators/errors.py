@@ -43,41 +43,54 @@ def lookup_exact(patterns: DataFrame, api_elements: DataFrame, libraries: DataFr
     return out.orderBy(F.when(F.col("exact"), 0).otherwise(1), "id").limit(limit)
 
 
-def match_messages(messages: DataFrame, patterns: DataFrame, most_patterns: int = 100_000) -> DataFrame:
+#: Most rows of a side of a join that is sent to every task; a larger one meets the other by a shuffle of both.
+FEW = 10_000
+
+
+def _meet(rows: DataFrame, n: int, few: int) -> DataFrame:
+    """rows as a side of a join: broadcast where they are few; else neither side is, though a file's size may make it look small."""
+    return F.broadcast(rows) if n <= few else rows.hint("merge")
+
+
+def match_messages(messages: DataFrame, patterns: DataFrame, most_patterns: int = 100_000, few: int = FEW) -> DataFrame:
     """(message_id, pattern_id, exact) for a table of messages (message_id, message) against patterns.
 
-    Equal messages meet in an equi-join. An expression is read for trigrams that its matches must contain; it meets the
-    messages that have the rarest of them, by key, and is only run on these. Expressions that require none are the rest:
-    broadcast in blocks of about `most_patterns`, tried on every message. An expression that is null matches nothing.
+    Equal messages meet in an equi-join. Expressions meet distinct texts, and what matches is then joined with the rows of
+    both. An expression is read for trigrams that its matches must contain; it meets the texts that have the rarest of
+    them, by key, and is only run on these. Expressions that require none are the rest: broadcast in blocks of about
+    `most_patterns`, tried on every text. An expression that is null matches nothing. Messages are never broadcast.
     """
-    spark = messages.sparkSession
-    shared_dir(spark)
-    p = patterns.select(F.col("id").alias("pattern_id"), "message_pattern", "message_regex")
-    equal = messages.join(p, F.col("message") == F.col("message_pattern")).select("message_id", "pattern_id", F.lit(True).alias("exact"))
-    rx = p.where("message_regex is not null").withColumn("alts", _required("message_regex")).checkpoint()
+    shared_dir(messages.sparkSession)
+    p = patterns.select(F.col("id").alias("pattern_id"), "message_pattern", "message_regex").checkpoint()
+    known = p.count()
+    equal = messages.join(_meet(p, known, few), F.col("message") == F.col("message_pattern")).select("message_id", "pattern_id", F.lit(True).alias("exact"))
+    rx = p.where("message_regex is not null").select("message_regex").distinct().withColumn("alts", _required("message_regex")).checkpoint()
     full = F.regexp_like(F.col("message"), F.concat(F.lit("^(?:"), F.col("message_regex"), F.lit(")$")))
-    like = full & ~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False))
 
     # by key: each alternative is met where its rarest trigram is
-    keyed = rx.where(F.size("alts") > 0).select("pattern_id", "message_regex", "message_pattern", F.posexplode("alts").alias("alt", "grams"))
-    texts = messages.where("message is not null").select("message_id", "message", _grams(F.col("message")).alias("grams"))
+    keyed = rx.where(F.size("alts") > 0).select("message_regex", F.posexplode("alts").alias("alt", "grams"))
+    words = messages.where("message is not null").select("message").distinct()
+    texts = words.select("message", _grams(F.col("message")).alias("grams")).select("message", F.explode("grams").alias("gram"))
     asked = keyed.select(F.explode("grams").alias("gram")).distinct()
-    held = texts.select(F.explode("grams").alias("gram")).join(asked, "gram").groupBy("gram").agg(F.count("*").alias("n"))
-    each = keyed.select("*", F.explode("grams").alias("gram")).join(held, "gram", "left")
-    rare = each.groupBy("pattern_id", "message_regex", "message_pattern", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"), F.first("grams").alias("all")).where("r.n > 0")
-    met = rare.select("pattern_id", "message_regex", "message_pattern", "all", F.col("r.gram").alias("gram")).join(texts.select("message_id", "message", F.explode("grams").alias("gram")), "gram")
+    held = texts.select("gram").join(_meet(asked, known, few), "gram").groupBy("gram").agg(F.count("*").alias("n"))
+    each = keyed.select("*", F.explode("grams").alias("gram")).join(_meet(held, known, few), "gram", "left")
+    rare = each.groupBy("message_regex", "alt").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"), F.first("grams").alias("all")).where("r.n > 0")
+    met = _meet(rare.select("message_regex", "all", F.col("r.gram").alias("gram")), known, few).join(texts, "gram")
     # the other trigrams first: looking for one is cheaper than running an expression
     has = F.forall("all", lambda g: F.concat(F.lit(literals.START), F.col("message")).contains(g))
-    found = met.where(has & like).select("message_id", "message", "pattern_id", "message_regex").distinct().select("message_id", "pattern_id", F.lit(False).alias("exact"))
-    out = equal.unionByName(found)
+    found = met.where(has & full).select("message", "message_regex").distinct()
 
-    rest = rx.where(F.size("alts") == 0)
+    rest = rx.where(F.size("alts") == 0).select("message_regex")
     n = rest.count()
     blocks = -(-n // most_patterns)
     for i in range(blocks):
-        own = rest if blocks == 1 else rest.where(F.pmod(F.xxhash64("pattern_id", "message_regex"), F.lit(blocks)) == i)
-        out = out.unionByName(messages.join(F.broadcast(own), like).select("message_id", "pattern_id", F.lit(False).alias("exact")))
-    return out
+        own = rest if blocks == 1 else rest.where(F.pmod(F.xxhash64("message_regex"), F.lit(blocks)) == i)
+        found = found.unionByName(words.join(F.broadcast(own), full).select("message", "message_regex"))
+
+    found = found.checkpoint()
+    pairs = messages.join(_meet(found, found.count(), few), "message").join(_meet(p, known, few), "message_regex")
+    like = pairs.where(~F.coalesce(F.col("message") == F.col("message_pattern"), F.lit(False)))
+    return equal.unionByName(like.select("message_id", "pattern_id", F.lit(False).alias("exact")))
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))

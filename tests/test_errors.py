@@ -57,3 +57,20 @@ def test_trigrams_of_short_texts(spark, text):
     t = START + text
     got = spark.createDataFrame([(text,)], "t string").select(_grams(F.col("t")).alias("g")).first()["g"]
     assert set(got) >= {t[i : i + 3] for i in range(len(t) - 2)}
+
+
+def test_messages_are_not_broadcast(spark, sf):
+    """However small their file is, messages stay where they are; patterns go to them, or both are shuffled."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    p = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("message_pattern"), F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" .*")).alias("message_regex")).distinct()
+    m = part.select(F.col("p_partkey").alias("message_id"), F.col("p_name").alias("message"))
+    plans, rows = [], []
+    for few in ({}, {"few": 0}):
+        found, out = match_messages(m, p, **few), io.StringIO()
+        with contextlib.redirect_stdout(out):
+            found.explain()
+        plans.append(out.getvalue())
+        rows.append(sorted(map(tuple, found.collect())))
+        assert "BuildLeft" not in out.getvalue()
+    assert "Broadcast" in plans[0] and "Broadcast" not in plans[1] and rows[0] == rows[1]
+    assert len(rows[0]) > m.count()
