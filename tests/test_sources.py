@@ -117,3 +117,9 @@ def test_document_type(spark):
     rows = [("a.HTM", "", "html"), ("a.rst", "", "rst"), ("x", "<!DOCTYPE html>", "html"), ("x", "# Head", "markdown"), ("x", "text\n# later", "text"), ("x.zz", "", "text")]
     df = spark.createDataFrame(rows, "p string, c string, want string")
     assert df.where(src.document_type("p", "c") != df["want"]).collect() == []
+
+
+def test_cut_references_in_titles():
+    """A title that ends in the middle of a reference keeps what is left of it; whole references are read."""
+    title = lambda t: html.title(html.parse(f"<html><head><title>{t}</title></head><body>x &amp y</body></html>")[0])
+    assert [title(t) for t in ("a &amp; b&amp", "R&amp;amp; &lt", "&ampx &lt;p&gt; &#65;&#x42;", "AT&T &nosuch; &")] == ["a & b&amp", "R&amp; &lt", "&ampx <p> AB", "AT&T &nosuch; &"]
