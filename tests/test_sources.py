@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 
 from granary.sources import code, guards, html, markdown
@@ -123,3 +124,13 @@ def test_cut_references_in_titles():
     """A title that ends in the middle of a reference keeps what is left of it; whole references are read."""
     title = lambda t: html.title(html.parse(f"<html><head><title>{t}</title></head><body>x &amp y</body></html>")[0])
     assert [title(t) for t in ("a &amp; b&amp", "R&amp;amp; &lt", "&ampx &lt;p&gt; &#65;&#x42;", "AT&T &nosuch; &")] == ["a & b&amp", "R&amp; &lt", "&ampx <p> AB", "AT&T &nosuch; &"]
+
+
+def test_batches_are_taken_in_blocks():
+    """A batch is taken up in runs of rows bounded by their bytes, so memory does not follow its number of rows; nothing is lost."""
+    texts = ["a" * 300, "b" * 4000, None, "", "é" * 200] + ["c" * 100] * 50
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["source_file", "text"])
+    for batch in (b, b.slice(1), b.slice(len(texts)), b.slice(2, 1)):
+        blocks = list(src._blocks(batch, 1000))
+        assert [x for y in blocks for x in y.column(0).to_pylist()] == batch.column(0).to_pylist()
+        assert all(y.num_rows == 1 or sum(64 + len((t or "").encode()) for t in y.column(1).to_pylist()) <= 1000 for y in blocks)
