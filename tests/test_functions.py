@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -60,3 +61,16 @@ def test_embedder():
     assert e.embed("a b c") == e.embed("A, b c!") and abs(sum(x * x for x in e.embed("some words"))) - 1 < 1e-12
     assert V.batch_cosine([1.0], []).tolist() == []
     assert len(e.embed_with_hash("x")[1]) == 16
+
+
+def test_texts_are_embedded_in_blocks(spark):
+    """An embedder gets a bounded number of texts at once, however many a batch has; nulls have no vector."""
+    from granary.functions import vector
+
+    def model(texts):
+        assert len(texts) <= 1024
+        return np.array([[len(t), 1.0] for t in texts])
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("a"), (F.col("id") % 50).cast("int"))).alias("t"))
+    got = vector.embed_column(rows, "t", embedder=model).collect()
+    assert len(got) == 3000 and all(r["embedding"] == (None if r["t"] is None else [float(len(r["t"])), 1.0]) for r in got)
