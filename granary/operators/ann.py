@@ -45,10 +45,31 @@ def _parts(x: np.ndarray, width: int = WIDTH) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, more))).reshape(len(x), -1, width)
 
 
+#: Most numbers of a table that a task makes at once, of rows by centres or of queries by codes: 8 MB.
+NUMBERS = 1 << 20
+
+
+def _slices(n: int, wide: int) -> list[slice]:
+    """n rows in runs whose tables of `wide` numbers a row have NUMBERS numbers at most."""
+    step = max(1, NUMBERS // max(1, wide))
+    return [slice(i, i + step) for i in range(0, n, step)]
+
+
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Index of the nearest centre in each subspace: x (n, m, d), centres (m, k, d) -> (n, m)."""
-    half = (centres**2).sum(2) / 2
-    return np.stack([(x[:, j] @ centres[j].T - half[j]).argmax(1) for j in range(x.shape[1])], 1)
+    half, out = (centres**2).sum(2) / 2, np.zeros(x.shape[:2], np.int64)
+    for s in _slices(len(x), centres.shape[1]):
+        for j in range(x.shape[1]):
+            out[s, j] = (x[s, j] @ centres[j].T - half[j]).argmax(1)
+    return out
+
+
+def _cells(x: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The cell of each row: that of greatest product."""
+    out = np.zeros(len(x), np.int64)
+    for s in _slices(len(x), len(cells)):
+        out[s] = (x[s] @ cells.T).argmax(1)
+    return out
 
 
 def k_means(rows: DataFrame, dim: int, centres: np.ndarray, steps: int, cells: np.ndarray | None = None) -> np.ndarray:
@@ -61,7 +82,7 @@ def k_means(rows: DataFrame, dim: int, centres: np.ndarray, steps: int, cells: n
             for b in batches:
                 x = matrix(b.column(0), dim)
                 if cells is not None:
-                    x = x - cells[(x @ cells.T).argmax(1)]
+                    x = x - cells[_cells(x, cells)]
                 x = x[:, None] if m == 1 and d == dim else _parts(x)
                 of = _closest(x, centres) + np.arange(m) * k
                 np.add.at(total, of.ravel(), x.reshape(-1, d))
@@ -152,7 +173,7 @@ def encode(vectors: DataFrame, model: Model) -> DataFrame:
         m = shared.value
         for b in batches:
             x = matrix(b.column(1), m.dim)
-            cell = (x @ m.cells.T).argmax(1)
+            cell = _cells(x, m.cells)
             left = _parts(x - m.cells[cell])
             code = _closest(left, m.codes)
             err = np.sqrt(((left - m.codes[np.arange(left.shape[1]), code]) ** 2).sum((1, 2))) + 1e-9
@@ -195,9 +216,7 @@ def _asked(queries: DataFrame, index: Index, visits: int, far: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, names, angles = shared.value
-        for b in batches:
-            if not len(names) or not b.num_rows:
-                continue
+        for b in (b.slice(part.start, part.stop - part.start) for b in batches if len(names) for part in _slices(b.num_rows, len(names))):
             s = matrix(b.column(1), centroids.shape[1]) @ centroids.T
             near = np.zeros(s.shape, bool)
             np.put_along_axis(near, np.argsort(-s, 1, kind="stable")[:, :visits], True, 1)
@@ -237,7 +256,7 @@ def _visit(index: Index, asked: DataFrame, k: int, exact: bool, part: int, block
         order = places(ids)
         n, deep = len(x), min(len(x), DEEP * k)
         found_q, found_i, found_s = [], [], []
-        step = max(1, (1 << 22) // n)
+        step = max(1, NUMBERS // max(n, m.codes.shape[0] * m.codes.shape[1]))
         for i in range(0, len(q), step):
             part = q[i : i + step]
             table = np.einsum("qmd,mkd->qmk", _parts(part), m.codes)

@@ -93,3 +93,15 @@ def test_empty_corpus(spark, tmp_path):
     q = spark.createDataFrame([(1, [1.0])], "qid int, vector array<double>")
     index = ann.load(spark, f"file://{tmp_path}/i")
     assert ann.nearest(index, q, 3, exact=True).count() == ann.nearest(index, q, 3).count() == batch_topk(df, q, 3).count() == 0
+
+
+def test_tables_of_a_task_are_bounded(monkeypatch):
+    """Rows meet centres in runs, whose tables do not grow with the rows of a batch or the number of cells; the answers are those of one table."""
+    rng = np.random.default_rng(3)
+    x, cells, codes = rng.normal(size=(500, 8)), rng.normal(size=(40, 8)), rng.normal(size=(2, 16, 4))
+    monkeypatch.setattr(ann, "NUMBERS", 100)
+    assert [s.stop - s.start for s in ann._slices(5, 40)] == [2, 2, 2] and ann._slices(0, 40) == []
+    assert (ann._cells(x, cells) == (x @ cells.T).argmax(1)).all()
+    parts = ann._parts(x)
+    want = ((parts[:, :, None] - codes[None]) ** 2).sum(3).argmin(2)
+    assert (ann._closest(parts, codes) == want).all()
