@@ -1,5 +1,6 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from granary.sources import code, guards, html, markdown
 from granary.sources import files as src
@@ -134,3 +135,12 @@ def test_batches_are_taken_in_blocks():
         blocks = list(src._blocks(batch, 1000))
         assert [x for y in blocks for x in y.column(0).to_pylist()] == batch.column(0).to_pylist()
         assert all(y.num_rows == 1 or sum(64 + len((t or "").encode()) for t in y.column(1).to_pylist()) <= 1000 for y in blocks)
+
+
+def test_code_of_one_partition_is_indexed_by_many_tasks(spark):
+    """A small table of many files is dealt over tasks; texts of nodes are those that ast gives."""
+    files = spark.range(0, 400, 1, 1).select(F.concat(F.lit("f"), "id", F.lit(".py")).alias("file_path"), F.lit("@d(\n 1)\ndef é(a, *, b=1):\n    return q('é')(\n2)\r\nclass K(x.Y): pass\n").alias("text"))
+    indexed = src.index_code(files)
+    of = src.entities(indexed).select("file_path", "signature", "modifiers", F.spark_partition_id().alias("p")).collect()
+    assert len(of) == 800 and len({r["p"] for r in of}) > 1
+    assert {(r["signature"], tuple(r["modifiers"])) for r in of} == {("def é(a, *, b=1)", ("d(\n 1)",)), ("class K(x.Y)", ())}
