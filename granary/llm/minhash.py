@@ -8,14 +8,17 @@ Documents with equal shingle sets are one class from the start. Among classes no
 
 1. Every class of a bucket is compared with the bucket's smallest and largest id, on full shingle sets. Members of one
    component of these links need no further link.
-2. Where a bucket still holds several components, its classes outside the one with most members there are compared with
+2. Where a bucket of more than three still holds several components, its classes outside the one with most members there are compared with
    that component, block by block against an index of the block's sets, with the blocks alone that have a member in a
    bucket of theirs; only one link for each comes out.
 3. Classes outside of it are compared with those that share a bucket, again by blocks, where steps 1 and 2 left them in
    different components. A task gives out links that join components it has not joined yet, so never all pairs.
 
-Pairs whose sets differ too much in size are never compared. Components of all confirmed links, with equal sets joined, are the result: a link that was not looked at lies within a
-component already.
+In a bucket of three or fewer, step 1 has compared every pair, so steps 2 and 3 leave it out. They work on components: links
+that they add join those of the step before, whose members need not be gone through again.
+
+Pairs whose sets differ too much in size are never compared. Components of all confirmed links, with equal sets joined, are
+the result: a link that was not looked at lies within a component already.
 """
 
 from __future__ import annotations
@@ -27,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, table, tasks
+from .common import components, cut, merged, ship, table, tasks
 from .textkit import Words, mix, words
 
 PERMUTATIONS, BANDS = 64, 32
 #: Members that meet a hub's set in one task; members of a component in a block.
 MEMBERS, BLOCK = 512, 1024
+#: Tasks that look up the number of a large component's blocks.
+SPLIT = 16
 
 _RNG = np.random.default_rng(71)
 _A = _RNG.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
@@ -124,25 +129,22 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     met = members.unionByName(heads).select("b", "a", "part", "text").repartition(tasks(docs.sparkSession), "b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
-    return met.select("b", "a", "text").mapInArrow(run, "a long, b long").distinct()
+    return met.select("b", "a", "text").mapInArrow(run, "a long, b long")
 
 
-def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int, spots: DataFrame | None = None) -> DataFrame:
-    """(a, b): links of queries (g, id, c) with members (g, id, c) of the same group g and another component c.
+def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links of queries (g, id, c, band) with members (g, id, c, band) of the same group g and another component c.
 
-    Members are dealt into blocks by hash and each query goes to every block of its group; with spots (id, band), to those
-    that hold a member in a band of its own. A task joins the components of the links it finds and keeps silent about
-    further links inside them.
+    Members are dealt into blocks by hash and a query goes to the blocks of its group that hold a member in a band of its
+    own. A task joins the components of the links it finds and keeps silent about further links inside them.
     """
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    size = members.join(queries.select("g").distinct(), "g").groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(size, "g").select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "c")
-    if spots is None:
-        asked = queries.join(size, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "c")
-    else:
-        held = dealt.join(spots, "id").select("g", "band", "block").distinct()
-        asked = queries.join(spots, "id").join(held, ["g", "band"]).select("g", "block", F.lit(1).alias("role"), "id", "c").distinct()
-    rows = dealt.unionByName(asked).join(texts, "id").select("g", "block", "role", "id", "c", "text")
+    size = members.select("g", "id").distinct().groupBy("g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    # a group's rows go to several tasks, by their bands
+    size = size.select("g", "blocks", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("split"))
+    placed = members.withColumn("split", F.pmod(F.xxhash64("band"), F.lit(SPLIT)).cast("int")).join(size, ["g", "split"]).select("g", "band", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("role"), "id", "c")
+    asked = queries.join(placed.select("g", "band", "block").distinct(), ["g", "band"]).select("g", "block", F.lit(1).alias("role"), "id", "c")
+    rows = placed.drop("band").unionByName(asked).distinct().join(texts, "id").select("g", "block", "role", "id", "c", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, ids, index, own = None, [], [], None, []
@@ -194,6 +196,23 @@ def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: i
     return met.mapInArrow(run, "a long, b long")
 
 
+def beyond_hubs(docs: DataFrame, spots: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, component): first with the links that it lacks among ids that share a band of spots (id, band)."""
+    # buckets in which more than one component is left, and the component with most members there
+    mixed = spots.join(first, "id", "left").select("id", "band", F.coalesce("component", "id").alias("c"))
+    split = mixed.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("g"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
+    mixed = cut(mixed.join(split, "band"))
+    outside = mixed.where("c <> g")
+    if outside.count() == 0:
+        return first
+    second = cut(merged(first, cut(confirm_blocks(docs, outside, mixed.where("c = g"), k, percent))))
+    # classes outside of it among themselves
+    left = outside.select("id", "band").join(second, "id", "left").select(F.col("band").alias("g"), "id", F.coalesce("component", "id").alias("c"), "band")
+    several = left.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g")
+    left = cut(left.join(several, "g"))
+    return second if left.count() == 0 else merged(second, cut(confirm_blocks(docs, left, left, k, percent)))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row per row of docs.
 
@@ -205,27 +224,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # equal sets are one class; its smallest id stands for it
     classes = cut(sets.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select(F.col("x.doc_id").alias("id"), F.col("x.n_shingles").alias("size"), F.col("x.bands").alias("bands")))
     rows = classes.select("id", "size", F.explode("bands").alias("band"))
-    hubs = rows.groupBy("band").agg(F.min(F.struct("id", "size")).alias("low"), F.max(F.struct("id", "size")).alias("high")).where("low.id < high.id")
+    hubs = rows.groupBy("band").agg(F.min(F.struct("id", "size")).alias("low"), F.max(F.struct("id", "size")).alias("high"), F.count("*").alias("n")).where("low.id < high.id")
     placed = cut(rows.join(hubs, "band"))
     tried = placed.select("id", "size", F.explode(F.array("low", "high")).alias("hub")).where(F.col("id") != F.col("hub.id"))
     fits = 100 * F.least("size", "hub.size") >= percent * F.greatest("size", "hub.size")
     tried = cut(tried.where(fits).select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct())
-    links = cut(confirm(docs, tried, k, percent))
-    first = cut(components(links)).withColumnRenamed("component", "c")
-    # buckets in which more than one component is left, and the component with most members there
-    mixed = placed.select("id", "band").join(first, "id", "left").select("id", "band", F.coalesce("c", "id").alias("c"))
-    split = mixed.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
-    outside = cut(mixed.join(split, "band").where("c <> most").select("id", "band", "c", "most"))
-    asked = cut(outside.select(F.col("most").alias("g"), "id", "c").distinct())
-    alone = asked.select(F.col("g").alias("c")).distinct().join(first.select("c").distinct(), "c", "left_anti").select(F.col("c").alias("g"), F.col("c").alias("id"), "c")
-    joined = links.unionByName(confirm_blocks(docs, asked, first.select(F.col("c").alias("g"), "id", "c").unionByName(alone), k, percent, placed.select("id", "band")))
-    second = cut(components(cut(joined)))
-    # classes outside of it among themselves
-    left = outside.select("id", "band").join(second, "id", "left").select(F.col("band").alias("g"), "id", F.coalesce("component", "id").alias("c"))
-    several = left.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("g")
-    left = cut(left.join(several, "g"))
-    more = confirm_blocks(docs, left, left, k, percent)
-    final = components(second.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(more))
+    first = cut(components(confirm(docs, tried, k, percent)))
+    final = beyond_hubs(docs, placed.where("n > 3").select("id", "band"), first, k, percent)
     member = sets.select("doc_id", "set_a", "set_b").join(sets.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("of")), ["set_a", "set_b"]).select("doc_id", "of")
     named = member.join(final, F.col("of") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "of")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
