@@ -15,35 +15,45 @@ from granary.llm import minhash, packing, pii, substring, toxicity
 from granary.llm.common import crc_mod, drop, shared_dir, ship, table
 
 
+#: Bytes of rows that a Python worker gets at once. It needs several times as much, and so do the buffers that they are sent through.
+BATCH = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets workers import the operators and take batches of BATCH; stages are lazy, so the session's setting stays."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of this input and drops the documents scored 0.5 or more; scores and texts stay in one pass."""
-    ship(spark)
+    prepare(spark)
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8: the smallest doc_id of each group stays."""
-    ship(spark)
+    prepare(spark)
     gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of 20 that start earlier go; a text from which none goes keeps its white space."""
-    ship(spark)
+    prepare(spark)
     return substring.drop_repeats(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become their kind in brackets; n_chars, where there is a text, is counted anew."""
-    ship(spark)
+    prepare(spark)
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document goes: (doc_id, n_tokens, bucket, bucket_len, batch, slot); its text stays in the stage before."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs)
 
 

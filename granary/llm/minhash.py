@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, merged, ship, table, tasks
-from .textkit import Words, mix, words
+from .textkit import Words, mix, thrifty, words
 
 PERMUTATIONS, BANDS = 64, 32
 #: Members that meet a hub's set in one task; members of a component in a block.
@@ -63,6 +63,7 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, bands): one row per row of docs; no bands without shingles."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w in words(b.column(1), lower=True):
@@ -106,6 +107,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFram
     members = dealt.join(texts, F.col("a") == F.col("id")).select("b", "part", "a", "text")
     heads = dealt.select("b", "part").distinct().join(texts, F.col("b") == F.col("id")).select("b", "part", F.lit(None).cast("long").alias("a"), "text")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -146,6 +148,7 @@ def confirm_blocks(docs: DataFrame, queries: DataFrame, members: DataFrame, k: i
     asked = queries.join(placed.select("g", "band", "block").distinct(), ["g", "band"]).select("g", "block", F.lit(1).alias("role"), "id", "c")
     rows = placed.drop("band").unionByName(asked).distinct().join(texts, "id").select("g", "block", "role", "id", "c", "text")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets, ids, index, own = None, [], [], None, []
         merged: dict[int, int] = {}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship, table, tasks
-from .textkit import Words, kept_text, mix, words
+from .textkit import Words, kept_text, mix, thrifty, words
 
 #: log2 of the fewest and most cells of a sketch row, and of the cells of a shard; rows; cells that a task holds before it sends them.
 CELLS, MOST_CELLS, SHARD, DEPTH, HELD = 20, 29, 18, 2, 1 << 22
@@ -90,6 +90,7 @@ def sketch(docs: DataFrame, k: int, cells_log: int | None = None, shard_log: int
         cells_log = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     per_row = 1 << (cells_log - shard_log)
 
+    @thrifty
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[] for _ in range(DEPTH)]
         size = 0
@@ -119,6 +120,7 @@ def sketch(docs: DataFrame, k: int, cells_log: int | None = None, shard_log: int
         if size:
             yield send()
 
+    @thrifty
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells: dict[int, np.ndarray] = {}
         for b in batches:
@@ -170,6 +172,7 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 def later_windows(docs: DataFrame, k: int, bits: Broadcast) -> DataFrame:
     """(doc, start, n): runs of windows that also start earlier in the corpus."""
 
+    @thrifty
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
@@ -195,6 +198,7 @@ def later_windows(docs: DataFrame, k: int, bits: Broadcast) -> DataFrame:
             # marks only pass through the exchange: spread them by document
             yield _batch(mix(d.view(np.uint64)).view(np.int64), np.zeros(len(d), np.int32), np.ones(len(d), bool), d, s, n)
 
+    @thrifty
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the earliest window of the last key, which may go on in the next batch
         for b in batches:
@@ -251,6 +255,7 @@ def drop_repeats(docs: DataFrame, k: int = 20) -> DataFrame:
     both = docs.alias("d").join(marks.alias("m"), F.col("d.doc_id") == F.col("m._doc"), "left").select(*(F.col(f"d.`{c}`") for c in names), F.col("m._starts"), F.col("m._ns"))
     at, runs = names.index("text"), len(names)
 
+    @thrifty
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w, gone in _covered(b, at, runs, k):
@@ -272,6 +277,7 @@ def remove_repeats(docs: DataFrame, k: int = 20, **sizes: int) -> DataFrame:
     """
     both = docs.select("doc_id", "text").join(_marked(docs, k, **sizes), F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "starts", "ns")
 
+    @thrifty
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, w, gone in _covered(b, 1, 2, k):

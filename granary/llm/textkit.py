@@ -7,7 +7,9 @@ a text longer than that is a block of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +91,19 @@ def blocks(at: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; after a task the worker, which waits for others beside the JVM, gives freed memory back to the system."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps it otherwise
+            trim(0)
+
+    return task
+
+
 class Words:
     """Words of some rows: hash, byte range (in `data`) and row of each; `first[r]:first[r+1]` are the words of row r."""
 

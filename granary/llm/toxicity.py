@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, ship, table
-from .textkit import PLAIN, Words, words
+from .textkit import PLAIN, Words, thrifty, words
 
 #: The discount of an n-gram: counts of the smaller class, and times the other class's rate; that of the shared counts.
 DISCOUNT, EXCESS, SHARED = 4.0, 4.0, 0.75
@@ -144,6 +144,7 @@ def count(rows: DataFrame, ratio: np.ndarray, shards: int) -> DataFrame:
 
     sent = pa.schema([("shard", pa.int32()), ("triples", pa.binary()), ("k", pa.binary()), ("v", pa.binary())])
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)
@@ -344,6 +345,7 @@ def describe(docs: DataFrame, model: Model, key: str) -> DataFrame:
     """(key, evidence, score) of whole texts, row by row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams that speak for a class
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _evidence(shared.value, b.column(1))
@@ -366,6 +368,7 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(shared.value.score(_evidence(shared.value, b.column(at))) < 0.5))
