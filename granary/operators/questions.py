@@ -55,6 +55,54 @@ def occurrences(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("id"), F.lower(text).alias("t")).mapInArrow(run, f"id {kind}, word string, at array<int>, len int")
 
 
+def asked_places(docs: DataFrame, id: str, text: str, asked: dict[str, bool]) -> DataFrame:
+    """(id, word, len, tf, at, docs, texts, words) for the words of `asked`, with their positions, from 1, where asked says so.
+
+    What else a document says stays in the task that reads it. Each batch also gives a row without a word: its number of
+    documents, those without id or text too, of texts, and of their words.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    # `asked` has FEW words at most
+    wanted = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, placed = ["id", "word", "len", "tf", "at", "docs", "texts", "words"], wanted.value
+        keys = frozenset(placed)
+
+        def out(ids: pa.Array, found: list, *sums: int) -> pa.RecordBatch:
+            own, *cols = zip(*found, *[[None] * 5] * bool(sums)) if found or sums else [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+            last = [pa.array([None] * len(found) + [x], pa.int64()) for x in sums] or [pa.nulls(len(found), pa.int64())] * 3
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(own, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds)), *last], names)
+
+        for b in batches:
+            ids, hits, held, texts, total = b.column(0), [], 0, 0, 0
+            named = ids.is_valid().to_pylist()
+            for i, t in enumerate(b.column(1)):
+                if (t := t.as_py()) is None:
+                    continue
+                found = _TOKEN.findall(t)
+                n = len(found)
+                texts, total = texts + 1, total + n
+                have = keys.intersection(found) if named[i] else ()
+                if len(have) <= 4 and not any(placed[w] for w in have):
+                    hits += [(i, w, n, found.count(w), None) for w in have]
+                else:
+                    places: dict[str, list[int]] = {w: [] for w in have}
+                    for p, w in enumerate(found, 1):
+                        if w in places:
+                            places[w].append(p)
+                    hits += [(i, w, n, len(at), at if placed[w] else None) for w, at in places.items()]
+                    held += sum(map(len, places.values()))
+                held += len(have)
+                if held > 1 << 18:
+                    yield out(ids, hits)
+                    hits, held = [], 0
+            yield out(ids, hits, len(ids), texts, total)
+
+    return docs.select(F.col(id).alias("id"), F.lower(text).alias("t")).mapInArrow(run, f"id {kind}, word string, len int, tf int, at array<int>, docs long, texts long, words long")
+
+
 def terms_of(questions: DataFrame) -> DataFrame:
     """(qid, alt, must, phrase, place, token) of questions (qid, question) in web-search syntax: a row for each word."""
     kind = questions.schema["qid"].dataType.simpleString()
@@ -74,7 +122,8 @@ def terms_of(questions: DataFrame) -> DataFrame:
 def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str = "id", text: str = "content") -> DataFrame:
     """(qid, id, score, rank): for each of questions (qid, question) what `bm25` gives for it, the k best with ties by id.
 
-    Two passes over the texts: one for the corpus statistics, one for the places of the words asked for. Questions without
+    One pass over the texts finds the places of the words asked for, and the corpus statistics; with more than FEW words these
+    are joined by key, and the statistics are a pass of their own. Questions without
     a required word have no rows; a qid that stands twice is one question of more alternatives.
     """
     shared_dir(corpus.sparkSession)
@@ -84,8 +133,14 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str =
     long = terms.groupBy(*phrase).agg(F.count("*").alias("n")).checkpoint()
     # places are kept for the words of longer phrases alone
     asked = terms.join(long, list(phrase)).groupBy(F.col("token").alias("word")).agg(F.max(F.col("n") > 1).alias("placed"))
-    own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(F.broadcast(asked) if few else asked, "word")
-    own = own.select("word", "id", "len", F.size("at").alias("tf"), F.when(F.col("placed"), F.col("at")).alias("at")).checkpoint()
+    if few:
+        met = asked_places(corpus, id, text, {r["word"]: r["placed"] for r in asked.collect()}).checkpoint()
+        own = met.where("word is not null").select("word", "id", "len", "tf", "at")
+        stats = met.where("word is null").agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), (F.sum("words") / F.nullif(F.sum("texts"), F.lit(0))).alias("avg_len"))
+    else:
+        own = occurrences(corpus.where(F.col(id).isNotNull()), id, text).join(asked, "word")
+        own = own.select("word", "id", "len", F.size("at").alias("tf"), F.when(F.col("placed"), F.col("at")).alias("at")).checkpoint()
+        stats = corpus_stats(corpus, text)
     df = own.groupBy("word").agg(F.count("*").alias("df"))
 
     # candidates: an alternative has none if one of its words stands nowhere
@@ -104,11 +159,10 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, k: int | None, id: str =
     hits = per.join(wanted, ["qid", "alt"]).where("yes = n and no = 0").select("qid", "id").distinct()
 
     # all required words of a question count, whichever alternative holds
-    stats = F.broadcast(corpus_stats(corpus, text))  # one row
     tf = F.col("tf")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     words = terms.where("must").select("qid", F.col("token").alias("word")).distinct()
-    parts = hits.join(words, "qid").join(own, ["word", "id"]).join(df, "word").crossJoin(stats).select("qid", "id", "word", part.alias("s"))
+    parts = hits.join(words, "qid").join(own, ["word", "id"]).join(df, "word").crossJoin(F.broadcast(stats)).select("qid", "id", "word", part.alias("s"))
     total = F.aggregate(F.array_sort(F.collect_list(F.struct("word", "s"))), F.lit(0.0), lambda s, x: s + x["s"])
     return ranked(parts.groupBy("qid", "id").agg(total.alias("score")), k)

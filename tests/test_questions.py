@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from granary.operators import questions
 from granary.operators.questions import bm25_many
 from granary.operators.search import bm25, fused_topk, ranked, ranked_whole, reciprocal_rank_fusion
 from granary.plans.retrieval import RetrievalPlan, act
@@ -46,6 +47,28 @@ def test_scans_do_not_grow_with_questions(spark, sf):
     assert scans(1) == scans(20) <= 2
 
 
+def test_the_texts_are_read_once(spark, sf, corpus):
+    """The only other scan is of the hits' texts, and tasks send only words that were asked for."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("source_file"))
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        act(docs, RetrievalPlan("", sub_questions=["the license", "und der"])).explain()
+    assert out.getvalue().count("FileScan parquet") == 1
+    odd = spark.createDataFrame([(1, "The cat; the DOG"), (2, None), (3, "dog"), (None, "the"), (4, "")], "id long, content string").coalesce(1)
+    rows = questions.asked_places(odd, "id", "content", {"the": True, "dog": False, "cow": True}).collect()
+    assert sorted(tuple(r)[:5] for r in rows if r["word"]) == [(1, "dog", 4, 1, None), (1, "the", 4, 2, [1, 3]), (3, "dog", 1, 1, None)]
+    sums = [tuple(r)[5:] for r in rows if not r["word"]]
+    assert tuple(map(sum, zip(*sums))) == (5, 4, 6)
+
+
+def test_more_words_than_are_sent(spark, corpus, monkeypatch):
+    asked = spark.createDataFrame(list(enumerate(QUESTIONS)), "qid int, question string")
+    rows = lambda: sorted((r["qid"], r["rank"], r["id"], round(r["score"], 9)) for r in bm25_many(corpus, asked, 7).collect())
+    sent = rows()
+    monkeypatch.setattr(questions, "FEW", 0)
+    assert rows() == sent and sent
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_fusion_by_bounds(spark, seed):
     rng = random.Random(seed)
